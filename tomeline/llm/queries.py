@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeline.llm import knn
-from tomeline.session import table
+from tomeline.llm import chunking, conversations, knn, mixing, packing, tokens
+from tomeline.session import cut, table
+
+
+P5_SQL = """
+    WITH m AS (
+        SELECT DISTINCT conversation_id, turn, text,
+            CASE WHEN lower(trim(role)) IN ('user', 'human', 'reader') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'bot', 'librarian') THEN 'assistant' END AS speaker
+        FROM messages WHERE conversation_id IS NOT NULL),
+    v AS (
+        SELECT *, coalesce(regexp_replace(text, '[\\s\u200b\u200c\u200d\u2060\ufeff\u00ad\u00a0\u3000\u2000-\u200a\u202f\u205f\u1680\u2028\u2029\u0085]', '', 'g'), '') <> '' AS seen FROM m),
+    w AS (
+        SELECT *, lead(speaker) OVER o AS next_speaker, lead(seen) OVER o AS next_seen, row_number() OVER o AS pos
+        FROM v WINDOW o AS (PARTITION BY conversation_id ORDER BY turn NULLS LAST, speaker, text)),
+    c AS (
+        SELECT conversation_id, bool_or(seen) AS visible,
+            bool_or(turn IS NULL OR turn < 0 OR speaker IS NULL) OR count(*) <> count(DISTINCT turn) OR min(turn) <> 0 OR max(turn) + 1 <> count(*)
+                OR bool_or(pos = 1 AND coalesce(speaker, '') <> 'user') OR bool_or(speaker = 'assistant' AND coalesce(next_speaker, '') = 'assistant') AS broken,
+            bool_or(speaker = 'user' AND NOT (coalesce(next_speaker, '') = 'assistant' AND coalesce(next_seen, false))) AS no_reply
+        FROM w GROUP BY 1),
+    k AS (SELECT DISTINCT id FROM conversations WHERE id IS NOT NULL),
+    r AS (
+        SELECT coalesce(conversation_id, id) AS conversation_id,
+            CASE WHEN NOT coalesce(visible, false) THEN 'empty' WHEN id IS NULL OR coalesce(broken, true) THEN 'broken' WHEN no_reply THEN 'missing_reply' END AS reason
+        FROM c FULL JOIN k ON conversation_id = id)
+    SELECT * FROM r WHERE reason IS NOT NULL"""
 
 
 # --- 4: most similar vectors -------------------------------------------------------------------------------------
@@ -36,9 +62,68 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pair.select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+# --- 3: oversized items ------------------------------------------------------------------------------------------
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("item_key"), F.col("markdown").alias("text"))
+    sections = table(spark, d, "sections").select(F.lit("sections").alias("src"), F.concat("page_id", F.lit("#"), F.col("ord").cast("string")).alias("item_key"), F.col("body").alias("text"))
+    return chunking.split_oversized(pages.unionByName(sections), table(spark, d, "size_limits"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pieces(spark, d).select("src", "item_key").distinct()
+
+
+# --- 5: conversations --------------------------------------------------------------------------------------------
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    messages = table(spark, d, "messages")
+    late = messages.agg(F.max(F.unix_timestamp("loaded_at") - F.unix_timestamp("created_at"))).first()[0] or 0
+    return conversations.stream_blocks(spark, f"{d}/messages.parquet", messages.schema, idle=timedelta(days=1), delay=timedelta(seconds=max(0, late) + 1))
+
+
+def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The kept conversations, one row a turn."""
+    blocks = _blocks(spark, d)
+    return conversations.rebuilt(blocks, conversations.judge(blocks, table(spark, d, "conversations")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.judge(_blocks(spark, d), table(spark, d, "conversations")).where("reason is not null")
+
+
+# --- 6: containers -----------------------------------------------------------------------------------------------
+def _sizes(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return cut(tokens.with_tokens(table(spark, d, "documents"), ["doc_id", *more], "text"), "sizes")
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """spec, container, item (doc_id), part, start_token, n_tokens, capacity."""
+    return packing.pack_items(_sizes(spark, d).withColumnRenamed("doc_id", "item"), table(spark, d, "pack_specs"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and the share of their room that is used, by spec."""
+    used = p6_packed(spark, d).groupBy("spec", "container", "capacity").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
+    return used.groupBy("spec").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.round(F.sum("used") / F.sum("capacity"), 4).alias("fill"))
+
+
+# --- 7: mixture --------------------------------------------------------------------------------------------------
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d, "source"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d, "source"), table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": """
+            SELECT DISTINCT 'pages' AS src, page_id AS item_key FROM pages, size_limits WHERE item = 'pages' AND length(markdown) // 4 > max_tokens
+            UNION ALL
+            SELECT DISTINCT 'sections', page_id || '#' || ord FROM sections, size_limits WHERE item = 'sections' AND length(body) // 4 > max_tokens""",
+        "p5_found": P5_SQL,
+    }
