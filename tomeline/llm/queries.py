@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeline.llm import chunking, conversations, knn, mixing, packing, tokens
+from tomeline.llm import chunking, conversations, knn, mixing, packing, pairs, tokens
 from tomeline.session import cut, table
 
 
@@ -62,6 +62,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pair.select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+# --- 1: broken pairs ---------------------------------------------------------------------------------------------
+def p1_defects(spark: SparkSession, d: str) -> DataFrame:
+    """src, row_id, defects: every defect of a pair, as text in order."""
+    cache = table(spark, d, "answer_cache").select(F.lit("answer_cache").alias("src"), F.col("id").alias("row_id"), "query", "answer", F.lit(None).cast("boolean").alias("not_found"))
+    outcomes = table(spark, d, "outcomes").select(F.lit("outcomes").alias("src"), F.col("id").alias("row_id"), "query", F.col("text").alias("answer"), F.col("said_not_found").alias("not_found"))
+    return pairs.find_defects(cache.unionByName(outcomes.distinct()), table(spark, d, "documents")).withColumn("defects", F.array_join("defects", ","))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_defects(spark, d).select("src", "row_id", F.element_at(F.split("defects", ","), 1).alias("defect")).distinct()
+
+
 # --- 3: oversized items ------------------------------------------------------------------------------------------
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("item_key"), F.col("markdown").alias("text"))
