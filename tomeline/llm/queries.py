@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeline.llm import chunking, conversations, knn, mixing, packing, pairs, tokens
+from tomeline.llm import chunking, conversations, knn, mixing, packing, pairs, pii, tokens
 from tomeline.session import cut, table
 
 
@@ -74,6 +74,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_defects(spark, d).select("src", "row_id", F.element_at(F.split("defects", ","), 1).alias("defect")).distinct()
 
 
+# --- 2: personal information -------------------------------------------------------------------------------------
+def _free_texts(spark: SparkSession, d: str) -> DataFrame:
+    parts = [table(spark, d, t).select(F.lit(t).alias("src"), F.col("id").cast("string").alias("row_key"), F.col(c).alias("text")) for t, c in (("messages", "text"), ("trajectories", "query"), ("conversations", "title"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """src, row_key, clean_text of every text."""
+    return pii.redact(_free_texts(spark, d)).select("src", "row_key", "clean_text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.redact(_free_texts(spark, d)).select("src", "row_key", F.explode("found").alias("f"))
+    return found.select("src", "row_key", F.col("f.pii_type").alias("pii_type"), F.col("f.occ").alias("occ")).distinct()
+
+
 # --- 3: oversized items ------------------------------------------------------------------------------------------
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("item_key"), F.col("markdown").alias("text"))
