@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeline.llm import chunking, conversations, knn, mixing, packing, pairs, pii, tokens
+from tomeline.llm import chunking, conversations, knn, mixing, packing, pairs, pii, sentences, tokens
 from tomeline.session import cut, table
 
 
@@ -143,6 +143,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sizes(spark, d, "source"), table(spark, d, "mix_targets"))[1]
 
 
+# --- 8: sentences ------------------------------------------------------------------------------------------------
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_sentences(spark, d).select("doc_id", "end_pos")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
