@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
@@ -18,10 +19,18 @@ FIT_ROWS = 300
 LATIN = ("en", "vi", "de", "fr", "es")
 # A script that settles the language.
 SCRIPTS = (("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("ko", regex.compile(r"\p{Hangul}")), ("zh", regex.compile(r"\p{Han}")), ("th", regex.compile(r"\p{Thai}")), ("hi", regex.compile(r"\p{Devanagari}")), ("ar", regex.compile(r"\p{Arabic}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("latin", regex.compile(r"\p{Latin}")))
+BEYOND_LATIN = regex.compile(r"[^\u0000-\u024f\u0300-\u036f\u1e00-\u1eff\u2000-\u206f\u20a0-\u20cf\u2200-\u22ff\u2700-\u27bf]")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
 
+@lru_cache(maxsize=100_000)
+def fold_word(word: str) -> str:
+    return fold(word)
+
+
 def fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     text = text.lower().replace("đ", "d").replace("ß", "ss")
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
@@ -68,20 +77,39 @@ def fit(documents: DataFrame) -> dict:
     return weights
 
 
+_SCORES: dict[str, tuple[int, tuple[float, ...]]] = {}
+
+
+def _word_score(word: str, weights: dict) -> tuple[int, tuple[float, ...]]:
+    """Known features of a word and their summed weights; words come again and again, so each task keeps them."""
+    got = _SCORES.get(word)
+    if got is None:
+        score, n = [0.0] * len(LATIN), 0
+        for f, c in features(word).items():
+            w = weights.get(f)
+            if w:
+                n += c
+                for i in range(len(LATIN)):
+                    score[i] += c * w[i]
+        if len(_SCORES) > 200_000:
+            _SCORES.clear()
+        got = _SCORES[word] = (n, tuple(score))
+    return got
+
+
 def detect(text: str, weights: dict) -> tuple[str | None, float]:
     """(language, margin per feature); no language for texts without letters or with an even mixture."""
-    script, share = script_of(text)
+    script, share = script_of(text) if BEYOND_LATIN.search(text) else (("latin", 1.0) if any(map(str.isalpha, text)) else (None, 0.0))
     if script is None or share < 0.5:
         return None, 0.0
     if script != "latin":
         return script, share
     score, n = [0.0] * len(LATIN), 0
-    for f, c in features(text).items():
-        w = weights.get(f)
-        if w:
-            n += c
-            for i in range(len(LATIN)):
-                score[i] += c * w[i]
+    for word in LETTERS.findall(text):
+        known, parts = _word_score(word, weights)
+        n += known
+        for i in range(len(LATIN)):
+            score[i] += parts[i]
     if not n:
         return None, 0.0
     order = sorted(range(len(LATIN)), key=lambda i: -score[i])

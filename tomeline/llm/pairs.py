@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -61,6 +62,9 @@ NEGATION = regex.compile(r"\b(?:not|no|nothing|none|can'?t|cannot|won'?t|unable|
 OPEN_END = regex.compile(r"(?:[,，、:：;；(\[（「『“«‘—–]|\s-|\b-)\s*$")
 DOTS_END = regex.compile(r"(?:…|\.\.\.)\s*$")
 STOP_END = regex.compile(r"(?:[.!?。！？।؟✔✓](?<!\.\.\.)|\|)[\"”’»)\]）」』*`\s]*$|```\s*$|\[[^\[\]]*\]\s*$|\([^()]*\)\s*$")
+VISIBLE, NUMBER, EMPHASIS = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"\p{N}"), regex.compile(r"[*_`>#]")
+FENCED, BOLD_END = regex.compile(r"```.*?```", regex.S), regex.compile(r"\*\*\s*$")
+ITEM_END = regex.compile(r"(?:^|\n)\s*(?:\p{N}{1,2}[.)]|[-*•])[\s*]*$")
 VALUE = regex.compile(r"^\W*\p{N}[\p{N}.,]*\s*\W*\p{L}{0,4}\W*$")
 
 # Labelled pairs on which the cutoffs are validated: (query, answer, defect or "").
@@ -79,15 +83,28 @@ VALIDATION = (
 
 
 def _plain(text: str) -> str:
-    return " ".join(TOKEN.findall(language.fold(MARKUP.sub(" ", text))))
+    return " ".join(map(language.fold_word, TOKEN.findall(MARKUP.sub(" ", text))))
 
 
 def _words(text: str) -> list[str]:
     return ["9" if t[0].isnumeric() else t for t in TOKEN.findall(text.lower())]
 
 
-def _gram(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
+@lru_cache(maxsize=200_000)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def _grams(hashes: list[int]) -> list[int]:
+    """Hashes of the last 7, 5, 4, 3, 2 and 1 of the words."""
+    out, h = [], 1469598103934665603
+    for n, w in enumerate(reversed(hashes[-7:]), 1):
+        h = (h * 1099511628211 + w) & 0xFFFFFFFFFFFFFFFF
+        if n != 6:
+            out.append(h - (1 << 63))
+    while len(out) < 6:
+        out.append(out[-1])
+    return out[::-1]
 
 
 def _without_leads(text: str) -> str:
@@ -116,9 +133,9 @@ def votes(query: str | None, answer: str | None, not_found: bool | None, weights
     """The votes of all functions but those that need the corpus."""
     text = answer or ""
     plain = _plain(text)
-    nothing = not regex.search(r"[\p{L}\p{N}]", MARKUP.sub("", text))
+    nothing = not VISIBLE.search(MARKUP.sub("", text))
     filler = plain in PLACEHOLDERS
-    brief = len(plain) <= 12 and not regex.search(r"\p{N}", plain) and not STOP_END.search(text)
+    brief = len(plain) <= 12 and not NUMBER.search(plain) and not STOP_END.search(text)
     out = {"empty": (1 if nothing else 0 if filler else -1, 1 if nothing or filler else -1, 1 if nothing or filler or brief else -1)}
     if nothing or filler:
         return out | {"copied": (0, 0, 0), "refusal": (0, 0, 0, 0), "other_language": (0, 0, 0), "truncated": (0, 0, 0)}
@@ -130,9 +147,9 @@ def votes(query: str | None, answer: str | None, not_found: bool | None, weights
         out["copied"] = (1 if own == 0 else -1, 1 if own <= 0.1 * n else -1, 1 if inside >= 0.95 and len(said) >= 0.6 * len(asked) and own < 0.5 * n else -1)
     else:
         out["copied"] = (0, 0, 0)
-    calm = HARMLESS.sub(" ", regex.sub(r"[*_`>#]", " ", text) if not text.strip().upper().startswith("NOT_FOUND") else text)
+    calm = HARMLESS.sub(" ", EMPHASIS.sub(" ", text) if not text.strip().upper().startswith("NOT_FOUND") else text)
     parts = [SHORT_LEAD.sub("", s) for s in _sentences(calm)]
-    parts = [s for s in parts if not ASIDE.match(s) and regex.search(r"[\p{L}\p{N}]", s)]
+    parts = [s for s in parts if not ASIDE.match(s) and VISIBLE.search(s)]
     declining = [bool(REFUSALS.search(s)) for s in parts]
     share = sum(declining) / max(1, len(parts))
     out["refusal"] = (
@@ -146,16 +163,17 @@ def votes(query: str | None, answer: str | None, not_found: bool | None, weights
     if asked_in[0] and said_in[0]:
         differs = asked_in[0] != said_in[0]
         sure = 1 if said_in[0] not in language.LATIN or asked_in[0] not in language.LATIN else said_in[1] > 0.25 and asked_in[1] > 0.1
-        each = [d for s in _sentences(text) if len(s) > 8 and (d := language.detect(s, weights)[0])]
+        # where the whole answer is in the language of the query, so are most of its sentences
+        each = [d for s in _sentences(text) if len(s) > 8 and (d := language.detect(s, weights)[0])] if differs else [asked_in[0]]
         other = sum(d != asked_in[0] for d in each) / len(each) if each else 0.0
         out["other_language"] = ((1 if sure else 0) if differs else -1, (1 if other > 0.5 else -1) if each else 0, 1 if differs and sum(c.isalpha() for c in text) > 12 else -1)
     else:
         out["other_language"] = (0, 0, 0)
     tail = text.rstrip()
     fences = tail.count("```") % 2 == 1
-    flat = regex.sub(r"```.*?```", "", tail, flags=regex.S)
+    flat = FENCED.sub("", tail)
     unclosed = fences or flat.count("**") % 2 == 1 or any(flat.count(a) > flat.count(b) for a, b in (("(", ")"), ("[", "]"), ("“", "”"), ("（", "）"), ("「", "」"), ("«", "»")) if not ("„" in flat and a == "“"))
-    dangling = fences or bool(regex.search(r"\*\*\s*$", tail) and flat.count("**") % 2 == 1) or bool(regex.search(r"(?:^|\n)\s*(?:\p{N}{1,2}[.)]|[-*•])[\s*]*$", tail))
+    dangling = fences or bool(BOLD_END.search(tail) and flat.count("**") % 2 == 1) or bool(ITEM_END.search(tail))
     ends = bool(STOP_END.search(tail)) and not DOTS_END.search(tail) and not dangling
     out["truncated"] = (1 if dangling or OPEN_END.search(tail) else -1 if ends else 0, 1 if unclosed else -1 if ends else 0, 1 if DOTS_END.search(tail) else -1 if ends else 0)
     return out
@@ -168,12 +186,11 @@ def ending(answer: str | None) -> list[int] | None:
     text = answer.rstrip()
     if STOP_END.search(text) and not DOTS_END.search(text):
         return None
-    lines = _sentences(regex.sub(r"(?:…|\.\.\.)\s*$", "", text).rstrip())
+    lines = _sentences(DOTS_END.sub("", text).rstrip())
     words = _words(lines[-1]) if lines else []
     if len(words) < 2 or VALUE.match(lines[-1]):
         return None
-    start = ["^", *words]
-    return [_gram(start[-n:]) for n in (*ORDERS, 1)]
+    return _grams([_word_hash("^"), *map(_word_hash, words)])
 
 
 def _vote_batches(weights: dict):
@@ -206,15 +223,14 @@ def _gram_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             open_end = ending(answer) is not None
             lines = _sentences(answer)
             for i, line in enumerate(lines):
-                words = ["^", *_words(line)]
+                words = [_word_hash("^"), *map(_word_hash, _words(line))]
                 for j in range(2, len(words) + 1):
                     last = j == len(words)
                     if last and open_end and i == len(lines) - 1:
                         continue
                     to = ends if last else goes
-                    for n in (*ORDERS, 1):
-                        if n < 7 or j >= 2:
-                            to[_gram(words[max(0, j - n) : j])] += 1
+                    for g in set(_grams(words[max(0, j - 7) : j])):
+                        to[g] += 1
             if len(ends) + len(goes) > 400_000:
                 yield flush()
     yield flush()

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeline.llm.language import fold
+from tomeline.llm.language import fold, fold_word
 from tomeline.session import cut
 
 KINDS = ("email", "address", "id_number", "phone", "name")
@@ -77,10 +77,34 @@ BEFORE = regex.compile(
 AFTER = regex.compile(r"^(?:[ ]*(?:told me to ask|left a scarf|and i swapped|know\b|still at|hat mich geschickt|m'?a dit de|est passé|me mandó aquí|bảo tôi hỏi|để quên|share one card|ghi\b|ở\b|hier\b)|:? two crates|, identity| ?<| ?\()", I)
 # Words that open a sentence before a name and are none themselves.
 NO_NAME = frozenset("yesterday hier for ayer gestern i'm mr mrs ms mx dr mme frau herr signed noted is rufen don who this contact ask the and hôm qua nha lien he ich je me my".split())
+# Openings of the wordings above, as the automaton looks for them.
+CUES = (
+    "thank you,", "thanks,", "hello ", "dear ", "bonjour ", "hallo ", "hola ", "chào ", "signed,", "noted for", "please let", "who is", "name is", "this is ", "i'm ", "i am ", "booked by", "card is under", "contact:", "holder", "papers of", "name=", "ask ",
+    "deliver", "ship to", "yesterday ", "gestern war", "ich heiße", "lieferung an", "m'appelle", "livrez à", "hier ", "me llamo", "ayer vino", "entregue a", "tôi là", "tên", "nhắn giúp", "ai là", "giấy tờ", "liên hệ", "nhà ", "hôm qua", "told me to", "left a scarf", "swapped",
+    " know", "still at", "hat mich", "m'a dit", "est passé", "me mandó", "bảo tôi", "để quên", "share one", "two crates", ", identity", " <", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "mx ", "mx. ", "miss ", "dr ", "dr. ", "prof ", "prof. ", "herr ", "frau ", "mme ", "don ", "doña ", "sr ", "sr. ", "sra ", "sra. ", "señor ", "señora ", "m. ",
+)
 TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 INITIAL = regex.compile(r"\p{Lu}\.?$")
 
 
+GATE = regex.compile(r"[\p{N}@＠]|\bdot\b|\(at\)|\[at\]|\b(?:thôn|thon|ấp|bản|zero|five|seven)\b", I)
+
+
+@lru_cache(maxsize=1)
+def _cue_automaton():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in CUES:
+        a.add_word(w, 1)
+    a.make_automaton()
+    return a
+
+
+def _has_cue(text: str) -> bool:
+    return next(_cue_automaton().iter(text.lower()), None) is not None
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -109,14 +133,20 @@ def _windows(text: str) -> dict[str, list[tuple[int, int]]]:
     return {k: [tuple(s) for s in v] for k, v in out.items()}
 
 
+def _may_hold_email(text: str) -> bool:
+    return "@" in text or "＠" in text or " dot " in text.lower() or "at)" in text.lower() or "at]" in text.lower()
+
+
 def _free(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
     return all(b <= s or a >= e for s, e, _ in taken)
 
 
 def numbers_and_addresses(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of everything but names."""
-    windows = _windows(text)
     taken: list[tuple[int, int, str]] = []
+    if not GATE.search(text):
+        return taken  # neither a digit nor a word that an address, e-mail address or spoken number needs
+    windows = _windows(text)
 
     def search(pattern, kind: str, anchors: str, ok=lambda m: True) -> None:
         for a, b in windows.get(anchors, ()):
@@ -124,7 +154,8 @@ def numbers_and_addresses(text: str) -> list[tuple[int, int, str]]:
                 if m.end() > m.start() and _free(taken, m.start(), m.end()) and ok(m):
                     taken.append((m.start(), m.start() + len(m[0].rstrip(" ,;-\n\r")), kind))
 
-    search(EMAIL, "email", "email")
+    if _may_hold_email(text):
+        search(EMAIL, "email", "email")
     search(ADDRESS, "address", "address")
     search(ID, "id_number", "number", lambda m: not OTHER_NUMBER.search(text[max(0, m.start() - 24) : m.start()]))
 
@@ -152,7 +183,7 @@ def _tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int
             k += 1
         if k < len(spans) and m.start() < spans[k][1] and m.end() > spans[k][0]:
             continue
-        out.append((m.start(), m.end(), m[0], fold(m[0])))
+        out.append((m.start(), m.end(), m[0], fold_word(m[0])))
     return out
 
 
@@ -161,7 +192,10 @@ def _joined(text: str, a: tuple, b: tuple) -> bool:
 
 
 def name_evidence(text: str) -> list[tuple[str, str]]:
-    """(role, folded word) for words that a cue or a title announces as a name in capitals; role ? counts every word."""
+    """(role, folded word) for words that a cue or a title announces as a name in capitals; role ? counts every
+    word of a text that holds a cue."""
+    if not _has_cue(text):
+        return []
     taken = numbers_and_addresses(text)
     toks = _tokens(text, taken)
     out = [("?", t[3]) for t in toks]
@@ -199,13 +233,16 @@ def with_parts(words: dict[str, frozenset]) -> dict[str, frozenset]:
     """Adds the beginnings and ends that at least three family names share."""
     starts = Counter(w[:k] for w in words["sur"] for k in range(2, min(6, len(w) - 2)))
     ends = Counter(w[k:] for w in words["sur"] for k in range(2, len(w) - 2))
-    return words | {"starts": frozenset(w for w, n in starts.items() if n >= 3), "ends": frozenset(w for w, n in ends.items() if n >= 3)}
+    return words | {"every": words["given"] | words["sur"] | words["vn1"], "starts": frozenset(w for w, n in starts.items() if n >= 3), "ends": frozenset(w for w, n in ends.items() if n >= 3)}
 
 
 def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, frozenset]) -> list[tuple[int, int, str]]:
+    given, sur = words["given"], words["sur"]
+    every = words.get("every")
+    if every is not None and every.isdisjoint(map(fold_word, TOKEN.findall(text))) and not _has_cue(text):
+        return []
     toks = _tokens(text, taken)
     out, i = [], 0
-    given, sur = words["given"], words["sur"]
     while i < len(toks):
         t = toks[i]
         nxt = toks[i + 1] if i + 1 < len(toks) and _joined(text, t, toks[i + 1]) else None
