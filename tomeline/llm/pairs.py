@@ -62,6 +62,7 @@ NEGATION = regex.compile(r"\b(?:not|no|nothing|none|can'?t|cannot|won'?t|unable|
 OPEN_END = regex.compile(r"(?:[,，、:：;；(\[（「『“«‘—–]|\s-|\b-)\s*$")
 DOTS_END = regex.compile(r"(?:…|\.\.\.)\s*$")
 STOP_END = regex.compile(r"(?:[.!?。！？।؟✔✓](?<!\.\.\.)|\|)[\"”’»)\]）」』*`\s]*$|```\s*$|\[[^\[\]]*\]\s*$|\([^()]*\)\s*$")
+NUMBERS = regex.compile(r"\p{N}+")
 VISIBLE, NUMBER, EMPHASIS = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"\p{N}"), regex.compile(r"[*_`>#]")
 FENCED, BOLD_END = regex.compile(r"```.*?```", regex.S), regex.compile(r"\*\*\s*$")
 ITEM_END = regex.compile(r"(?:^|\n)\s*(?:\p{N}{1,2}[.)]|[-*•])[\s*]*$")
@@ -207,32 +208,39 @@ def _vote_batches(weights: dict):
 
 
 def _gram_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How often each run of words ends a sentence and how often it goes on, summed within the task."""
-    ends: Counter = Counter()
-    goes: Counter = Counter()
+    """How often each run of words ends a sentence and how often it goes on, summed within the task.
+
+    Sentences alike but for their numbers are counted first and taken apart once.
+    """
+    whole: Counter = Counter()
+    broken: Counter = Counter()
 
     def flush() -> pd.DataFrame:
+        ends: Counter = Counter()
+        goes: Counter = Counter()
+        start = _word_hash("^")
+        for lines, closed in ((whole, True), (broken, False)):
+            for line, times in lines.items():
+                words = [start, *map(_word_hash, _words(line))]
+                last = len(words)
+                for j in range(2, last + 1):
+                    if j == last and not closed:
+                        break
+                    to = ends if j == last else goes
+                    for g in dict.fromkeys(_grams(words[max(0, j - 7) : j])):
+                        to[g] += times
+            lines.clear()
         keys = list(ends.keys() | goes.keys())
-        out = pd.DataFrame({"gram": keys, "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
-        ends.clear()
-        goes.clear()
-        return out
+        return pd.DataFrame({"gram": keys, "ends": [ends[k] for k in keys], "goes": [goes[k] for k in keys]})
 
     for b in batches:
         for answer in b["answer"].dropna():
-            open_end = ending(answer) is not None
-            lines = _sentences(answer)
-            for i, line in enumerate(lines):
-                words = [_word_hash("^"), *map(_word_hash, _words(line))]
-                for j in range(2, len(words) + 1):
-                    last = j == len(words)
-                    if last and open_end and i == len(lines) - 1:
-                        continue
-                    to = ends if last else goes
-                    for g in set(_grams(words[max(0, j - 7) : j])):
-                        to[g] += 1
-            if len(ends) + len(goes) > 400_000:
-                yield flush()
+            lines = [NUMBERS.sub("9", line) for line in _sentences(answer.lower())]
+            if lines and ending(answer) is not None:
+                broken[lines.pop()] += 1
+            whole.update(lines)
+        if len(whole) + len(broken) > 60_000:
+            yield flush()
     yield flush()
 
 
