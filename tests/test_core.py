@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeline.functions import text as T
-from tomeline.operators import lexical, metrics, retrieval
+from tomeline.operators import lexical, metrics, retrieval, selection
 from tomeline.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -124,3 +124,21 @@ def test_query_equals_its_sql(spark, name):
 def test_core_stands_without_the_training_data_part():
     code = "import sys; sys.modules['tomeline.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k[0] == 'p' and k[1].isdigit() for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_heading_sections_ignore_fences(spark):
+    page = "intro\r\n# T\nx\n```\n# no\n```\n## B ##\ny"
+    df = spark.createDataFrame([("p", page), ("q", None), ("r", "plain")], "page_id string, markdown string")
+    got = [(r["page_id"], r["ord"], r["title"], r["body"]) for r in selection.heading_sections(df, "page_id", "markdown").orderBy("page_id", "ord").collect()]
+    assert got == [("p", 0, "(opening)", "intro"), ("p", 1, "T", "# T\nx\n```\n# no\n```"), ("p", 2, "B", "## B ##\ny"), ("r", 0, "(opening)", "plain")]
+
+
+def test_coverage_and_greedy_cover(spark):
+    asked = spark.createDataFrame([(1, "refund policy rules and shipping label size"), (2, None)], "qid long, query string")
+    parts = selection.question_parts(asked)
+    assert parts.count() == 2
+    words = spark.createDataFrame([(1, "a", ["refund", "policy"]), (1, "b", ["shipping", "label", "refund", "rules"]), (1, "c", ["none"])], "qid long, page_id string, words array<string>")
+    covered = selection.coverage(parts, words)
+    assert rows(covered.groupBy("page_id").count()) == [("a", 1), ("b", 2)]
+    ranks = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "qid long, page_id string, rank int")
+    assert rows(selection.greedy_cover(covered, ranks)) == [(1, "b", 1)]

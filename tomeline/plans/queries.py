@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tomeline.functions import text as T
-from tomeline.operators import lexical, metrics, retrieval
-from tomeline.session import table
+from tomeline.operators import lexical, metrics, retrieval, selection
+from tomeline.session import cut, table
+from tomeline.streaming import log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -411,3 +412,71 @@ def document_sources(spark, d):
 @query("SELECT text, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def document_copies(spark, d):
     return table(spark, d, "documents").where("text is not null").groupBy("text").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+# --- selection -----------------------------------------------------------------------------------------------------
+@query()
+def heading_sections(spark, d):
+    pages = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.any_value("markdown").alias("markdown"))
+    return _long(selection.heading_sections(pages, "page_id", "markdown"), "ord")
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "trajectories").where("id % 20 = 0 and query is not null").select(F.col("id").alias("qid"), "query").distinct()
+    return selection.question_parts(asked)
+
+
+def _covered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ranks = _lexical(spark, d).select("qid", "page_id", "rank")
+    words = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.any_value("markdown").alias("markdown")).select("page_id", T.content_words(F.col("markdown")).alias("words"))
+    return selection.coverage(_parts(spark, d), ranks.join(words, "page_id").select("qid", "page_id", "words")), ranks
+
+
+@query()
+def coverage_map(spark, d):
+    return _covered(spark, d)[0]
+
+
+@query()
+def set_cover(spark, d):
+    covered, ranks = _covered(spark, d)
+    return selection.greedy_cover(cut(covered, "covered"), cut(ranks, "ranks"))
+
+
+# --- containers of vectors -----------------------------------------------------------------------------------------
+UNIT = """rows_ AS (SELECT id, page_id, book_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM questions WHERE book_id IS NOT NULL AND len(embedding) = 64
+    AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AND NOT isnan(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))),
+unit AS (SELECT id, page_id, book_id, i, e[CAST(i AS BIGINT)] / n AS x FROM rows_, range(1, 65) t(i)),
+books AS (SELECT book_id, i, sum(x) AS s, count(*) AS c FROM unit GROUP BY ALL)"""
+
+
+def _unit(spark: SparkSession, d: str) -> DataFrame:
+    rows = retrieval.usable(table(spark, d, "questions").where("book_id is not null"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return rows.withColumn("n", norm).select("id", "page_id", "book_id", F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("n"))).alias("u"))
+
+
+@query(f"WITH {UNIT} SELECT book_id, max(c) AS n_rows, round(sqrt(sum((s / c) * (s / c))), 6) AS tightness FROM books GROUP BY 1")
+def book_tightness(spark, d):
+    """Length of the mean unit vector of each book: 1 if all its rows point one way."""
+    sums = _unit(spark, d).select("book_id", F.posexplode("u").alias("i", "x")).groupBy("book_id", "i").agg(F.avg("x").alias("m"), F.count("*").alias("c"))
+    return sums.groupBy("book_id").agg(F.max("c").alias("n_rows"), F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 6).alias("tightness"))
+
+
+@query(f"WITH {UNIT} SELECT id, u.book_id, round(sum(x * (s - x)) / sqrt(sum((s - x) * (s - x))), 5) AS own_cosine FROM unit u JOIN books b ON u.book_id = b.book_id AND u.i = b.i WHERE c > 1 AND id % 20 = 0 GROUP BY ALL")
+def leave_one_out_own_book(spark, d):
+    """Cosine of every twentieth row with the centroid of its book without that row; books of one row are skipped."""
+    unit = _unit(spark, d)
+    sums = unit.select("book_id", F.posexplode("u").alias("i", "x")).groupBy("book_id", "i").agg(F.sum("x").alias("s"), F.count("*").alias("c"))
+    centroid = sums.groupBy("book_id").agg(F.max("c").alias("c"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("s")).where("c > 1")
+    joined = unit.where("id % 20 = 0").join(centroid, "book_id").withColumn("rest", F.zip_with("s", "u", lambda a, b: a - b))
+    dot = F.aggregate(F.zip_with("u", "rest", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    norm = F.sqrt(F.aggregate("rest", F.lit(0.0), lambda a, x: a + x * x))
+    return joined.select("id", "book_id", F.round(F.try_divide(dot, norm), 5).alias("own_cosine"))
+
+
+# --- the log as a stream -------------------------------------------------------------------------------------------
+@query("SELECT date_trunc('day', created_at) AS start, status, count(*) AS queries, CAST(sum(hops) AS BIGINT) AS hops FROM trajectories GROUP BY ALL")
+def streamed_status(spark, d):
+    log_table = table(spark, d, "trajectories")
+    return log.run_windowed_status(spark, f"{d}/trajectories.parquet", log_table.schema).withColumn("start", F.col("start").cast("timestamp_ntz"))
