@@ -130,6 +130,23 @@ def test_neighbours_reach_recall_and_keep_copies(spark):
     assert [o for _, o, _ in sorted(got[2999])] == [0, *range(2980, 2989)]
 
 
+def test_greedy_search_reaches_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 2500)] + 0.4 * rng.normal(size=(2500, 16))).astype(np.float32)
+    packed = knn.pack_vectors(spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(2500)], "id long, v array<float>"), "id", "v")
+    graph, _ = knn.neighbour_graph(packed, keep_vectors=True)
+    found = knn.search(packed.where("nid % 20 = 0"), graph, graph.select("nid", "home")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for i in range(0, 2500, 20):
+        s = u @ u[i]
+        s[i] = -2
+        kth = np.sort(s)[-10]
+        hit += sum(s[r["nid"]] >= kth - 1e-4 for r in found if r["qid"] == i)
+    assert hit / 1250 >= 0.9 and all(r["qid"] != r["nid"] for r in found)
+
+
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], "id long, v array<float>")
     assert knn.nearest(*knn.neighbour_graph(knn.pack_vectors(df, "id", "v"))).count() == 0
