@@ -123,7 +123,9 @@ def _windows(text: str) -> dict[str, list[tuple[int, int]]]:
     if len(low) != len(text):  # a few letters change length in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out: dict[str, list[list[int]]] = {}
-    for end, (kind, _) in _automaton().iter(low):
+    for end, (kind, n) in _automaton().iter(low):
+        if low[end + 1 : end + 2].isalpha() and (kind == "spoken" or kind == "address" and low[end - n + 1] == " "):
+            continue  # only the beginning of a longer word
         spans = out.setdefault(kind, [])
         a, b = max(0, end - REACH), min(len(text), end + REACH)
         if spans and a <= spans[-1][1]:
