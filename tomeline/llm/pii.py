@@ -11,6 +11,7 @@ go to the earlier kind of KINDS; texts are scanned whole, however long; an empty
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -68,7 +69,7 @@ SHAPES = regex.compile(
     r"^(?:(?:\+|00)[\d ().\-/]{8,}|0\d{4} ?\d{6}|0\d{3} ?\d{3} ?\d{4}|0\d(?:[ .]\d{2}){4}|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|555-\d{4}|0\d{2,3} ?/ ?\d{4,8}(?: \d{2,4})?)$"
 )
 TITLE = r"(?:mr|mrs|ms|mx|miss|dr|prof|herr|frau|hr|fr|mme|mlle|señora?|sra?|sr|ông|bà|anh|chị)"
-HONORIFIC = regex.compile(r"^(?:mr|mrs|ms|mx|miss|dr|prof|herr|frau|mme|mlle|m|señor|señora|sr|sra|don|doña)$", I)
+HONORIFIC = frozenset("mr mrs ms mx miss dr prof herr frau mme mlle m señor señora sr sra don doña".split())
 # Wordings right before or after a name.
 BEFORE = regex.compile(
     r"(?:thank you,|thanks,|hello|hi|dear|bonjour|hallo|hola|chào|signed,|noted for|please let|who is|my name is|this is|i'?m|i am|booked by|card is under|contact:|holder of \S+(?: \S+){0,3} is|papers of|\"holder\": \"|name=|ask|for|deliver(?:y)? to|ship to:?|yesterday|is|gestern war|ich heiße|lieferung an|je m'?appelle|livrez à|hier|me llamo|ayer vino|entregue a|tôi tên là|tên tôi là|ký tên|đứng tên|nhắn giúp|ai là|giấy tờ của|liên hệ|nhà|hôm qua)[ ]*$",
@@ -84,7 +85,11 @@ CUES = (
     " know", "still at", "hat mich", "m'a dit", "est passé", "me mandó", "bảo tôi", "để quên", "share one", "two crates", ", identity", " <", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "mx ", "mx. ", "miss ", "dr ", "dr. ", "prof ", "prof. ", "herr ", "frau ", "mme ", "don ", "doña ", "sr ", "sr. ", "sra ", "sra. ", "señor ", "señora ", "m. ",
 )
 TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-INITIAL = regex.compile(r"\p{Lu}\.?$")
+# Latin text without combining marks or fraction and superscript digits: there [^\W\d_] is \p{L}, which the faster module knows.
+LATIN = re.compile(r"[\x00-\x7f\xa0\xab\xbb\xbf-\u024f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e]*\Z")
+LATIN_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+SIX_DIGITS = re.compile(r"\d(?:[ \-./()]{0,5}\d){5}")  # every identity and phone number in figures holds such a run
+MEMO_CHARS, MEMO_TEXTS = 400, 50_000  # a task keeps what it found in so many short texts, as many are sent again
 
 
 GATE = regex.compile(r"[\p{N}@＠]|\bdot\b|\(at\)|\[at\]|\b(?:thôn|thon|ấp|bản|zero|five|seven)\b", I)
@@ -139,6 +144,14 @@ def _may_hold_email(text: str) -> bool:
     return "@" in text or "＠" in text or " dot " in text.lower() or "at)" in text.lower() or "at]" in text.lower()
 
 
+def _words(text: str) -> re.Pattern:
+    return LATIN_TOKEN if LATIN.match(text) else TOKEN
+
+
+def _is_honorific(word: str) -> bool:
+    return word.lower() in HONORIFIC
+
+
 def _free(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
     return all(b <= s or a >= e for s, e, _ in taken)
 
@@ -159,7 +172,9 @@ def numbers_and_addresses(text: str) -> list[tuple[int, int, str]]:
     if _may_hold_email(text):
         search(EMAIL, "email", "email")
     search(ADDRESS, "address", "address")
-    search(ID, "id_number", "number", lambda m: not OTHER_NUMBER.search(text[max(0, m.start() - 24) : m.start()]))
+    in_figures = SIX_DIGITS.search(text)
+    if in_figures:
+        search(ID, "id_number", "number", lambda m: not OTHER_NUMBER.search(text[max(0, m.start() - 24) : m.start()]))
 
     def is_phone(m) -> bool:
         digits = sum(c.isdigit() for c in m[0])
@@ -171,16 +186,19 @@ def numbers_and_addresses(text: str) -> list[tuple[int, int, str]]:
         bare = bare[1:-1] if regex.match(r"\([^()]*\)$", bare) else bare
         return bool(SHAPES.match(bare) or (PHONE_CUE.search(before) and digits >= 8 and not regex.match(r"\d{1,2}[./]\d{1,2}[./]\d{2,4}$", m[0])))
 
-    search(PHONE, "phone", "number", is_phone)
+    if in_figures:
+        search(PHONE, "phone", "number", is_phone)
     search(SPOKEN, "phone", "spoken")
     return taken
 
 
 def _tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
     """(start, end, word, folded word) outside what is taken."""
+    if not taken:
+        return [(m.start(), m.end(), m[0], fold_word(m[0])) for m in _words(text).finditer(text)]
     out, spans = [], sorted(taken)
     k = 0
-    for m in TOKEN.finditer(text):
+    for m in _words(text).finditer(text):
         while k < len(spans) and spans[k][1] <= m.start():
             k += 1
         if k < len(spans) and m.start() < spans[k][1] and m.end() > spans[k][0]:
@@ -196,22 +214,23 @@ def _joined(text: str, a: tuple, b: tuple) -> bool:
 def name_evidence(text: str) -> list[tuple[str, str]]:
     """(role, folded word) for words that a cue or a title announces as a name in capitals; role ? counts every
     word of a text that holds a cue."""
-    if not _has_cue(text):
-        return []
     taken = numbers_and_addresses(text)
     toks = _tokens(text, taken)
     out = [("?", t[3]) for t in toks]
     i = 0
     while i < len(toks):
+        if not toks[i][2][0].isupper() and not _is_honorific(toks[i][2]):
+            i += 1
+            continue
         j = i
         while j + 1 < len(toks) and toks[j][2][0].isupper() and toks[j + 1][2][0].isupper() and text[toks[j][1] : toks[j + 1][0]] in (" ", "-"):
             j += 1
         run = toks[i : j + 1]
-        while len(run) > 1 and run[0][3] in NO_NAME and not HONORIFIC.match(run[0][2]):
+        while len(run) > 1 and run[0][3] in NO_NAME and not _is_honorific(run[0][2]):
             run = run[1:]
-        if run[0][2][0].isupper() and run[0][3] not in NO_NAME or HONORIFIC.match(run[0][2]):
+        if run[0][2][0].isupper() and run[0][3] not in NO_NAME or _is_honorific(run[0][2]):
             before, after = text[max(0, run[0][0] - 40) : run[0][0]], text[run[-1][1] : run[-1][1] + 24]
-            if HONORIFIC.match(run[0][2]) and len(run) in (2, 3):
+            if _is_honorific(run[0][2]) and len(run) in (2, 3):
                 out += [("sur", run[-1][3])]
             elif BEFORE.search(before) or AFTER.match(after):
                 spaced = [r for k, r in enumerate(run) if k == 0 or text[run[k - 1][1]] == " "]
@@ -240,13 +259,16 @@ def with_parts(words: dict[str, frozenset]) -> dict[str, frozenset]:
 
 def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, frozenset]) -> list[tuple[int, int, str]]:
     given, sur = words["given"], words["sur"]
-    every = words.get("every")
-    if every is not None and every.isdisjoint(map(fold_word, TOKEN.findall(text))) and not _has_cue(text):
+    every = words["every"]
+    if every.isdisjoint(map(fold_word, _words(text).findall(text))) and not _has_cue(text):
         return []
     toks = _tokens(text, taken)
     out, i = [], 0
     while i < len(toks):
         t = toks[i]
+        if t[3] not in every and not t[2][0].isupper() and not _is_honorific(t[2]):
+            i += 1  # begins no name
+            continue
         nxt = toks[i + 1] if i + 1 < len(toks) and _joined(text, t, toks[i + 1]) else None
         # Vietnamese: family name, middle name, given name
         third = toks[i + 2] if nxt and i + 2 < len(toks) and _joined(text, nxt, toks[i + 2]) else None
@@ -255,7 +277,7 @@ def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, fr
             i += 3
             continue
         j = i
-        if HONORIFIC.match(t[2]) and nxt and (nxt[3] in sur or nxt[3] in given or (t[2][0].isupper() and nxt[2][0].isupper() and len(t[2]) > 1 and len(nxt[2]) > 2)):
+        if _is_honorific(t[2]) and nxt and (nxt[3] in sur or nxt[3] in given or (t[2][0].isupper() and nxt[2][0].isupper() and len(t[2]) > 1 and len(nxt[2]) > 2)):
             j = i + 1
         start, kinds = i, []
         while j < len(toks) and (toks[j][3] in given or toks[j][3] in sur or (j > start and len(toks[j][3]) == 1 and kinds)) and (j == start or _joined(text, toks[j - 1], toks[j])):
@@ -270,10 +292,10 @@ def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, fr
             j += 1
         if not kinds and len(t[2]) == 1 and t[2].isupper() and nxt and nxt[2][0].isupper() and text[t[1]] == "." and (nxt[3] in sur or _like_family_name(nxt[3], words) or BEFORE.search(text[max(0, t[0] - 40) : t[0]]) or AFTER.match(text[nxt[1] : nxt[1] + 24])):
             kinds, j = ["i", "s"], i + 2
-        if not kinds and not HONORIFIC.match(t[2]) and t[2][0].isupper() and t[3] not in NO_NAME and len(t[3]) > 3 and regex.search(r"[.!?]?\s*$", text[: t[0]]) and _like_family_name(t[3], words):
+        if not kinds and not _is_honorific(t[2]) and t[2][0].isupper() and t[3] not in NO_NAME and len(t[3]) > 3 and regex.search(r"[.!?]?\s*$", text[: t[0]]) and _like_family_name(t[3], words):
             if AFTER.match(text[t[1] : t[1] + 24]) or BEFORE.search(text[max(0, t[0] - 40) : t[0]]):
                 kinds, j = ["s"], i + 1
-        if HONORIFIC.match(t[2]) and nxt and not kinds and j == i + 1:
+        if _is_honorific(t[2]) and nxt and not kinds and j == i + 1:
             kinds, j = ["s"], i + 2
         if kinds:
             # family name, given name
@@ -303,7 +325,8 @@ def _lexicon_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         for text in b["text"].dropna():
-            counts.update(name_evidence(text))
+            if _has_cue(text):
+                counts.update(name_evidence(text))
         if len(counts) > 300_000:
             yield flush()
     yield flush()
@@ -322,26 +345,33 @@ ROLES = ("given", "sur", "vn1", "vn2", "vn3")
 
 
 def _finder(shared: dict[str, frozenset] | None):
+    def find(text: str, words: dict[str, frozenset]) -> tuple[str, list[dict]]:
+        spans = numbers_and_addresses(text)
+        spans += find_names(text, spans, words)
+        spans.sort()
+        seen: Counter = Counter()
+        clean, last, kinds = [], 0, []
+        for a, z, kind in spans:
+            seen[kind] += 1
+            kinds.append({"pii_type": kind, "occ": seen[kind], "start_pos": a, "end_pos": z})
+            clean += [text[last:a], PLACEHOLDER[kind]]
+            last = z
+        return "".join([*clean, text[last:]]), kinds
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, tuple[str, list[dict]]] = {}
         for b in batches:
             rows = []
             for src, key, text, own in zip(b["src"], b["row_key"], b["text"], b["names"], strict=True):
-                words = shared
-                if words is None:
+                words, known = shared, memo.get(text)
+                if words is None:  # the same text has the same words
                     pairs = [w.split(":", 1) for w in (own if own is not None else ())]
                     words = {r: frozenset(w for role, w in pairs if role == r) for r in ROLES}
-                spans = numbers_and_addresses(text)
-                spans += find_names(text, spans, words)
-                spans.sort()
-                seen: Counter = Counter()
-                clean, last = [], 0
-                kinds = []
-                for a, z, kind in spans:
-                    seen[kind] += 1
-                    kinds.append({"pii_type": kind, "occ": seen[kind], "start_pos": a, "end_pos": z})
-                    clean += [text[last:a], PLACEHOLDER[kind]]
-                    last = z
-                rows.append((src, key, "".join([*clean, text[last:]]), kinds))
+                if known is None:
+                    known = find(text, words)
+                    if len(text) <= MEMO_CHARS and len(memo) < MEMO_TEXTS:
+                        memo[text] = known
+                rows.append((src, key, *known))
             yield pd.DataFrame(rows, columns=["src", "row_key", "clean_text", "found"])
 
     return run
