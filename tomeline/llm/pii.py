@@ -246,7 +246,9 @@ def name_evidence(text: str) -> list[tuple[str, str]]:
 
 def _like_family_name(word: str, words: dict[str, frozenset]) -> bool:
     """Built from a beginning and an end that known family names have."""
-    starts, ends = words.get("starts") or frozenset(), words.get("ends") or frozenset()
+    if "like" in words:  # found by joins
+        return word in words["like"]
+    starts, ends = words["starts"], words["ends"]
     return any(word[:k] in starts and word[k:] in ends for k in range(2, len(word) - 2))
 
 
@@ -257,6 +259,18 @@ def with_parts(words: dict[str, frozenset]) -> dict[str, frozenset]:
     return words | {"every": words["given"] | words["sur"] | words["vn1"], "starts": frozenset(w for w, n in starts.items() if n >= 3), "ends": frozenset(w for w, n in ends.items() if n >= 3)}
 
 
+def _like_family_names(seen: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The words of seen(word) that _like_family_name would accept, by joins."""
+    last = F.length("word") - 3
+    family = lexicon.where("role = 'sur'").select("word").distinct()
+    at = lambda df, end: df.where(end >= 2).withColumn("k", F.explode(F.sequence(F.lit(2), end)))
+    begin, rest = F.expr("substring(word, 1, k)"), F.expr("substring(word, k + 1)")
+    starts = at(family, F.least(F.lit(5), last)).groupBy(begin.alias("begin")).agg(F.count("*").alias("n")).where("n >= 3").select("begin")
+    ends = at(family, last).groupBy(rest.alias("rest")).agg(F.count("*").alias("n")).where("n >= 3").select("rest")
+    split = at(seen.distinct(), last).select("word", begin.alias("begin"), rest.alias("rest"))
+    return split.join(starts, "begin", "left_semi").join(ends, "rest", "left_semi").select("word").distinct()
+
+
 def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, frozenset]) -> list[tuple[int, int, str]]:
     given, sur = words["given"], words["sur"]
     every = words["every"]
@@ -366,7 +380,8 @@ def _finder(shared: dict[str, frozenset] | None):
                 words, known = shared, memo.get(text)
                 if words is None:  # the same text has the same words
                     pairs = [w.split(":", 1) for w in (own if own is not None else ())]
-                    words = {r: frozenset(w for role, w in pairs if role == r) for r in ROLES}
+                    words = {r: frozenset(w for role, w in pairs if role == r) for r in (*ROLES, "like")}
+                    words["every"] = words["given"] | words["sur"] | words["vn1"]
                 if known is None:
                     known = find(text, words)
                     if len(text) <= MEMO_CHARS and len(memo) < MEMO_TEXTS:
@@ -387,9 +402,12 @@ def redact(texts: DataFrame) -> DataFrame:
         source = texts.withColumn("names", F.lit(None).cast("array<string>"))
     else:
         shared = None
-        words = texts.select("src", "row_key", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}'’]+"))).alias("w"))
         folded = F.pandas_udf(lambda w: w.map(fold), "string")
-        own = words.withColumn("word", folded("w")).join(lexicon, "word")
+        token = F.lit(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
+        words = texts.select("src", "row_key", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all("text", token, F.lit(0)))).alias("w"))
+        words = words.withColumn("word", folded("w")).drop("w")
+        like = _like_family_names(words.select("word"), lexicon).select(F.lit("like").alias("role"), "word")
+        own = words.join(lexicon.unionByName(like), "word")
         own = own.groupBy("src", "row_key", "h").agg(F.collect_set(F.concat("role", F.lit(":"), "word")).alias("names"))
         source = texts.withColumn("h", F.xxhash64("text")).join(own, ["src", "row_key", "h"], "left").drop("h")
     found = "array<struct<pii_type:string,occ:int,start_pos:int,end_pos:int>>"
