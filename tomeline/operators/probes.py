@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tomeline.operators.retrieval import BLOCK_ROWS
+from tomeline.session import cut, shuffle_width
 
 BLOCK = "n int, ids array<long>, groups array<string>, masks array<string>, m binary"
 NO_MASK = "\x00"
@@ -62,9 +63,12 @@ def masked_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                     rows += [(qid, groups[g], float(best[i, g]), g == own[i]) for g in picked if best[i, g] > -np.inf]
                 yield pd.DataFrame(rows, columns=["qid", "grp", "score", "own"])
 
-    q = _blocks(queries, "qid", "grp", 1_024)
+    # written once: every partition of the corpus meets the stated queries, which would else be computed for each anew
+    q = cut(_blocks(queries, "qid", "grp", 1_024), "asked")
     q = q.select(*[F.col(c).alias(f"q{c}") for c in ("n", "ids", "groups", "masks", "m")])
-    pairs = _blocks(corpus.where("grp is not null"), "id", "grp", BLOCK_ROWS).join(q)
+    # spread by id: rows that come grouped by page or book would leave a hot one in a single task
+    spread = corpus.where("grp is not null").repartition(shuffle_width(corpus.sparkSession), "id")
+    pairs = _blocks(spread, "id", "grp", BLOCK_ROWS).join(q)
     best = pairs.mapInPandas(run, "qid long, grp string, score double, own boolean").groupBy("qid", "grp", "own").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.least(F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "grp")), F.lit(k + 1)))
     return ranked.where((F.col("rank") <= k) | F.col("own"))
@@ -77,8 +81,9 @@ def recall_at(ranked: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 
 
 def unit(vec: Column) -> Column:
+    """The vector at length one; its length is bound once, not computed anew for each place."""
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vec, lambda x: F.try_divide(x.cast("double"), norm))
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(vec, lambda x: F.try_divide(x.cast("double"), n))), 1)
 
 
 def centroids(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -67,9 +67,9 @@ def _race(spark: SparkSession, d: str) -> DataFrame:
     return best.select("id", "book_id", "own", F.col("b.rival").alias("rival"), (-F.col("b.m")).alias("s"))
 
 
-@query(f"WITH {RACE} SELECT book_id, count(*) AS n, count(*) FILTER (own > s) AS wins, CAST(sum(round(own * 1000000) - round(s * 1000000)) AS BIGINT) AS margin_millionths FROM race GROUP BY 1")
+@query(f"WITH {RACE} SELECT book_id, count(*) AS n, count(*) FILTER (own > s) AS wins, round(avg(own - s), 3) AS margin FROM race GROUP BY 1")
 def book_separability(spark, d):
-    return _race(spark, d).groupBy("book_id").agg(F.count("*").alias("n"), F.count_if(F.col("own") > F.col("s")).alias("wins"), F.sum((F.round(F.col("own") * 1_000_000) - F.round(F.col("s") * 1_000_000)).cast("long")).alias("margin_millionths"))
+    return _race(spark, d).groupBy("book_id").agg(F.count("*").alias("n"), F.count_if(F.col("own") > F.col("s")).alias("wins"), F.round(F.avg(F.col("own") - F.col("s")), 3).alias("margin"))
 
 
 @query(f"WITH {RACE} SELECT book_id, rival, count(*) AS n FROM race WHERE own <= s GROUP BY ALL ORDER BY n DESC, book_id, rival LIMIT 8")

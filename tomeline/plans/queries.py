@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tomeline.functions import text as T
-from tomeline.operators import lexical, metrics, retrieval, selection
+from tomeline.operators import lexical, metrics, probes, retrieval, selection
 from tomeline.session import cut, table
 from tomeline.streaming import log
 
@@ -452,8 +452,7 @@ books AS (SELECT book_id, i, sum(x) AS s, count(*) AS c FROM unit GROUP BY ALL)"
 
 def _unit(spark: SparkSession, d: str) -> DataFrame:
     rows = retrieval.usable(table(spark, d, "questions").where("book_id is not null"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return rows.withColumn("n", norm).select("id", "page_id", "book_id", F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("n"))).alias("u"))
+    return rows.select("id", "page_id", "book_id", probes.unit(F.col("embedding")).alias("u"))
 
 
 @query(f"WITH {UNIT} SELECT book_id, max(c) AS n_rows, round(sqrt(sum((s / c) * (s / c))), 6) AS tightness FROM books GROUP BY 1")
