@@ -82,6 +82,24 @@ def test_redaction_learns_names_and_keeps_the_rest(spark):
     assert "10" not in out and out["11"]["found"] == []
 
 
+def test_name_share_counts_every_text(spark):
+    texts = ["Signed, Ada Marsh."] * 2 + [f"The marsh lay wet, ada {i}." for i in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert pii.name_words(df).count() == 0  # 2 of 62 occurrences
+    assert rows(pii.name_words(df.limit(30))) == [("given", "ada"), ("sur", "marsh")]
+
+
+@pytest.mark.parametrize("text", ["for Ada Marsh", "hi Ada Marsh", "Here is Ada Marsh", "Ada Marsh (desk two)", "Ada Marsh ghi", "Ada Marsh ở đây"])
+def test_every_opening_gives_evidence(text):
+    batch = next(pii._lexicon_batches(iter([pd.DataFrame({"text": [text]})])))
+    assert {("given", "ada", 1), ("sur", "marsh", 1)} <= set(batch.itertuples(index=False, name=None))
+
+
+def test_initial_before_a_word_like_family_names_needs_no_known_word():
+    words = pii.with_parts({r: frozenset({"pagelon", "pagetis", "pagewick", "woldmar", "rodemar", "hillmar"} if r == "sur" else ()) for r in pii.ROLES})
+    assert pii.find_names("Sent by V. Pagemar", [], words) == [(8, 18, "name")]
+
+
 def test_names_by_join_equal_names_by_shared_list(spark, monkeypatch):
     df = spark.createDataFrame([("m", str(i), f"Signed, Ada Marsh. Note {i}.") for i in range(4)], "src string, row_key string, text string")
     shared = rows(pii.redact(df).select("row_key", "clean_text"))

@@ -70,46 +70,26 @@ SHAPES = regex.compile(
 )
 TITLE = r"(?:mr|mrs|ms|mx|miss|dr|prof|herr|frau|hr|fr|mme|mlle|señora?|sra?|sr|ông|bà|anh|chị)"
 HONORIFIC = frozenset("mr mrs ms mx miss dr prof herr frau mme mlle m señor señora sr sra don doña".split())
-# Wordings right before or after a name.
+# Wordings right before or after a name; the first are matched backwards, from the name on.
 BEFORE = regex.compile(
     r"(?:thank you,|thanks,|hello|hi|dear|bonjour|hallo|hola|chào|signed,|noted for|please let|who is|my name is|this is|i'?m|i am|booked by|card is under|contact:|holder of \S+(?: \S+){0,3} is|papers of|\"holder\": \"|name=|ask|for|deliver(?:y)? to|ship to:?|yesterday|is|gestern war|ich heiße|lieferung an|je m'?appelle|livrez à|hier|me llamo|ayer vino|entregue a|tôi tên là|tên tôi là|ký tên|đứng tên|nhắn giúp|ai là|giấy tờ của|liên hệ|nhà|hôm qua)[ ]*$",
-    I,
+    I | regex.REVERSE,
 )
 AFTER = regex.compile(r"^(?:[ ]*(?:told me to ask|left a scarf|and i swapped|know\b|still at|hat mich geschickt|m'?a dit de|est passé|me mandó aquí|bảo tôi hỏi|để quên|share one card|ghi\b|ở\b|hier\b)|:? two crates|, identity| ?<| ?\()", I)
 # Words that open a sentence before a name and are none themselves.
 NO_NAME = frozenset("yesterday hier for ayer gestern i'm mr mrs ms mx dr mme frau herr signed noted is rufen don who this contact ask the and hôm qua nha lien he ich je me my".split())
-# Openings of the wordings above, as the automaton looks for them.
-CUES = (
-    "thank you,", "thanks,", "hello ", "dear ", "bonjour ", "hallo ", "hola ", "chào ", "signed,", "noted for", "please let", "who is", "name is", "this is ", "i'm ", "i am ", "booked by", "card is under", "contact:", "holder", "papers of", "name=", "ask ",
-    "deliver", "ship to", "yesterday ", "gestern war", "ich heiße", "lieferung an", "m'appelle", "livrez à", "hier ", "me llamo", "ayer vino", "entregue a", "tôi là", "tên", "nhắn giúp", "ai là", "giấy tờ", "liên hệ", "nhà ", "hôm qua", "told me to", "left a scarf", "swapped",
-    " know", "still at", "hat mich", "m'a dit", "est passé", "me mandó", "bảo tôi", "để quên", "share one", "two crates", ", identity", " <", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "mx ", "mx. ", "miss ", "dr ", "dr. ", "prof ", "prof. ", "herr ", "frau ", "mme ", "don ", "doña ", "sr ", "sr. ", "sra ", "sra. ", "señor ", "señora ", "m. ",
-)
 TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 # Latin text without combining marks or fraction and superscript digits: there [^\W\d_] is \p{L}, which the faster module knows.
 LATIN = re.compile(r"[\x00-\x7f\xa0\xab\xbb\xbf-\u024f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e]*\Z")
 LATIN_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SIX_DIGITS = re.compile(r"\d(?:[ \-./()]{0,5}\d){5}")  # every identity and phone number in figures holds such a run
+INITIAL = regex.compile(r"\p{Lu}\.[ \u00a0]")
 MEMO_CHARS, MEMO_TEXTS = 400, 50_000  # a task keeps what it found in so many short texts, as many are sent again
 
 
 GATE = regex.compile(r"[\p{N}@＠]|\bdot\b|\(at\)|\[at\]|\b(?:thôn|thon|ấp|bản|zero|five|seven)\b", I)
 
 
-@lru_cache(maxsize=1)
-def _cue_automaton():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for w in CUES:
-        a.add_word(w, 1)
-    a.make_automaton()
-    return a
-
-
-def _has_cue(text: str) -> bool:
-    return next(_cue_automaton().iter(text.lower()), None) is not None
-
-
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -212,15 +192,13 @@ def _joined(text: str, a: tuple, b: tuple) -> bool:
 
 
 def name_evidence(text: str) -> list[tuple[str, str]]:
-    """(role, folded word) for words that a cue or a title announces as a name in capitals; role ? counts every
-    word of a text that holds a cue."""
+    """(role, folded word) for words that a cue or a title announces as a name in capitals; role ? counts every word."""
     taken = numbers_and_addresses(text)
     toks = _tokens(text, taken)
     out = [("?", t[3]) for t in toks]
-    i = 0
-    while i < len(toks):
-        if not toks[i][2][0].isupper() and not _is_honorific(toks[i][2]):
-            i += 1
+    done = 0
+    for i in [i for i, t in enumerate(toks) if t[2][0].isupper() or t[2].lower() in HONORIFIC]:
+        if i < done:
             continue
         j = i
         while j + 1 < len(toks) and toks[j][2][0].isupper() and toks[j + 1][2][0].isupper() and text[toks[j][1] : toks[j + 1][0]] in (" ", "-"):
@@ -240,7 +218,7 @@ def name_evidence(text: str) -> list[tuple[str, str]]:
                     out += [("given", r[3]) for r in run[:-1] if len(r[3]) > 1] + [("sur", run[-1][3])]
                 elif len(run) == 2 and len(run[1][3]) == 1:
                     out += [("given", run[0][3])]
-        i = j + 1
+        done = j + 1
     return out
 
 
@@ -274,8 +252,9 @@ def _like_family_names(seen: DataFrame, lexicon: DataFrame) -> DataFrame:
 def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, frozenset]) -> list[tuple[int, int, str]]:
     given, sur = words["given"], words["sur"]
     every = words["every"]
-    if every.isdisjoint(map(fold_word, _words(text).findall(text))) and not _has_cue(text):
-        return []
+    found = _words(text).findall(text)
+    if every.isdisjoint(map(fold_word, found)) and not INITIAL.search(text) and not any(_is_honorific(w) or w[0].isupper() and _like_family_name(fold_word(w), words) for w in found):
+        return []  # no word that a name could begin with
     toks = _tokens(text, taken)
     out, i = [], 0
     while i < len(toks):
@@ -331,6 +310,7 @@ def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, fr
 
 def _lexicon_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
+    short: Counter = Counter()  # short texts, which come again and again, are read once
 
     def flush() -> pd.DataFrame:
         out = pd.DataFrame([(r, w, n) for (r, w), n in counts.items()], columns=["role", "word", "n"])
@@ -339,10 +319,17 @@ def _lexicon_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         for text in b["text"].dropna():
-            if _has_cue(text):
+            if len(text) <= MEMO_CHARS and (text in short or len(short) < MEMO_TEXTS):
+                short[text] += 1
+            else:
                 counts.update(name_evidence(text))
         if len(counts) > 300_000:
             yield flush()
+    for text, times in short.items():
+        for pair in name_evidence(text):
+            counts[pair] += times
+        if len(counts) > 300_000:
+            yield flush()
     yield flush()
 
 
