@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeline.operators import probes, splitting
+from tomeline.plans.probe_queries import base
 from tomeline.sources import files
 
 
@@ -42,6 +43,31 @@ def test_foreign_pull_reports_the_page_that_lies_in_another_book(spark):
     assert [(r.page_id, r.book_id, r.best_book) for r in out] == [("a3", "A", "B")]  # the book of one page is left out
 
 
+def test_separability_goes_over_every_row(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    books = ["a", "b", "c", "d"]
+    x = rng.normal(size=(80, 64)).astype("float32")
+    book = [books[i % 3] if i else "d" for i in range(80)]  # d has one row and takes part as a rival only
+    spark.createDataFrame([(i, f"p{i % 9}", book[i], x[i].tolist()) for i in range(80)], "id long, page_id string, book_id string, embedding array<float>").write.parquet(str(tmp_path / "questions.parquet"))
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    total = {b: u[[i for i in range(80) if book[i] == b]].sum(0) for b in books}
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(b))
+    own = {i: cosine(u[i], total[book[i]] - u[i]) for i in range(1, 80)}
+    rival = {i: max((cosine(u[i], total[b]), b) for b in books if b != book[i]) for i in own}
+    got = {r["id"]: r["own_cosine"] for r in base.QUERIES["own_book_of_every_row"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(own, abs=1e-5)
+    n, wins = {r["book_id"]: r["n"] for r in base.QUERIES["book_separability_of_every_row"](spark, str(tmp_path)).collect()}, {}
+    assert n == {b: sum(book[i] == b for i in own) for b in "abc"}
+    lost = {}
+    for i in own:
+        if own[i] <= rival[i][0]:
+            lost[book[i], rival[i][1]] = lost.get((book[i], rival[i][1]), 0) + 1
+        wins[book[i]] = wins.get(book[i], 0) + (own[i] > rival[i][0])
+    assert {r["book_id"]: r["wins"] for r in base.QUERIES["book_separability_of_every_row"](spark, str(tmp_path)).collect()} == wins
+    worst = sorted(((b, r, c) for (b, r), c in lost.items()), key=lambda t: (-t[2], t[0], t[1]))[:8]
+    assert [tuple(r) for r in base.QUERIES["book_confusions_of_every_row"](spark, str(tmp_path)).collect()] == worst
+
+
 def test_cross_fit_does_not_cover_its_own_outlier(spark):
     rows = [(i, 0.01) for i in range(200)] + [(999, 9.99), (1000, None)]
     out = probes.cross_fit(spark.createDataFrame(rows, "qid long, required double"), 0.1).collect()

@@ -52,11 +52,11 @@ top AS (SELECT id, rival, s FROM other QUALIFY row_number() OVER (PARTITION BY i
 race AS (SELECT own.id, book_id, own, rival, s FROM own JOIN top USING (id) WHERE NOT isnan(own))"""
 
 
-def _race(spark: SparkSession, d: str) -> DataFrame:
-    """id, book_id, own, rival, s: each twentieth row's cosine with its book's centroid without it, and the best other."""
+def _race(spark: SparkSession, d: str, which: str = "id % 20 = 0") -> DataFrame:
+    """id, book_id, own, rival, s: cosine of each row asked for with its book's centroid without it, and the best other."""
     rows = retrieval.usable(table(spark, d, "questions").where("book_id is not null"))
     sums = cut(probes.centroids(rows, ["book_id"]), "books")
-    asked = rows.where("id % 20 = 0").withColumn("u", probes.unit(F.col("embedding")))
+    asked = rows.where(which).withColumn("u", probes.unit(F.col("embedding")))
     rest = asked.join(sums.where("n > 1").select("book_id", F.col("embedding").alias("s")), "book_id").withColumn("rest", F.zip_with("s", "u", lambda a, b: a - b))
     dot = F.aggregate(F.zip_with("u", "rest", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     norm = F.sqrt(F.aggregate("rest", F.lit(0.0), lambda a, x: a + x * x))
@@ -69,12 +69,32 @@ def _race(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RACE} SELECT book_id, count(*) AS n, count(*) FILTER (own > s) AS wins, round(avg(own - s), 3) AS margin FROM race GROUP BY 1")
 def book_separability(spark, d):
-    return _race(spark, d).groupBy("book_id").agg(F.count("*").alias("n"), F.count_if(F.col("own") > F.col("s")).alias("wins"), F.round(F.avg(F.col("own") - F.col("s")), 3).alias("margin"))
+    return _separability(_race(spark, d))
+
+
+@query()
+def book_separability_of_every_row(spark, d):
+    """The same over all rows; without SQL, tested by brute force."""
+    return _separability(_race(spark, d, "true"))
+
+
+def _separability(race: DataFrame) -> DataFrame:
+    return race.groupBy("book_id").agg(F.count("*").alias("n"), F.count_if(F.col("own") > F.col("s")).alias("wins"), F.round(F.avg(F.col("own") - F.col("s")), 3).alias("margin"))
 
 
 @query(f"WITH {RACE} SELECT book_id, rival, count(*) AS n FROM race WHERE own <= s GROUP BY ALL ORDER BY n DESC, book_id, rival LIMIT 8")
 def book_confusions(spark, d):
-    return _race(spark, d).where("own <= s").groupBy("book_id", "rival").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "book_id", "rival").limit(8)
+    return _confusions(_race(spark, d))
+
+
+@query()
+def book_confusions_of_every_row(spark, d):
+    """The same over all rows; without SQL, tested by brute force."""
+    return _confusions(_race(spark, d, "true"))
+
+
+def _confusions(race: DataFrame) -> DataFrame:
+    return race.where("own <= s").groupBy("book_id", "rival").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "book_id", "rival").limit(8)
 
 
 # --- pages that another book pulls ----------------------------------------------------------------------------------

@@ -465,10 +465,20 @@ def book_tightness(spark, d):
 @query(f"WITH {UNIT} SELECT id, u.book_id, round(sum(x * (s - x)) / sqrt(sum((s - x) * (s - x))), 5) AS own_cosine FROM unit u JOIN books b ON u.book_id = b.book_id AND u.i = b.i WHERE c > 1 AND id % 20 = 0 GROUP BY ALL")
 def leave_one_out_own_book(spark, d):
     """Cosine of every twentieth row with the centroid of its book without that row; books of one row are skipped."""
+    return _own_cosine(spark, d, "id % 20 = 0")
+
+
+@query()
+def own_book_of_every_row(spark, d):
+    """The same for every row; without SQL, tested by brute force."""
+    return _own_cosine(spark, d, "true")
+
+
+def _own_cosine(spark: SparkSession, d: str, asked: str) -> DataFrame:
     unit = _unit(spark, d)
     sums = unit.select("book_id", F.posexplode("u").alias("i", "x")).groupBy("book_id", "i").agg(F.sum("x").alias("s"), F.count("*").alias("c"))
     centroid = sums.groupBy("book_id").agg(F.max("c").alias("c"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("s")).where("c > 1")
-    joined = unit.where("id % 20 = 0").join(centroid, "book_id").withColumn("rest", F.zip_with("s", "u", lambda a, b: a - b))
+    joined = unit.where(asked).join(centroid, "book_id").withColumn("rest", F.zip_with("s", "u", lambda a, b: a - b))
     dot = F.aggregate(F.zip_with("u", "rest", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     norm = F.sqrt(F.aggregate("rest", F.lit(0.0), lambda a, x: a + x * x))
     return joined.select("id", "book_id", F.round(F.try_divide(dot, norm), 5).alias("own_cosine"))
