@@ -126,6 +126,11 @@ def test_core_stands_without_the_training_data_part():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def test_every_title_has_a_slug(spark, tmp_path):
+    spark.createDataFrame([("p1", "Refund Policy"), ("p2", "คืนเงิน"), ("p3", "退款"), ("p4", None)], "page_id string, title string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert rows(QUERIES["slugs_of_every_title"](spark, str(tmp_path))) == [("p1", "refund-policy"), ("p2", "untitled"), ("p3", "untitled")]
+
+
 def test_heading_sections_ignore_fences(spark):
     page = "intro\r\n# T\nx\n```\n# no\n```\n## B ##\ny"
     df = spark.createDataFrame([("p", page), ("q", None), ("r", "plain")], "page_id string, markdown string")

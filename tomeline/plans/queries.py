@@ -182,6 +182,13 @@ def page_slugs(spark, d):
     return pages.where(T.fold(F.col("title")).rlike("[a-z0-9]")).select("page_id", T.slug(F.col("title")).alias("slug"))
 
 
+@query("""SELECT page_id, coalesce(nullif(trim(both '-' from regexp_replace(regexp_replace(translate(strip_accents(lower(title)), 'đß', 'ds'), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[:60]), ''), 'untitled') AS slug
+FROM (SELECT DISTINCT page_id, title FROM pages WHERE title IS NOT NULL)""")
+def slugs_of_every_title(spark, d):
+    """The same for every page with a title; one without Latin letters or digits is untitled."""
+    return table(spark, d, "pages").select("page_id", "title").where("title is not null").distinct().select("page_id", T.slug(F.col("title")).alias("slug"))
+
+
 @query("""SELECT page_id, ord, length(body) // 4 AS tokens, regexp_matches(title, '(?i)^\\s*(?:\\d+(?:\\.\\d+)*\\.?\\s+)?(?:references|bibliography|works cited|acknowledge?ments|tài liệu tham khảo|lời cảm ơn)\\s*$') AS back_matter
 FROM (SELECT DISTINCT * FROM sections)""")
 def section_sizes(spark, d):
