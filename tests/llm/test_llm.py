@@ -165,6 +165,24 @@ def test_greedy_search_reaches_recall(spark):
     assert hit / 1250 >= 0.9 and all(r["qid"] != r["nid"] for r in found)
 
 
+def test_greedy_search_walks_on_through_other_parts(spark):
+    angle = np.linspace(0, 2.0, 40)
+    x = np.stack([np.cos(angle), np.sin(angle)], 1).astype(np.float32)
+    data = [(i, [float(v) for v in x[i]]) for i in range(40)] + [(100, [float(v) for v in x[37]])]
+    packed = {r["nid"]: r for r in knn.pack_vectors(spark.createDataFrame(data, "id long, v array<float>"), "id", "v").collect()}
+    graph = []
+    for i in range(40):  # a chain: each node knows the one before and after it; parts of eight nodes
+        near = [j for j in (i - 1, i + 1) if 0 <= j < 40]
+        ids, sims = np.full(10, -1, np.int64), np.full(10, -2, np.float32)
+        ids[: len(near)], sims[: len(near)] = near, x[near] @ x[i]
+        graph.append((i // 8, i, packed[i]["sp"], ids.tobytes() + sims.tobytes(), packed[i]["vec"]))
+    graph = spark.createDataFrame(graph, "home int, nid long, sp long, near binary, vec binary")
+    asked = spark.createDataFrame([(100, packed[100]["sp"], packed[100]["vec"])], "nid long, sp long, vec binary")
+    homes = spark.createDataFrame([(100, 0)], "nid long, home int")
+    found = knn.search(asked, graph, homes, k=10, beam=16).collect()
+    assert {r["nid"] for r in found} == set(range(30, 40))
+
+
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], "id long, v array<float>")
     assert knn.nearest(*knn.neighbour_graph(knn.pack_vectors(df, "id", "v"))).count() == 0
