@@ -74,6 +74,25 @@ def test_local_parsers(text, found):
     assert kinds(text) == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("six one two, three four eight nine", ["phone"]),
+        ("oh oh oh, oh oh oh oh", ["phone"]),
+        ("write to ada ( at ) mail.example", ["email"]),
+        ("write to ada at pine (dot) example", ["email"]),
+        ("12 quai des Lilas", ["address"]),
+        ("7 impasse du Moulin", ["address"]),
+        ("paseo de la Luna 14", ["address"]),
+        ("12 pho Hoa Lan", ["address"]),
+        ("bản Hoa, xã Lan", ["address"]),
+        ("ấp Hoa, xã Lan", ["address"]),
+    ],
+)
+def test_no_gate_hides_what_a_parser_accepts(text, found):
+    assert kinds(text) == found
+
+
 def test_redaction_learns_names_and_keeps_the_rest(spark):
     texts = [("m", str(i), "Thank you, Ada Marsh. All is well.") for i in range(3)] + [("m", "9", "ada marsh came by; mail ada@mail.example"), ("m", "10", None), ("m", "11", "   "), ("m", "9", "ada marsh came by; mail ada@mail.example")]
     out = {r["row_key"]: r for r in pii.redact(spark.createDataFrame(texts, "src string, row_key string, text string")).collect()}

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 import regex
@@ -31,11 +32,15 @@ MAX_SHARED_NAMES = 200_000  # up to so many name words every task gets the list;
 
 # Words that open or close a postal address.
 STREETS = ("lane", "terrace", "row", "st", "street", "road", "rd", "avenue", "ave", "blvd", "boulevard", "close", "court", "drive", "square", "way", "crescent", "gardens", "hill", "mews", "parade", "place", "quay")
+BEFORE_NAME = ("rue", "avenue", "place", "chemin", "boulevard", "quai", "impasse", "calle", "avenida", "plaza", "paseo", "đường", "duong", "lối", "loi", "phố", "pho", "thôn", "thon", "ấp", "bản")
+AFTER_NAME = ("weg", "straße", "strasse", "str.", "gasse", "allee", "platz")
+SPOKEN_WORDS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+BLANKS = ("", *(chr(c) for c in range(0x3001) if chr(c).isspace()))
 ANCHORS = {
-    "email": ("@", " at ", "(at)", "[at]", "＠"),
-    "address": (*(f" {s}" for s in STREETS), "box", "rue ", "avenue ", "place ", "chemin ", "calle ", "avenida ", "plaza ", "weg ", "straße", "strasse", "str.", "gasse", "allee", "platz ", "đường", "duong", "lối", "loi ", "phố", "thôn", "thon ", "ngõ", "ngo "),
+    "email": ("@", "＠", " at ", *(a + b + "at" for a, b in product("([", BLANKS))),
+    "address": (*(f" {s}" for s in STREETS), "box", *(f"{w} " for w in (*BEFORE_NAME, *AFTER_NAME)), "ngõ", "ngo "),
     "number": tuple("0123456789"),
-    "spoken": ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"),
+    "spoken": SPOKEN_WORDS,
 }
 I = regex.I
 EMAIL = regex.compile(r"(?:mailto:)?[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]*\s?(?:@|＠|[\[(]\s?(?:@|at)\s?[\])])\s?[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)*\.\p{L}{2,}|[\p{L}\p{N}][\p{L}\p{N}._%+\-]* (?:at|\(at\)|\[at\]) [\p{L}\p{N}\-]+(?: (?:dot|\(dot\)|\[dot\]) [\p{L}\p{N}\-]+)+", I)
@@ -64,7 +69,7 @@ ID = regex.compile(
 OTHER_NUMBER = regex.compile(r"(?:isbn(?: is)?|shelf (?:no\.?|number)|kệ số|ticket|mã phiếu|lot|lô|build|bản|section|mục|price|giá|sku|rack|room|phòng|page|error|lỗi|call number|order|invoice|iban|ratio is|version|ref(?:erence)?\.?|track(?:ing)?|barcode|serial)\s*(?:no\.?|number|#|:)?\s*$", I)
 PHONE_CUE = regex.compile(r"(?:tel|phone|fax|call|text|mobile|ring|☎|📞|sđt|điện thoại|gọi (?:tôi )?(?:theo )?số|số (?:của tôi )?(?:là)?|nobody answered under|appelez le|llame al|anrufen|rufen sie|reach me (?:at|on)|on|under|at)\W*(?:is|là)?\W*$", I)
 PHONE = regex.compile(r"(?<![\p{L}\p{N}@._/#])(?:\+|00)?\(?\d{1,15}\)?(?:(?:\.(?=[\d(])|[ \-]| ?/ ?)\(?\d{1,8}\)?\d{0,8}){0,6}(?![\p{L}\p{N}@_]|[-./]\d)")
-SPOKEN = regex.compile(r"\b(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b[ ,\-]*){7,}", I)
+SPOKEN = regex.compile(rf"\b(?:(?:{'|'.join(SPOKEN_WORDS)})\b[ ,\-]*){{7,}}", I)
 SHAPES = regex.compile(
     r"^(?:(?:\+|00)[\d ().\-/]{8,}|0\d{4} ?\d{6}|0\d{3} ?\d{3} ?\d{4}|0\d(?:[ .]\d{2}){4}|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|555-\d{4}|0\d{2,3} ?/ ?\d{4,8}(?: \d{2,4})?)$"
 )
@@ -87,7 +92,9 @@ INITIAL = regex.compile(r"\p{Lu}\.[ \u00a0]")
 MEMO_CHARS, MEMO_TEXTS = 400, 50_000  # a task keeps what it found in so many short texts, as many are sent again
 
 
-GATE = regex.compile(r"[\p{N}@＠]|\bdot\b|\(at\)|\[at\]|\b(?:thôn|thon|ấp|bản|zero|five|seven)\b", I)
+SAID = "|".join(SPOKEN_WORDS)
+EMAIL_GATE = regex.compile(r"[@＠]|[ (\[]dot[ )\]]|[(\[]\s?at\s?[)\]]", I)
+GATE = regex.compile(rf"\p{{N}}|{EMAIL_GATE.pattern}|\b(?:thôn|thon|ấp|bản)\b|\b(?:{SAID})\b[ ,\-]+(?:{SAID})\b", I)
 
 
 @lru_cache(maxsize=1)
@@ -121,7 +128,7 @@ def _windows(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _may_hold_email(text: str) -> bool:
-    return "@" in text or "＠" in text or " dot " in text.lower() or "at)" in text.lower() or "at]" in text.lower()
+    return EMAIL_GATE.search(text) is not None
 
 
 def _words(text: str) -> re.Pattern:
