@@ -126,6 +126,12 @@ def test_core_stands_without_the_training_data_part():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def test_deep_paths_and_long_routes_are_whole(spark, tmp_path):
+    spark.createDataFrame([("p", "b", " ▸ ".join(f"n{i}" for i in range(15)))], "page_id string, book_id string, path string").write.parquet(str(tmp_path / "questions.parquet"))
+    spark.createDataFrame([(1, [("book", "open", f"t{i}") for i in range(70)])], "id long, route array<struct<kind:string,action:string,title:string>>").write.parquet(str(tmp_path / "trajectories.parquet"))
+    assert [QUERIES[q](spark, str(tmp_path)).count() for q in ("tree_rollup", "menu_children", "route_steps")] == [15, 14, 70]
+
+
 def test_every_title_has_a_slug(spark, tmp_path):
     spark.createDataFrame([("p1", "Refund Policy"), ("p2", "คืนเงิน"), ("p3", "退款"), ("p4", None)], "page_id string, title string").write.parquet(str(tmp_path / "pages.parquet"))
     assert rows(QUERIES["slugs_of_every_title"](spark, str(tmp_path))) == [("p1", "refund-policy"), ("p2", "untitled"), ("p3", "untitled")]

@@ -237,14 +237,14 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PATHS} SELECT array_to_string(p[1:i], ' ▸ ') AS node, i AS level, count(DISTINCT page_id) AS n_pages, count(DISTINCT book_id) AS n_books FROM paths, range(1, 12) t(i) WHERE i <= len(p) GROUP BY ALL")
 def tree_rollup(spark, d):
-    up = _paths(spark, d).select("page_id", "book_id", "p", F.explode(F.sequence(F.lit(1), F.least(F.size("p"), F.lit(11)))).alias("level"))
+    up = _paths(spark, d).select("page_id", "book_id", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("level"))
     node = F.array_join(F.slice("p", F.lit(1), F.col("level")), " ▸ ")
     return _long(up.groupBy(node.alias("node"), "level").agg(F.countDistinct("page_id").alias("n_pages"), F.countDistinct("book_id").alias("n_books")), "level")
 
 
 @query(f"WITH {PATHS} SELECT array_to_string(p[1:i - 1], ' ▸ ') AS parent, p[i] AS child, count(DISTINCT page_id) AS n_pages FROM paths, range(2, 12) t(i) WHERE i <= len(p) GROUP BY ALL")
 def menu_children(spark, d):
-    up = _paths(spark, d).where(F.size("p") >= 2).select("page_id", "p", F.explode(F.sequence(F.lit(2), F.least(F.size("p"), F.lit(11)))).alias("i"))
+    up = _paths(spark, d).where(F.size("p") >= 2).select("page_id", "p", F.explode(F.sequence(F.lit(2), F.size("p"))).alias("i"))
     return up.groupBy(F.array_join(F.slice("p", F.lit(1), F.col("i") - 1), " ▸ ").alias("parent"), F.element_at("p", F.col("i")).alias("child")).agg(F.countDistinct("page_id").alias("n_pages"))
 
 
@@ -315,7 +315,7 @@ def page_visits(spark, d):
 @query("SELECT DISTINCT ON (t.id, i) t.id, i AS step, r.action, r.title FROM trajectories t, range(1, 60) x(i), LATERAL (SELECT route[CAST(i AS BIGINT)] AS r) WHERE i <= len(route) AND r.kind = 'book'")
 def route_steps(spark, d):
     steps = table(spark, d, "trajectories").select("id", "route").distinct().select("id", F.posexplode("route").alias("pos", "r"))
-    return steps.where("r.kind = 'book' and pos < 59").select("id", (F.col("pos") + 1).cast("long").alias("step"), F.col("r.action").alias("action"), F.col("r.title").alias("title"))
+    return steps.where("r.kind = 'book'").select("id", (F.col("pos") + 1).cast("long").alias("step"), F.col("r.action").alias("action"), F.col("r.title").alias("title"))
 
 
 MSG = "m AS (SELECT DISTINCT id, conversation_id, turn, role, text FROM messages)"
