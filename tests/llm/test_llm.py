@@ -192,9 +192,9 @@ def test_greedy_search_walks_on_through_other_parts(spark):
     graph = []
     for i in range(40):  # a chain: each node knows the one before and after it; parts of eight nodes
         near = [j for j in (i - 1, i + 1) if 0 <= j < 40]
-        ids, sims = np.full(10, -1, np.int64), np.full(10, -2, np.float32)
-        ids[: len(near)], sims[: len(near)] = near, x[near] @ x[i]
-        graph.append((i // 8, i, packed[i]["sp"], ids.tobytes() + sims.tobytes(), packed[i]["vec"]))
+        ids, sims = np.full((1, knn.LIST), -1, np.int64), np.full((1, knn.LIST), -2, np.float32)
+        ids[0, : len(near)], sims[0, : len(near)] = near, x[near] @ x[i]
+        graph.append((i // 8, i, packed[i]["sp"], knn._lists(ids, ids // 8, sims, ids >= 0)[0].as_py(), packed[i]["vec"]))
     graph = spark.createDataFrame(graph, "home int, nid long, sp long, near binary, vec binary")
     asked = spark.createDataFrame([(100, packed[100]["sp"], packed[100]["vec"])], "nid long, sp long, vec binary")
     homes = spark.createDataFrame([(100, 0)], "nid long, home int")
@@ -202,6 +202,31 @@ def test_greedy_search_walks_on_through_other_parts(spark):
     assert {r["nid"] for r in found} == set(range(30, 40))
 
 
+def test_rounds_make_the_graph(spark):
+    """A random start holds next to no true neighbours; the rounds find them, across parts too."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(9000, 12)).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    packed = knn.pack_vectors(spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(9000)], "id long, v array<float>"), "id", "v")
+    s = u[::20] @ u.T
+    s[np.arange(len(s)), np.arange(0, 9000, 20)] = -2
+    kth = np.sort(s, axis=1)[:, -10]
+
+    def recall(rounds):
+        near = knn.nearest(*knn.neighbour_graph(packed, rounds=rounds)).where("id % 20 = 0").collect()
+        return sum(r["cosine"] >= kth[r["id"] // 20] - 2e-5 for r in near) / (10 * len(kth))
+
+    start, first, quiet = recall(0), recall(1), recall(None)
+    assert start < 0.1 < 0.6 < first < quiet and quiet > 0.95
+
+
+def test_lists_keep_the_best_distinct_neighbours():
+    node, other = np.array([0, 0, 0, 0, 1]), np.array([2, 3, 2, 1, 0])
+    near, sims, new = knn.best_lists(node, other, np.array([0.5, 0.9, 0.5, -0.2, 0.1]), np.array([True, True, False, True, True]), 3, 2)
+    assert near.tolist() == [[3, 2], [0, -1], [-1, -1]] and new.tolist() == [[True, False], [True, False], [False, False]]
+    assert np.allclose(sims, [[0.9, 0.5], [0.1, -2], [-2, -2]], atol=1e-6)
+
+
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], "id long, v array<float>")
     assert knn.nearest(*knn.neighbour_graph(knn.pack_vectors(df, "id", "v"))).count() == 0
