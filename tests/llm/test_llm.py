@@ -26,14 +26,14 @@ def test_label_model_follows_the_better_functions():
 
 @pytest.mark.parametrize("answer, defect", [(None, "empty"), ("", "empty"), ("<p></p>", "empty"), ("TBD", "empty"), ("- \n- ", "empty")])
 def test_votes_for_empty(answer, defect):
-    assert sum(pairs.votes("Where is it?", answer, None, {})[defect]) > 0
+    assert sum(pairs.votes("Where is it?", answer, None, language.Weights())[defect]) > 0
 
 
 def test_votes_for_copied_and_refusal():
-    assert pairs.votes("How old is the mill?", "> how old is the mill\n", None, {})["copied"] == (1, 1, 1)
-    assert pairs.votes("How old is the mill?", "The mill is old.", None, {})["copied"][0] == -1
-    assert pairs.votes("How old?", "In short: I don't know.", False, {})["refusal"][0] == 1
-    assert pairs.votes("How old?", "I can't stress this enough: it is ninety.", False, {})["refusal"][0] == -1
+    assert pairs.votes("How old is the mill?", "> how old is the mill\n", None, language.Weights())["copied"] == (1, 1, 1)
+    assert pairs.votes("How old is the mill?", "The mill is old.", None, language.Weights())["copied"][0] == -1
+    assert pairs.votes("How old?", "In short: I don't know.", False, language.Weights())["refusal"][0] == 1
+    assert pairs.votes("How old?", "I can't stress this enough: it is ninety.", False, language.Weights())["refusal"][0] == -1
 
 
 def test_defects_end_to_end(spark):
@@ -49,7 +49,7 @@ def test_defects_end_to_end(spark):
 def test_fold_keeps_language_features():
     assert language.fold("Đầu Tư") == "dau tu"
     assert language.script_of("閉館後に冷蔵庫")[0] == "ja" and language.script_of("还书架现在在哪里")[0] == "zh"
-    assert language.detect("27 %", {}) == (None, 0.0)
+    assert language.detect("27 %", language.Weights()) == (None, 0.0)
 
 
 # --- 2

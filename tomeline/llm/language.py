@@ -14,6 +14,7 @@ from functools import lru_cache
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FIT_ROWS = 300
 LATIN = ("en", "vi", "de", "fr", "es")
@@ -23,16 +24,31 @@ BEYOND_LATIN = regex.compile(r"[^\u0000-\u024f\u0300-\u036f\u1e00-\u1eff\u2000-\
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
 
-@lru_cache(maxsize=100_000)
+def _folding() -> dict[int, str]:
+    """Letters that are one letter with marks, and what they fold to; marks alone fold to nothing."""
+    out = {ord("đ"): "d", ord("ß"): "s"}
+    for code in range(0xC0, 0xFFFF):
+        c = chr(code)
+        if unicodedata.combining(c):
+            out[code] = ""
+        elif (plain := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) != c and len(plain) == 1:
+            out[code] = plain
+    return out
+
+
+FOLDING = _folding()
+_KEPT = sorted((c for c in FOLDING if FOLDING[c]), key=lambda c: c)
+# The same folding as arguments of Spark's translate, in which letters beyond the second argument's end are dropped.
+FOLDED = ("".join(map(chr, _KEPT)) + "".join(chr(c) for c in FOLDING if not FOLDING[c]), "".join(FOLDING[c] for c in _KEPT))
+
+
+@lru_cache(maxsize=200_000)
 def fold_word(word: str) -> str:
     return fold(word)
 
 
 def fold(text: str) -> str:
-    if text.isascii():
-        return text.lower()
-    text = text.lower().replace("đ", "d").replace("ß", "ss")
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    return text.lower() if text.isascii() else text.lower().translate(FOLDING)
 
 
 def features(text: str) -> Counter:
@@ -58,46 +74,51 @@ def script_of(text: str) -> tuple[str | None, float]:
     return best, counts[best] / total
 
 
-def fit(documents: DataFrame) -> dict:
+def fit(documents: DataFrame) -> Weights:
     """Log weights of letter groups for the languages in Latin letters, from documents(text, lang)."""
     label = F.regexp_extract(F.lower(F.trim("lang")), r"^([a-z]{2})(?:[-_].*)?$", 1)
     rows = documents.select(label.alias("lang"), "text", F.xxhash64("text").alias("h")).where(F.col("lang").isin(*LATIN) & (F.length("text") > 40))
-    from pyspark.sql.window import Window
-
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= FIT_ROWS)
     counts = {lang: Counter() for lang in LATIN}
     for row in rows.select("lang", "text").toLocalIterator():
         if script_of(row["text"])[0] == "latin":
             counts[row["lang"]].update(features(row["text"]))
     known = {f for lang in LATIN for f, n in counts[lang].items() if n >= 2}
-    weights = {}
+    weights = Weights()
     totals = {lang: sum(counts[lang].values()) + 0.5 * len(known) + 1 for lang in LATIN}
     for f in known:
         weights[f] = tuple(math.log((counts[lang][f] + 0.5) / totals[lang]) for lang in LATIN)
     return weights
 
 
-_SCORES: dict[str, tuple[int, tuple[float, ...]]] = {}
+class Weights(dict):
+    """Log weights of a fit, with the summed weights of words already met: they come again and again."""
+
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self.scores: dict[str, tuple[int, tuple[float, ...]]] = {}
 
+    def __reduce__(self):
+        return Weights, (dict(self),)
 
-def _word_score(word: str, weights: dict) -> tuple[int, tuple[float, ...]]:
-    """Known features of a word and their summed weights; words come again and again, so each task keeps them."""
-    got = _SCORES.get(word)
-    if got is None:
-        score, n = [0.0] * len(LATIN), 0
-        for f, c in features(word).items():
-            w = weights.get(f)
-            if w:
-                n += c
-                for i in range(len(LATIN)):
-                    score[i] += c * w[i]
-        if len(_SCORES) > 200_000:
-            _SCORES.clear()
-        got = _SCORES[word] = (n, tuple(score))
-    return got
+    def of(self, word: str) -> tuple[int, tuple[float, ...]]:
+        """Known features of a word and their summed weights."""
+        got = self.scores.get(word)
+        if got is None:
+            score, n = [0.0] * len(LATIN), 0
+            for f, c in features(word).items():
+                w = self.get(f)
+                if w:
+                    n += c
+                    for i in range(len(LATIN)):
+                        score[i] += c * w[i]
+            if len(self.scores) > 200_000:
+                self.scores.clear()
+            got = self.scores[word] = (n, tuple(score))
+        return got
 
 
-def detect(text: str, weights: dict) -> tuple[str | None, float]:
+def detect(text: str, weights: Weights) -> tuple[str | None, float]:
     """(language, margin per feature); no language for texts without letters or with an even mixture."""
     script, share = script_of(text) if BEYOND_LATIN.search(text) else (("latin", 1.0) if any(map(str.isalpha, text)) else (None, 0.0))
     if script is None or share < 0.5:
@@ -106,7 +127,7 @@ def detect(text: str, weights: dict) -> tuple[str | None, float]:
         return script, share
     score, n = [0.0] * len(LATIN), 0
     for word in LETTERS.findall(text):
-        known, parts = _word_score(word, weights)
+        known, parts = weights.of(word)
         n += known
         for i in range(len(LATIN)):
             score[i] += parts[i]
