@@ -26,14 +26,44 @@ def test_label_model_follows_the_better_functions():
 
 @pytest.mark.parametrize("answer, defect", [(None, "empty"), ("", "empty"), ("<p></p>", "empty"), ("TBD", "empty"), ("- \n- ", "empty")])
 def test_votes_for_empty(answer, defect):
-    assert sum(pairs.votes("Where is it?", answer, None, language.Weights())[defect]) > 0
+    assert sum(pairs.votes("Where is it?", answer, None, pairs.Weights(language.Weights()))[defect]) > 0
 
 
 def test_votes_for_copied_and_refusal():
-    assert pairs.votes("How old is the mill?", "> how old is the mill\n", None, language.Weights())["copied"] == (1, 1, 1)
-    assert pairs.votes("How old is the mill?", "The mill is old.", None, language.Weights())["copied"][0] == -1
-    assert pairs.votes("How old?", "In short: I don't know.", False, language.Weights())["refusal"][0] == 1
-    assert pairs.votes("How old?", "I can't stress this enough: it is ninety.", False, language.Weights())["refusal"][0] == -1
+    assert pairs.votes("How old is the mill?", "> how old is the mill\n", None, pairs.Weights(language.Weights()))["copied"] == (1, 1, 1)
+    assert pairs.votes("How old is the mill?", "The mill is old.", None, pairs.Weights(language.Weights()))["copied"][0] == -1
+    assert pairs.votes("How old?", "In short: I don't know.", False, pairs.Weights(language.Weights()))["refusal"][0] == 1
+    assert pairs.votes("How old?", "I can't stress this enough: it is ninety.", False, pairs.Weights(language.Weights()))["refusal"][0] != 1
+
+
+@pytest.mark.parametrize(
+    "answer, declines",
+    [
+        ("I have no idea about that.", True), ("The documents provided don't contain this.", True), ("Das ist mir leider nicht bekannt.", True), ("Je l'ignore.", True), ("No tengo información sobre eso.", True), ("Tôi chưa tìm thấy thông tin nào.", True),
+        ("我不知道。", True), ("申し訳ありませんが、分かりません。", True), ("NOT_FOUND", True), ("The mill is not far from the river.", False), ("The first page does not mention it, but the second one does: ninety.", False), ("Nobody may open the gate without a note from the answer desk.", False),
+    ],
+)
+def test_refusals_in_fresh_wordings(answer, declines):
+    votes = pairs.votes("How old is the mill?", answer, None, pairs.Weights(language.Weights()))["refusal"]
+    assert (votes[0] == 1) == declines and (declines or -1 not in votes[2:3])
+
+
+def test_wordings_are_learned_from_the_flag():
+    odds = pairs.fit_flag([(f"The basket came home bare, topic {i}.", True) for i in range(8)] + [(f"The mill is {i} years old.", i == 3) for i in range(90)])
+    learned = pairs.Weights(language.Weights(), odds)
+    assert learned.score("The basket came home bare, subject nine.") > 1 > 0 > learned.score("The mill is 200 years old.") and learned.score("Something else") == 0
+    assert pairs.fit_flag([("a b c", True)] * 5) == {}
+
+
+def test_numbers_and_lists_at_the_end():
+    weights = pairs.Weights(language.Weights())
+    assert pairs.votes("How old?", "75.", None, weights)["truncated"][0] == -1
+    assert pairs.votes("How old?", "It is old.\n1. Very.\n2.", None, weights)["truncated"][0] == 1
+
+
+def test_scores_belong_to_their_fit():
+    one, two = language.Weights({" der ": (0.0, -9.0, -1.0, -9.0, -9.0)}), language.Weights({" der ": (-9.0, -9.0, 0.0, -9.0, -9.0)})
+    assert language.detect("der", one)[0] == "en" and language.detect("der", two)[0] == "de"
 
 
 def test_defects_end_to_end(spark):
@@ -101,29 +131,57 @@ def test_redaction_learns_names_and_keeps_the_rest(spark):
     assert "10" not in out and out["11"]["found"] == []
 
 
-def test_name_share_counts_every_text(spark):
-    texts = ["Signed, Ada Marsh."] * 2 + [f"The marsh lay wet, ada {i}." for i in range(60)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert pii.name_words(df).count() == 0  # 2 of 62 occurrences
-    assert rows(pii.name_words(df.limit(30))) == [("given", "ada"), ("sur", "marsh")]
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("SSN 123456789", ["id_number"]), ("DNI 12345678Z", ["id_number"]), ("12345678Z", ["id_number"]), ("12345678A", []), ("11010519491231002X", ["id_number"]), ("110105194912310021", []),
+        ("CPF 123.456.789-09", ["id_number"]), ("ring (020) 7946 0958", ["phone"]), ("call one two three four six eight nine one", ["phone"]), ("tel:+442079460958", ["phone"]), ("北京市海淀区中关村大街27号", ["address"]),
+    ],
+)
+def test_identity_and_phone_shapes(text, found):
+    assert kinds(text) == found
+
+
+@pytest.mark.parametrize("text", ["1600 Pennsylvania Ave NW, Washington DC 20500", "14 Rue de Rivoli, Paris", "12 " + "Pebble" * 33 + " Lane, Port Town", "x" * 300 + "@" + "y" * 300 + ".example", "mailto:bob@mail.example"])
+def test_spans_reach_to_the_edges(text):
+    (start, end, _), = pii.numbers_and_addresses(text)
+    assert (start, end) == (0, len(text))
+    (start, end, _), = pii.numbers_and_addresses("Seen: " + text + " and more")
+    assert (start, end) == (6, 6 + len(text))
+
 
+def test_long_runs_are_read_in_linear_time():
+    assert pii.numbers_and_addresses("x" * 300_000) == []
+    assert len(pii.numbers_and_addresses("ab@cd.example " * 2_000)) == 2_000
 
-@pytest.mark.parametrize("text", ["for Ada Marsh", "hi Ada Marsh", "Here is Ada Marsh", "Ada Marsh (desk two)", "Ada Marsh ghi", "Ada Marsh ở đây"])
-def test_every_opening_gives_evidence(text):
-    batch = next(pii._lexicon_batches(iter([pd.DataFrame({"text": [text]})])))
-    assert {("given", "ada", 1), ("sur", "marsh", 1)} <= set(batch.itertuples(index=False, name=None))
+
+NO_WORDS = {r: set() for r in (*pii.ROLES, "like", "left", "right", "every")}
+
+
+@pytest.mark.parametrize("text, name", [("My colleague Priya Raman will join.", "Priya Raman"), ("All is well.\nRegards, Ben Carter", "Ben Carter"), ("Please forward to Tom Becker today", "Tom Becker"), ("Dear Ms Okoro, hello", "Ms Okoro"), ('{"name": "Lea Brandt"}', "Lea Brandt"), ("Contact: Zoë L. Kern", "Zoë L. Kern")])
+def test_general_cues_give_names_and_evidence(text, name):
+    assert [text[a:b] for a, b, _ in pii.find_names(text, [], NO_WORDS)] == [name]
+    assert [sure for *_, sure in pii.name_runs(text)[1]] in ([True], [True, True]) or "L. " in text
+
+
+def test_name_share_counts_every_text(spark):
+    texts = ["Signed, Ada Marsh."] * 2 + [f"The marsh lay wet, ada {i}." for i in range(60)]
+    df = spark.createDataFrame([(t, 1) for t in texts], "text string, times long")
+    assert pii.name_words(df).where("role in ('given', 'sur')").count() == 0  # 2 of 62 occurrences
+    assert rows(pii.name_words(df.limit(30)).where("role in ('given', 'sur')")) == [("given", "ada"), ("sur", "marsh")]
 
 
-def test_initial_before_a_word_like_family_names_needs_no_known_word():
-    words = pii.with_parts({r: frozenset({"pagelon", "pagetis", "pagewick", "woldmar", "rodemar", "hillmar"} if r == "sur" else ()) for r in pii.ROLES})
-    assert pii.find_names("Sent by V. Pagemar", [], words) == [(8, 18, "name")]
+def test_cues_are_learned_from_names(spark):
+    known = [f"Signed, {g} {s}." for g, s in (("Ada", "Marsh"), ("Ben", "Thorn"), ("Cem", "Yıldız")) for _ in range(3)]
+    beside = [f"Today {n} fed the geese, and Blue Heron guide {i} is torn." for i, n in enumerate(("Ada Marsh", "Ben Thorn", "Cem Yıldız", "Dov Halper"))]
+    words = rows(pii.name_words(spark.createDataFrame([(t, 1) for t in known + beside * 2], "text string, times long")))
+    assert ("right", "fed the") in words and ("given", "dov") in words and ("given", "blue") not in words
 
 
-def test_names_by_join_equal_names_by_shared_list(spark, monkeypatch):
-    df = spark.createDataFrame([("m", str(i), f"Signed, Ada Marsh. Note {i}.") for i in range(4)], "src string, row_key string, text string")
-    shared = rows(pii.redact(df).select("row_key", "clean_text"))
-    monkeypatch.setattr(pii, "MAX_SHARED_NAMES", 0)
-    assert rows(pii.redact(df).select("row_key", "clean_text")) == shared
+def test_repeated_texts_are_read_once_and_given_each(spark):
+    df = spark.createDataFrame([("m", str(i), "Signed, Ada Marsh, ada@mail.example") for i in range(5)] + [("m", "5", "")], "src string, row_key string, text string")
+    out = rows(pii.redact(df).select("row_key", "clean_text"))
+    assert out == [*((str(i), "Signed, [NAME], [EMAIL]") for i in range(5)), ("5", "")]
 
 
 # --- 3

@@ -23,6 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tomeline.llm import language
 from tomeline.session import cut
@@ -36,36 +37,37 @@ LEAD = regex.compile(r"^\W*(?:answer|response|question|q|a|you asked|your questi
 
 # Placeholders that stand for no answer.
 PLACEHOLDERS = {"", "tbd", "todo", "n a", "na", "none", "null", "nil", "nan", "empty", "answer", "response", "placeholder", "undefined", "xxx", "tba", "leer", "vide", "trống", "vacío", "lorem ipsum"}
-# Wordings that decline or say that nothing is known, by language.
-REFUSALS = regex.compile(
-    r"\bi (?:don'?t|do not) know\b|\b(?:i'?m|i am|we are|as a language model i am) (?:unable|not able|not allowed)\b|\b(?:i|we) (?:can'?t|cannot|could not|couldn'?t) (?:help|answer|find|say|tell|discuss)"
-    r"|\bcan'?t say\b|\bcannot be answered\b|\bnot (?:answerable|enough information)\b|\binsufficient (?:information|context)\b|\brather not (?:guess|say)\b|\bmust decline\b|\bno answer is given\b"
-    r"|\bhave to invent\b|\bempty hands\b|\bbeyond me\b|\boutside (?:of )?(?:the scope|what i am able)|\bnot to discuss\b|\bnot be right for me\b|\bnothing (?:i read )?(?:lets me say|for you on)\b|\b(?:shelves|sources) (?:hold|say) nothing\b|\bsay nothing about\b"
-    r"|\bno evidence on\b|\bno page covers\b|\bneed more context\b|\bhave nothing for you\b|^not_found\b|\bnone of [^.]{0,60} mention|\bno (?:relevant )?(?:pages|sources|results) (?:were|was) (?:returned|found)"
-    r"|không biết\b|không đủ thông tin|không thể trả lời|không tìm thấy|không dám đoán|nằm ngoài phạm vi|vượt quá khả năng|không có trang nào|không được phép bàn|không có căn cứ|đành chịu|đều không đề cập"
-    r"|peux pas répondre|n['’]ai rien trouvé|préfère m['’]abstenir|ne sais pas|pas assez d['’]informations|informations? insuffisantes?|hors de mon domaine|aucune page n['’]en parle"
-    r"|nicht beantworten|weiß (?:es|ich) nicht|nicht raten|reichen für eine antwort nicht|nichts (?:dazu )?gefunden|keine seite|dazu sagen|außerhalb meines"
-    r"|no puedo responder|no encontré nada|prefiero no contestar|no hay información suficiente|no lo sé|no sé\b|fuera de mi alcance|ninguna página"
-    r"|无法(?:回答|作答)|信息不足|不清楚|不想乱猜|没有关于.{0,20}的页面|不知道|超出了|抱歉|できません|足りない|見つかりませんでした|お答えでき|わかりません|分かりません|ไม่ทราบ|ไม่พบ|ไม่สามารถ|ไม่มีข้อมูล|모르겠|찾을 수 없|답변할 수 없|не знаю|не могу ответить|недостаточно|नहीं पता|उत्तर नहीं|لا أعرف|لا أستطيع|لا توجد معلومات",
+# Words that deny, words of knowing, telling and finding, and wordings that decline by themselves. A sentence
+# declines if a word of the first kind and one of the second stand close together, or if it holds one of the last.
+DENYING = (
+    r"(?:\b(?:not|no|nothing|none|cannot|unable|nicht|nichts|kein\w*|ne|pas|aucune?s?|rien|no|nada|ningun[ao]?|ningún|không|chưa|chẳng|chả|не|нет|ничего)\b|n['’]t\b|\bn['’]|ไม่|नहीं|لا |لم |ليس )"
+)
+KNOWING = (
+    r"(?:\b(?:know|known|knowledge|idea|clue|certain|sure|answer(?:s|ed|able)?(?!\W*:)|tell|say|help|assist\w*|comment|discuss|speak|provided?|find|found|information|info|evidence|mention\w*|cover\w*|contain\w*|context|sources?|results?|able|scope|guess|allowed"
+    r"|weiß|wissen|bekannt|beantwort\w*|antwort\w*|sagen|helfen|auskunft|angaben?|information\w*|gefunden|finden|ahnung|raten|hinweis\w*"
+    r"|sais|sait|savoir|répon\w*|dire|aider|trouv\w*|informations?|idée|connais\w*|parle|sé|sabe\w*|respond\w*|contest\w*|encontr\w*|información|decir|ayudar|habla"
+    r"|biết|trả lời|tìm thấy|thông tin|nói về|đề cập|bàn (?:về|luận)|giúp|căn cứ|đoán|зна\w+|ответ\w*|информаци\w*|наш\w+|могу|сказать)\b|ทราบ|รู้|ตอบ|พบ|ข้อมูล|पता|उत्तर|जानकारी|मालूम|أعرف|أعلم|معلومات|أستطيع|إجاب)"
+)
+BETWEEN = r"(?:\W+\w+){0,5}?\W*"
+DENIES = regex.compile(
+    rf"{DENYING}{BETWEEN}{KNOWING}|{KNOWING}{BETWEEN}{DENYING}"
+    r"|(?:不|没|沒|無|无|未)\p{Han}{0,3}(?:知道|清楚|回答|作答|了解|信息|資料|资料|找到|确定|猜|关于)|(?:わか|分か|知り|知ら|存じ|答え|回答|見つか)\p{Hiragana}{0,3}(?:ない|ません|なかった)|情報が足り|(?:모르|알|답|정보|찾)\p{Hangul}{0,3} ?(?:없|못|않)",
     regex.I,
 )
-# Wordings that look like those above but decline nothing.
-HARMLESS = regex.compile(r"i can'?t stress this enough:?|sorry for the wait\.?|unfortunately yes\.?|xin lỗi vì trả lời chậm\.?|which nobody could find for years,?|trang đầu không nói rõ, nhưng trang sau có ghi:?", regex.I)
-# Sentences that may stand beside an answer or a refusal without being either.
-ASIDE = regex.compile(
-    r"^(?:good question|in short|according to the handbook, this is how it stands|theo sổ tay thì như sau|tóm lại|kurz gesagt|en bref|en resumen|简单来说|要するに|answer|is there anything else i can look up|could you try another topic|you may want to try a different shelf|please (?:ask|contact) [^.;]{0,60}|bạn hãy hỏi nhân viên|no sources)\W*$",
+DECLINING = regex.compile(
+    r"\b(?:unanswerable|insufficient|unable to|must decline|(?:have|need|wish) to decline|i(?:['’]d)? (?:rather|prefer) not|beyond (?:me|my|the scope)|outside (?:of )?(?:my|the scope|what i)|don['’]?t know|no idea|need(?:ing)? more (?:context|information|details?)|ha(?:ve|s|d) nothing (?:for|on|about|to)|can['’]?t say|je l['’]ignore|j['’]ignore|hors de (?:mon|ma|mes)|m['’]abstenir|unbekannt|außerhalb meines?|fuera de mi|lo ignoro|ignoro|desconozco"
+    r"|đành chịu|nằm ngoài|vượt quá khả năng)\b|^not_found\b|超出了|不足|できません|お答えでき|모르겠",
     regex.I,
 )
+TURN = regex.compile(r"\b(?:but|however|yet|nhưng|aber|jedoch|mais|pero)\b|但|しかし", regex.I)
 SHORT_LEAD = regex.compile(r"^(?:in short|tóm lại|kurz gesagt|en bref|en resumen|answer)\s*[:：]\s*|^(?:简单来说，|要するに、)", regex.I)
-FIRST_PERSON = regex.compile(r"\b(?:i|i'?m|i'?d|me|my|we|our|tôi|je|j['’]ai|nous|ich|mir|wir|me|mi|yo)\b|我|私", regex.I)
-NEGATION = regex.compile(r"\b(?:not|no|nothing|none|can'?t|cannot|won'?t|unable|decline|không|chẳng|chịu|pas|aucune?|rien|nicht|nichts|keine?|nada|ninguna?|no)\b|不|没|無|ません|ない", regex.I)
 OPEN_END = regex.compile(r"(?:[,，、:：;；(\[（「『“«‘—–]|\s-|\b-)\s*$")
 DOTS_END = regex.compile(r"(?:…|\.\.\.)\s*$")
 STOP_END = regex.compile(r"(?:[.!?。！？।؟✔✓](?<!\.\.\.)|\|)[\"”’»)\]）」』*`\s]*$|```\s*$|\[[^\[\]]*\]\s*$|\([^()]*\)\s*$")
 NUMBERS = regex.compile(r"\p{N}+")
 VISIBLE, NUMBER, EMPHASIS = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"\p{N}"), regex.compile(r"[*_`>#]")
 FENCED, BOLD_END = regex.compile(r"```.*?```", regex.S), regex.compile(r"\*\*\s*$")
-ITEM_END = regex.compile(r"(?:^|\n)\s*(?:\p{N}{1,2}[.)]|[-*•])[\s*]*$")
+ITEM_END = regex.compile(r"\n\s*(?:\p{N}{1,2}[.)]|[-*•])[\s*]*$")
 VALUE = regex.compile(r"^\W*\p{N}[\p{N}.,]*\s*\W*\p{L}{0,4}\W*$")
 
 # Labelled pairs on which the cutoffs are validated: (query, answer, defect or "").
@@ -74,7 +76,9 @@ VALIDATION = (
     ("How old is the mill?", "How old is the mill?", "copied"), ("How old is the mill?", "> how old is the mill", "copied"), ("How old is the mill?", "You asked: How old is the mill?", "copied"),
     ("Wie alt ist die Mühle?", "„Wie alt ist die Mühle?“", "copied"), ("How old is the mill?", "I don't know.", "refusal"), ("How old is the mill?", "In short: I'm unable to answer that.", "refusal"),
     ("Cối xay bao nhiêu tuổi?", "Tôi không biết.", "refusal"), ("Quel âge a le moulin ?", "Désolé, je ne peux pas répondre.", "refusal"), ("How old is the mill?", "The mill is about 90 years old.", ""),
-    ("How old is the mill?", "90", ""), ("How old is the mill?", "≈ 90 kg", ""), ("How old is the mill?", "Sorry for the wait. The mill is 90 years old.", ""),
+    ("How old is the mill?", "90", ""), ("How old is the mill?", "75.", ""), ("How old is the mill?", "No idea, sorry.", "refusal"), ("How old is the mill?", "The sources provide no information on this.", "refusal"),
+    ("Wie alt ist die Mühle?", "Dazu ist mir nichts bekannt.", "refusal"), ("¿Cuántos años tiene el molino?", "No encuentro esa información.", "refusal"), ("Cối xay bao nhiêu tuổi?", "Tôi chưa tìm thấy thông tin nào.", "refusal"), ("磨坊多少年了？", "我不知道。", "refusal"),
+    ("How old is the mill?", "The first sign does not say, but the second one does: ninety years.", ""), ("How old is the mill?", "Nobody lives there now. The mill is not far from the river.", ""), ("How old is the mill?", "The mill is old:\n1. It stands by the river.\n2.", "truncated"), ("How old is the mill?", "≈ 90 kg", ""), ("How old is the mill?", "Sorry for the wait. The mill is 90 years old.", ""),
     ("How old is the mill?", "Die Mühle ist ungefähr neunzig Jahre alt und steht am Fluss.", "other_language"), ("How old is the mill?", "La ferme est ouverte tous les jours et le moulin est fermé.", "other_language"),
     ("Wie alt ist die Mühle?", "The mill is about ninety years old and stands by the river.", "other_language"), ("Cối xay bao nhiêu tuổi?", "この水車は九十年前に作られました。", "other_language"),
     ("How old is the mill?", "The mill (“die Mühle”) is about ninety years old.", ""), ("How old is the mill?", "The mill is about ninety years old and stands by the,", "truncated"),
@@ -126,11 +130,64 @@ def _own_words(query: str, answer: str) -> tuple[int, int]:
     return n, len(left.split())
 
 
+class Weights:
+    """What the labelling functions learn: letter groups by language, and runs of words by how they go with the flag."""
+
+    def __init__(self, languages: language.Weights, flagged: dict[str, float] | None = None) -> None:
+        self.languages, self.flagged = languages, flagged or {}
+        self.known: dict[str, float] = {}
+
+    def __reduce__(self):
+        return Weights, (self.languages, self.flagged)
+
+    def score(self, sentence: str) -> float:
+        """Mean log odds of the runs of words of a sentence for a flagged answer; 0 where nothing was learned."""
+        got = self.known.get(sentence)
+        if got is None:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            found = [self.flagged[f] for f in _flag_features(sentence) if f in self.flagged]
+            got = self.known[sentence] = sum(found) / len(found) if found else 0.0
+        return got
+
+
+FLAG_ROWS = 10_000  # at most so many flagged and so many other answers are fitted on
+LEAST_SEEN = 3  # answers that must hold a run of words before it says anything
+
+
+def _flag_features(text: str) -> set[str]:
+    """The runs of two and three words of a text, numbers alike."""
+    out = set()
+    for line in _sentences(text):
+        words = ["^", *(language.fold_word(w) for w in _words(line)), "$"]
+        out.update(" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1))
+    return out
+
+
+def fit_flag(answers: list[tuple[str, bool]]) -> dict[str, float]:
+    """Log odds of runs of words for answers with the flag, both sides weighted alike; empty without both sides."""
+    counts = (Counter(), Counter())
+    for answer, flag in answers:
+        counts[flag].update(_flag_features(answer))
+    total = [sum(f == flag for _, f in answers) for flag in (False, True)]
+    if not all(total):
+        return {}
+    often = [f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= LEAST_SEEN]
+    return {f: math.log((counts[1][f] + 0.5) / total[1] / ((counts[0][f] + 0.5) / total[0])) for f in often}
+
+
+def fit(pairs: DataFrame, documents: DataFrame) -> Weights:
+    """Fits on at most language.FIT_ROWS documents a language and FLAG_ROWS answers with and without the flag."""
+    flagged = pairs.select("not_found", "answer", F.xxhash64("answer").alias("h")).where("not_found is not null and answer is not null").distinct()
+    some = flagged.withColumn("r", F.row_number().over(Window.partitionBy("not_found").orderBy("h"))).where(F.col("r") <= FLAG_ROWS)
+    return Weights(language.fit(documents), fit_flag([(r["answer"], r["not_found"]) for r in some.select("answer", "not_found").toLocalIterator()]))
+
+
 def _sentences(text: str) -> list[str]:
     return [s for s in (p.strip() for p in SEGMENT.split(text)) if s]
 
 
-def votes(query: str | None, answer: str | None, not_found: bool | None, weights: dict) -> dict[str, tuple[int, ...]]:
+def votes(query: str | None, answer: str | None, not_found: bool | None, weights: Weights) -> dict[str, tuple[int, ...]]:
     """The votes of all functions but those that need the corpus."""
     text = answer or ""
     plain = _plain(text)
@@ -138,9 +195,7 @@ def votes(query: str | None, answer: str | None, not_found: bool | None, weights
     filler = plain in PLACEHOLDERS
     brief = len(plain) <= 12 and not NUMBER.search(plain) and not STOP_END.search(text)
     out = {"empty": (1 if nothing else 0 if filler else -1, 1 if nothing or filler else -1, 1 if nothing or filler or brief else -1)}
-    if nothing or filler:
-        return out | {"copied": (0, 0, 0), "refusal": (0, 0, 0, 0), "other_language": (0, 0, 0), "truncated": (0, 0, 0)}
-    if query and _plain(query):
+    if query and _plain(query) and not nothing:
         n, own = _own_words(query, text)
         asked = set(_plain(query).split())
         said = _plain(_without_leads(text)).split()
@@ -148,24 +203,29 @@ def votes(query: str | None, answer: str | None, not_found: bool | None, weights
         out["copied"] = (1 if own == 0 else -1, 1 if own <= 0.1 * n else -1, 1 if inside >= 0.95 and len(said) >= 0.6 * len(asked) and own < 0.5 * n else -1)
     else:
         out["copied"] = (0, 0, 0)
-    calm = HARMLESS.sub(" ", EMPHASIS.sub(" ", text) if not text.strip().upper().startswith("NOT_FOUND") else text)
+    calm = EMPHASIS.sub(" ", text) if not text.strip().upper().startswith("NOT_FOUND") else text
     parts = [SHORT_LEAD.sub("", s) for s in _sentences(calm)]
-    parts = [s for s in parts if not ASIDE.match(s) and VISIBLE.search(s)]
-    declining = [bool(REFUSALS.search(s)) for s in parts]
-    share = sum(declining) / max(1, len(parts))
-    out["refusal"] = (
-        1 if share >= 0.5 else -1,
-        1 if declining and declining[0] and len(parts) <= 3 else -1,
-        (1 if not_found else -1) if not_found is not None else 0,
-        1 if parts and len(parts) <= 2 and NEGATION.search(parts[0]) and FIRST_PERSON.search(parts[0]) else 0 if share or len(parts) <= 2 else -1,
-    )
-    asked_in = language.detect(query, weights) if query else (None, 0.0)
-    said_in = language.detect(text, weights)
+    parts = [s for s in parts if VISIBLE.search(s)]
+    worded = [bool(DECLINING.search(s) or (m := DENIES.search(s)) and not TURN.search(s, m.end())) for s in parts]
+    scores = [weights.score(s) for s in parts]
+    flag = 0 if not_found is None else 1 if not_found else -1
+    if parts:
+        strong = [x >= 1.0 for x in scores]
+        out["refusal"] = (
+            1 if sum(worded) * 2 >= len(parts) else 0 if any(worded[:2]) or len(parts) <= 2 and not NUMBER.search(text) else -1,
+            (1 if any(strong) and len(parts) <= 4 else -1) if any(scores) else 0,
+            flag,
+            -1 if len(parts) > 4 or NUMBER.search(text) else 1 if any(w and x >= 0 for w, x in zip(worded, scores, strict=True)) else 0,
+        )
+    else:
+        out["refusal"] = (0, 0, flag, 0)
+    asked_in = language.detect(query, weights.languages) if query else (None, 0.0)
+    said_in = language.detect(text, weights.languages)
     if asked_in[0] and said_in[0]:
         differs = asked_in[0] != said_in[0]
         sure = 1 if said_in[0] not in language.LATIN or asked_in[0] not in language.LATIN else said_in[1] > 0.25 and asked_in[1] > 0.1
         # where the whole answer is in the language of the query, so are most of its sentences
-        each = [d for s in _sentences(text) if len(s) > 8 and (d := language.detect(s, weights)[0])] if differs else [asked_in[0]]
+        each = [d for s in _sentences(text) if len(s) > 8 and (d := language.detect(s, weights.languages)[0])] if differs else [asked_in[0]]
         other = sum(d != asked_in[0] for d in each) / len(each) if each else 0.0
         out["other_language"] = ((1 if sure else 0) if differs else -1, (1 if other > 0.5 else -1) if each else 0, 1 if differs and sum(c.isalpha() for c in text) > 12 else -1)
     else:
@@ -194,7 +254,7 @@ def ending(answer: str | None) -> list[int] | None:
     return _grams([_word_hash("^"), *map(_word_hash, words)])
 
 
-def _vote_batches(weights: dict):
+def _vote_batches(weights: Weights):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [votes(q, a, None if pd.isna(f) else bool(f), weights) for q, a, f in zip(b["query"], b["answer"], b["not_found"], strict=True)]
@@ -290,7 +350,7 @@ def find_defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     defects lists every defect whose posterior passes its cutoff, in the order of DEFECTS; pairs without one are left out.
     """
     spark: SparkSession = pairs.sparkSession
-    weights = language.fit(documents)
+    weights = fit(pairs, documents)
     labelled = spark.createDataFrame([("#", i, q, a, None) for i, (q, a, _) in enumerate(VALIDATION)], "src string, row_id long, query string, answer string, not_found boolean")
     rows = pairs.select("src", F.col("row_id").cast("long").alias("row_id"), "query", "answer", "not_found")
     schema = "src string, row_id long, " + ", ".join(f"{d} string" for d in DEFECTS) + ", tail array<long>"

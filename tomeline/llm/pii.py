@@ -1,9 +1,12 @@
 """Personal information inside free text: find it and put typed placeholders in its place.
 
-An Aho-Corasick automaton finds anchors (at-signs, digits, street words, identifier cues); around each anchor local
-parsers expand to the e-mail address, postal address, identity or phone number and check its shape. Names have no
-anchor of their own: a first pass gathers over the whole corpus which words stand where cues or titles announce a
-name, and the second marks runs of those words.
+An Aho-Corasick automaton finds anchors (at-signs, schemes, digits, street words, identifier cues); from each kind of
+anchor local parsers expand to the e-mail address, postal address, identity or phone number and check its shape and,
+where it has them, its check digits. Names have no anchor of their own. They are learned over the whole corpus by
+mutual bootstrapping: general cues (titles, greetings, signatures, self-introductions, field labels) give the first
+name words; contexts of two words in which runs of capitals mostly hold known name words become cues themselves; what
+they announce gives further name words. Then runs of those words are marked. Name words and cues reach a text by a
+join on the words it holds.
 
 Undefined cases: a null or blank text has no occurrence; rows repeated under one key count once; overlapping finds
 go to the earlier kind of KINDS; texts are scanned whole, however long; an empty table gives no row.
@@ -15,86 +18,92 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeline.llm.language import fold, fold_word
+from tomeline.llm.language import FOLDED, fold_word
 from tomeline.session import cut
 
 KINDS = ("email", "address", "id_number", "phone", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "address": "[ADDRESS]", "id_number": "[ID_NUMBER]", "phone": "[PHONE]", "name": "[NAME]"}
-REACH = 160  # characters on either side of an anchor that a local parser may use
-MAX_SHARED_NAMES = 200_000  # up to so many name words every task gets the list; beyond, each text gets its own by a join
-
 # Words that open or close a postal address.
 STREETS = ("lane", "terrace", "row", "st", "street", "road", "rd", "avenue", "ave", "blvd", "boulevard", "close", "court", "drive", "square", "way", "crescent", "gardens", "hill", "mews", "parade", "place", "quay")
 BEFORE_NAME = ("rue", "avenue", "place", "chemin", "boulevard", "quai", "impasse", "calle", "avenida", "plaza", "paseo", "đường", "duong", "lối", "loi", "phố", "pho", "thôn", "thon", "ấp", "bản")
 AFTER_NAME = ("weg", "straße", "strasse", "str.", "gasse", "allee", "platz")
 SPOKEN_WORDS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-BLANKS = ("", *(chr(c) for c in range(0x3001) if chr(c).isspace()))
+# Schemes, and words that announce an identity number.
+SCHEMES = ("mailto:", "tel:", "sms:", "sip:", "callto:")
+ID_CUES = ("ssn", "social security", "dni", "nif", "nie", "cpf", "cccd", "cmnd", "căn cước", "passport", "reisepass", "passeport", "pasaporte", "hộ chiếu", "personalausweis", "身份证", "national insurance", "aadhaar", "identity no", "identity number", "id number", "tax id")
 ANCHORS = {
-    "email": ("@", "＠", " at ", *(a + b + "at" for a, b in product("([", BLANKS))),
-    "address": (*(f" {s}" for s in STREETS), "box", *(f"{w} " for w in (*BEFORE_NAME, *AFTER_NAME)), "ngõ", "ngo "),
+    "email": ("@", "＠", " at ", "at)", "at]", "at )", "at ]"),
+    "address": (*(f" {s}" for s in STREETS), "box", *(f"{w} " for w in (*BEFORE_NAME, *AFTER_NAME)), "ngõ", "ngo ", "号", "號"),
     "number": tuple("0123456789"),
     "spoken": SPOKEN_WORDS,
+    "scheme": SCHEMES,
+    "cue": ID_CUES,
 }
 I = regex.I
-EMAIL = regex.compile(r"(?:mailto:)?[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]*\s?(?:@|＠|[\[(]\s?(?:@|at)\s?[\])])\s?[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)*\.\p{L}{2,}|[\p{L}\p{N}][\p{L}\p{N}._%+\-]* (?:at|\(at\)|\[at\]) [\p{L}\p{N}\-]+(?: (?:dot|\(dot\)|\[dot\]) [\p{L}\p{N}\-]+)+", I)
+AT = regex.compile(r"\s?(?:@|＠|[\[(]\s*(?:@|at)\s*[\])])\s?", I)
+SAID_AT = regex.compile(r" (?:at|\(at\)|\[at\]) (?=[\p{L}\p{N}\-]+ (?:dot|\(dot\)|\[dot\]) )", I)
+LOCAL_PART = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]*", regex.REVERSE)
+DOMAIN = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)*\.\p{L}{2,}")
+SAID_DOMAIN = regex.compile(r"[\p{L}\p{N}\-]+(?: (?:dot|\(dot\)|\[dot\]) [\p{L}\p{N}\-]+)+", I)
 W = r"[\p{L}\p{M}'’\-]+"
 SEP = r"(?:\s*[,;]\s*|\s*[\r\n]+\s*)"
 CITY = rf"(?-i:\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+(?:[ ]\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+)?|(?<=^[^\p{{Lu}}]*)\p{{Ll}}+(?:[ ]\p{{Ll}}+)?(?=\s*(?:[.,;:?!)\"\n]|$)))"
 UNIT = r"(?:apt|unit|flat|suite|apartment|floor)\.?\s*\d+\p{L}?"
+TOWN = r"(?-i:\p{Lu}[\p{L}\p{M}'’\-]+(?=\s*(?:[.,;:?!)\"\n]|$)|[ ]\p{Ll}))"
 CODE = r"(?:[ ]+(?:\p{Lu}{1,2}\d{1,2}\p{L}?[ ]?\d\p{L}{2}|\d{5}(?:-\d{4})?))?"
 VN_AREA = r"(?:phường|phuong|quận|quan|thị trấn|thi tran|xã|xa|huyện|huyen|thành phố|thanh pho|tp\.?|tỉnh|tinh)"
 VN_NAME = rf"(?-i:(?:\p{{Lu}}[\p{{L}}\p{{M}}]*)(?:[ ]\p{{Lu}}[\p{{L}}\p{{M}}]*){{0,2}}|\p{{Ll}}[\p{{L}}\p{{M}}]*(?:[ ]\p{{Ll}}[\p{{L}}\p{{M}}]*)?)"
 ADDRESS = regex.compile(
-    rf"(?:(?:{UNIT}|c/o[^,\n]{{1,30}}|the \p{{L}}+ house at){SEP}?\s*)?(?<![\p{{L}}\p{{N}}/.])\d{{1,5}}(?:-\d{{1,5}})?\p{{L}}?[ ]+(?:{W}[ ]+){{1,3}}?(?:{'|'.join(STREETS)})\b\.?(?:{SEP}{UNIT})?(?:{SEP}{CITY}{CODE})?"
+    rf"(?:(?:{UNIT}|c/o[^,\n]{{1,30}}){SEP}?\s*)?(?<![\p{{L}}\p{{N}}/.])\d{{1,5}}(?:-\d{{1,5}})?\p{{L}}?[ ]+(?:{W}[ ]+){{1,3}}?(?:{'|'.join(STREETS)})\b\.?(?-i:[ ](?:NW|NE|SW|SE|N|S|E|W)\b)?(?:{SEP}{UNIT})?(?:{SEP}{CITY}{CODE})?"
     rf"|\bp\.?\s?o\.?\s?box[ ]+\d+(?:{SEP}{CITY}{CODE})?"
-    rf"|(?<![\p{{N}}/])\d{{1,4}}(?:[ ](?:bis|ter|quater))?,?[ ](?:rue|avenue|place|chemin|boulevard|quai|impasse)[ ](?:des?[ ]|du[ ]|de[ ]la[ ]|d['’]|l['’])*{W}(?:[ ]\p{{Lu}}{W})?(?:{SEP}\d{{5}}[ ]{W})?"
+    rf"|(?<![\p{{N}}/])\d{{1,4}}(?:[ ](?:bis|ter|quater))?,?[ ](?:rue|avenue|place|chemin|boulevard|quai|impasse)[ ](?:des?[ ]|du[ ]|de[ ]la[ ]|d['’]|l['’])*{W}(?:[ ]\p{{Lu}}{W})?(?:{SEP}(?:\d{{5}}[ ]{W}|{TOWN}))?"
     rf"|\b(?:calle|avenida|plaza|paseo)[ ](?:de[ ]la[ ]|del[ ]|de[ ]|la[ ]|el[ ])?{W}(?:[ ]{W})?,?[ ](?:n\.?º[ ]?)?\d{{1,4}}(?:{SEP}\d{{1,2}}[ºª°o]?[ ]?\p{{L}}?\b)?(?:{SEP}\d{{5}}[ ]{W})?"
     rf"|\b\p{{L}}{{3,}}(?:weg|straße|strasse|str\.|gasse|allee|platz)[ ]\d{{1,4}}\p{{L}}?\b(?:{SEP}\d{{5}}[ ]{W})?"
     rf"|(?:\b(?:số|so)[ ])?(?<![\p{{N}}/])\d{{1,4}}(?:/\d{{1,4}})*(?:[ ](?:ngõ|ngo|hẻm|hem|ngách|ngach)[ ]\d{{1,4}}(?:/\d{{1,4}})*)?[ ,]+(?:đường|duong|lối|loi|phố|pho)[ ]{VN_NAME}(?:{SEP}{VN_AREA}[ ]*{VN_NAME})*"
-    rf"|\b(?:thôn|thon|ấp|bản)[ ]{VN_NAME}(?:{SEP}{VN_AREA}[ ]*{VN_NAME})+",
+    rf"|\b(?:thôn|thon|ấp|bản)[ ]{VN_NAME}(?:{SEP}{VN_AREA}[ ]*{VN_NAME})+"
+    r"|(?:\p{Han}{2,12}?[省市区縣县](?=\p{Han})){0,4}\p{Han}{1,10}(?:路|街|道|巷|弄|大街|胡同)(?:\p{Han}{1,6})?\d{1,5}[号號](?:院|楼)?(?:\d{1,4}(?:号楼|栋|单元|层|楼|室)){0,4}",
     I,
 )
 ID = regex.compile(
     r"(?<![\p{L}\p{N}+.\-/])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\p{L}{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{2}\d{7}|\d{3} \d{3} \d{3} \d{3}|\d{12}|\d{6}[-+A]\d{4}X?|\d{6}[-+A]\d{3}\p{L})(?![\p{L}\p{N}]|[-./]\d)",
     I,
 )
+AFTER_CUE = regex.compile(r"\W*(?:(?:no|nr|number|card|número|số|is|ist|est|es|là|号|号码)\W*){0,3}(?=[\p{L}\p{N}.\-/ ]*\p{N})((?:\p{L}{0,3}[ .\-/]?)?\p{N}{2,}(?:[ .\-/]?\p{N}+)*(?:-?\p{L}\b)?)", I)
+CHECKED = regex.compile(r"(?<![\p{L}\p{N}+.\-/])(?:\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|\d{17}[\dXx]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{11})(?![\p{L}\p{N}]|[-./]\d)")
+ID_CUE = regex.compile(r"(?<!\p{L})(?:" + "|".join(ID_CUES) + r")(?![a-z])", I)
+TEL = regex.compile(r"(?:tel|sms|sip|callto):(\+?[\d().\- ]{5,}\d)", I)
 # Words before a number that is no phone or identity number.
 OTHER_NUMBER = regex.compile(r"(?:isbn(?: is)?|shelf (?:no\.?|number)|kệ số|ticket|mã phiếu|lot|lô|build|bản|section|mục|price|giá|sku|rack|room|phòng|page|error|lỗi|call number|order|invoice|iban|ratio is|version|ref(?:erence)?\.?|track(?:ing)?|barcode|serial)\s*(?:no\.?|number|#|:)?\s*$", I)
-PHONE_CUE = regex.compile(r"(?:tel|phone|fax|call|text|mobile|ring|☎|📞|sđt|điện thoại|gọi (?:tôi )?(?:theo )?số|số (?:của tôi )?(?:là)?|nobody answered under|appelez le|llame al|anrufen|rufen sie|reach me (?:at|on)|on|under|at)\W*(?:is|là)?\W*$", I)
+PHONE_CUE = regex.compile(r"(?:tel|phone|fax|call|text|mobile|ring|☎|📞|sđt|điện thoại|gọi (?:tôi )?(?:theo )?số|số (?:của tôi )?(?:là)?|appelez le|llame al|anrufen|rufen sie|reach me (?:at|on)|on|under|at)\W*(?:is|là)?\W*$", I)
 PHONE = regex.compile(r"(?<![\p{L}\p{N}@._/#])(?:\+|00)?\(?\d{1,15}\)?(?:(?:\.(?=[\d(])|[ \-]| ?/ ?)\(?\d{1,8}\)?\d{0,8}){0,6}(?![\p{L}\p{N}@_]|[-./]\d)")
 SPOKEN = regex.compile(rf"\b(?:(?:{'|'.join(SPOKEN_WORDS)})\b[ ,\-]*){{7,}}", I)
 SHAPES = regex.compile(
-    r"^(?:(?:\+|00)[\d ().\-/]{8,}|0\d{4} ?\d{6}|0\d{3} ?\d{3} ?\d{4}|0\d(?:[ .]\d{2}){4}|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|555-\d{4}|0\d{2,3} ?/ ?\d{4,8}(?: \d{2,4})?)$"
+    r"^(?:(?:\+|00)[\d ().\-/]{8,}|0\d{4} ?\d{6}|0\d{3} ?\d{3} ?\d{4}|0\d(?:[ .]\d{2}){4}|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|\(0\d{1,4}\) ?\d{3,4} ?\d{3,4}|1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|555-\d{4}|0\d{2,3} ?/ ?\d{4,8}(?: \d{2,4})?)$"
 )
 TITLE = r"(?:mr|mrs|ms|mx|miss|dr|prof|herr|frau|hr|fr|mme|mlle|señora?|sra?|sr|ông|bà|anh|chị)"
 HONORIFIC = frozenset("mr mrs ms mx miss dr prof herr frau mme mlle m señor señora sr sra don doña".split())
-# Wordings right before or after a name; the first are matched backwards, from the name on.
+# General wordings right before a name (matched backwards, from the name on).
 BEFORE = regex.compile(
-    r"(?:thank you,|thanks,|hello|hi|dear|bonjour|hallo|hola|chào|signed,|noted for|please let|who is|my name is|this is|i'?m|i am|booked by|card is under|contact:|holder of \S+(?: \S+){0,3} is|papers of|\"holder\": \"|name=|ask|for|deliver(?:y)? to|ship to:?|yesterday|is|gestern war|ich heiße|lieferung an|je m'?appelle|livrez à|hier|me llamo|ayer vino|entregue a|tôi tên là|tên tôi là|ký tên|đứng tên|nhắn giúp|ai là|giấy tờ của|liên hệ|nhà|hôm qua)[ ]*$",
+    r"(?:\b(?:thank you|thanks|cảm ơn|merci|danke|gracias),?|\b(?:hello|hi|hey|dear|bonjour|hallo|hola|chào|liebe[rs]?|chère?|estimad[oa])|\b(?:signed|regards|sincerely|best|yours|cheers|cordialement|grüßen?|saludos|atentamente|trân trọng|ký tên),?\s"
+    r"|\b(?:my name is|this is|i'?m|i am|ich heiße|ich bin|mein name ist|je m'?appelle|je suis|me llamo|soy|tôi tên là|tên tôi là|tôi là|who is|ai là)"
+    r"|\b(?:my|our) (?:colleague|manager|friend|neighbou?r|wife|husband|brother|sister|daughter|son|boss|assistant)|\b(?:ask for|speak (?:to|with)|talk to|forward to|deliver(?:y)? to|ship to|attn\.?|attention|c/o|lieferung an|livrez à|entregue a|liên hệ|contact|from|cc|to):?"
+    r"|\"?\b(?:name|holder|owner|customer|contact|author|sender|recipient)\"? ?[:=] ?\"?)[ ]*$",
     I | regex.REVERSE,
 )
-AFTER = regex.compile(r"^(?:[ ]*(?:told me to ask|left a scarf|and i swapped|know\b|still at|hat mich geschickt|m'?a dit de|est passé|me mandó aquí|bảo tôi hỏi|để quên|share one card|ghi\b|ở\b|hier\b)|:? two crates|, identity| ?<| ?\()", I)
 # Words that open a sentence before a name and are none themselves.
-NO_NAME = frozenset("yesterday hier for ayer gestern i'm mr mrs ms mx dr mme frau herr signed noted is rufen don who this contact ask the and hôm qua nha lien he ich je me my".split())
+NO_NAME = frozenset("yesterday hier for ayer gestern i'm mr mrs ms mx dr mme frau herr signed noted is rufen don who this contact ask the a an and or our your his her der die das ein eine le la les un une el los las una im dear hello hi hey thank thanks regards sincerely best cheers bonjour hallo hola chao merci danke gracias hôm qua nha lien he ich je me my".split())
 TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 # Latin text without combining marks or fraction and superscript digits: there [^\W\d_] is \p{L}, which the faster module knows.
 LATIN = re.compile(r"[\x00-\x7f\xa0\xab\xbb\xbf-\u024f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e]*\Z")
 LATIN_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SIX_DIGITS = re.compile(r"\d(?:[ \-./()]{0,5}\d){5}")  # every identity and phone number in figures holds such a run
-INITIAL = regex.compile(r"\p{Lu}\.[ \u00a0]")
-MEMO_CHARS, MEMO_TEXTS = 400, 50_000  # a task keeps what it found in so many short texts, as many are sent again
-
-
-SAID = "|".join(SPOKEN_WORDS)
-EMAIL_GATE = regex.compile(r"[@＠]|[ (\[]dot[ )\]]|[(\[]\s?at\s?[)\]]", I)
-GATE = regex.compile(rf"\p{{N}}|{EMAIL_GATE.pattern}|\b(?:thôn|thon|ấp|bản)\b|\b(?:{SAID})\b[ ,\-]+(?:{SAID})\b", I)
+CAPITALS = regex.compile(r"\p{Lu}(?:\.[ \u00a0]|[\p{L}\p{M}'’]*[ \-]\p{Lu})")
 
 
 @lru_cache(maxsize=1)
@@ -109,26 +118,44 @@ def _automaton():
     return a
 
 
-def _windows(text: str) -> dict[str, list[tuple[int, int]]]:
-    """Stretches around the anchors of each kind, merged."""
+def _anchored(text: str) -> set[str]:
+    """The kinds of anchors that a text holds."""
     low = text.lower()
-    if len(low) != len(text):  # a few letters change length in lower case
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    out: dict[str, list[list[int]]] = {}
+    kinds: set[str] = set()
     for end, (kind, n) in _automaton().iter(low):
-        if low[end + 1 : end + 2].isalpha() and (kind == "spoken" or kind == "address" and low[end - n + 1] == " "):
-            continue  # only the beginning of a longer word
-        spans = out.setdefault(kind, [])
-        a, b = max(0, end - REACH), min(len(text), end + REACH)
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = b
-        else:
-            spans.append([a, b])
-    return {k: [tuple(s) for s in v] for k, v in out.items()}
+        if kind not in kinds and not (low[end + 1 : end + 2].isalpha() and (kind == "spoken" or kind == "address" and low[end - n + 1] == " ")):
+            kinds.add(kind)  # and not only the beginning of a longer word
+    return kinds
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """From every at-sign outwards: the local part before it, the domain after it."""
+    for at, domain in ((AT, DOMAIN), (SAID_AT, SAID_DOMAIN)):
+        for m in at.finditer(text):
+            before = LOCAL_PART.match(text, 0, m.start())
+            after = domain.match(text, m.end())
+            if before and after:
+                start = before.start()
+                yield (start - 7 if text[:start].lower().endswith("mailto:") else start), after.end()
+
+
+def _dni(code: str) -> bool:
+    digits = code[:-1].replace("-", "").translate({88: "0", 89: "1", 90: "2"})
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == code[-1]
 
 
-def _may_hold_email(text: str) -> bool:
-    return EMAIL_GATE.search(text) is not None
+def _weighted(digits: str, first: int) -> int:
+    return sum(int(d) * w for d, w in zip(digits, range(first, 1, -1))) * 10 % 11 % 10
+
+
+def has_check_digits(code: str) -> bool:
+    """Whether an identity number that carries check digits has the right ones (Spanish, Chinese, Brazilian ones)."""
+    bare = code.replace(".", "").replace("-", "").upper()
+    if not code[-1].isdigit() and len(bare) == 9:
+        return _dni(bare)
+    if len(bare) == 18:
+        return "10X98765432"[sum(int(d) * (2 ** (17 - i) % 11) for i, d in enumerate(bare[:17])) % 11] == bare[17] and bare[6:8] in ("19", "20")
+    return len(bare) == 11 and len(set(bare)) > 1 and bare[9] == str(_weighted(bare[:9], 10)) and bare[10] == str(_weighted(bare[:10], 11))
 
 
 def _words(text: str) -> re.Pattern:
@@ -146,22 +173,38 @@ def _free(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
 def numbers_and_addresses(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of everything but names."""
     taken: list[tuple[int, int, str]] = []
-    if not GATE.search(text):
-        return taken  # neither a digit nor a word that an address, e-mail address or spoken number needs
-    windows = _windows(text)
-
-    def search(pattern, kind: str, anchors: str, ok=lambda m: True) -> None:
-        for a, b in windows.get(anchors, ()):
-            for m in pattern.finditer(text, a, b):
-                if m.end() > m.start() and _free(taken, m.start(), m.end()) and ok(m):
-                    taken.append((m.start(), m.start() + len(m[0].rstrip(" ,;-\n\r")), kind))
-
-    if _may_hold_email(text):
-        search(EMAIL, "email", "email")
-    search(ADDRESS, "address", "address")
-    in_figures = SIX_DIGITS.search(text)
+    anchors = _anchored(text)
+    if not anchors:
+        return taken
+
+    def take(start: int, end: int, kind: str) -> None:
+        end = start + len(text[start:end].rstrip(" ,;-\n\r"))
+        if end > start and _free(taken, start, end):
+            taken.append((start, end, kind))
+
+    def search(pattern, kind: str, ok=lambda m: True) -> None:
+        for m in pattern.finditer(text):
+            if m.end() > m.start() and ok(m):
+                take(m.start(), m.end(), kind)
+
+    if "email" in anchors:
+        for start, end in _emails(text):
+            take(start, end, "email")
+    if "address" in anchors:
+        search(ADDRESS, "address")
+    plain = lambda m: not OTHER_NUMBER.search(text[max(0, m.start() - 24) : m.start()])
+    in_figures = "number" in anchors and SIX_DIGITS.search(text)
     if in_figures:
-        search(ID, "id_number", "number", lambda m: not OTHER_NUMBER.search(text[max(0, m.start() - 24) : m.start()]))
+        search(ID, "id_number", plain)
+        search(CHECKED, "id_number", lambda m: plain(m) and has_check_digits(m[0]))
+        if "cue" in anchors:
+            for c in ID_CUE.finditer(text):
+                m = AFTER_CUE.match(text, c.end())
+                if m and 6 <= sum(x.isdigit() for x in m[1]) <= 18:
+                    take(*m.span(1), "id_number")
+        if "scheme" in anchors:
+            for m in TEL.finditer(text):
+                take(*m.span(1), "phone")
 
     def is_phone(m) -> bool:
         digits = sum(c.isdigit() for c in m[0])
@@ -174,8 +217,9 @@ def numbers_and_addresses(text: str) -> list[tuple[int, int, str]]:
         return bool(SHAPES.match(bare) or (PHONE_CUE.search(before) and digits >= 8 and not regex.match(r"\d{1,2}[./]\d{1,2}[./]\d{2,4}$", m[0])))
 
     if in_figures:
-        search(PHONE, "phone", "number", is_phone)
-    search(SPOKEN, "phone", "spoken")
+        search(PHONE, "phone", is_phone)
+    if "spoken" in anchors:
+        search(SPOKEN, "phone")
     return taken
 
 
@@ -198,54 +242,53 @@ def _joined(text: str, a: tuple, b: tuple) -> bool:
     return text[a[1] : b[0]] in (" ", "-", "  ", "\u00a0", ". ", ".\u00a0")
 
 
-def name_evidence(text: str) -> list[tuple[str, str]]:
-    """(role, folded word) for words that a cue or a title announces as a name in capitals; role ? counts every word."""
-    taken = numbers_and_addresses(text)
-    toks = _tokens(text, taken)
-    out = [("?", t[3]) for t in toks]
-    done = 0
-    for i in [i for i, t in enumerate(toks) if t[2][0].isupper() or t[2].lower() in HONORIFIC]:
-        if i < done:
-            continue
-        j = i
-        while j + 1 < len(toks) and toks[j][2][0].isupper() and toks[j + 1][2][0].isupper() and text[toks[j][1] : toks[j + 1][0]] in (" ", "-"):
-            j += 1
-        run = toks[i : j + 1]
-        while len(run) > 1 and run[0][3] in NO_NAME and not _is_honorific(run[0][2]):
-            run = run[1:]
-        if run[0][2][0].isupper() and run[0][3] not in NO_NAME or _is_honorific(run[0][2]):
-            before, after = text[max(0, run[0][0] - 40) : run[0][0]], text[run[-1][1] : run[-1][1] + 24]
-            if _is_honorific(run[0][2]) and len(run) in (2, 3):
-                out += [("sur", run[-1][3])]
-            elif BEFORE.search(before) or AFTER.match(after):
-                spaced = [r for k, r in enumerate(run) if k == 0 or text[run[k - 1][1]] == " "]
-                if len(run) == 3 and len(spaced) == 3 and all(1 < len(r[3]) <= 6 for r in run):
-                    out += [("vn1", run[0][3]), ("vn2", run[1][3]), ("vn3", run[2][3])]
-                elif len(run) in (2, 3) and len(run[-1][3]) > 1 and len(run[0][3]) > 1:
-                    out += [("given", r[3]) for r in run[:-1] if len(r[3]) > 1] + [("sur", run[-1][3])]
-                elif len(run) == 2 and len(run[1][3]) == 1:
-                    out += [("given", run[0][3])]
-        done = j + 1
-    return out
+def _cues(toks: list[tuple[int, int, str, str]], i: int, j: int) -> tuple[str, str]:
+    """The two words before token i and the two after token j."""
+    before, after = toks[max(0, i - 2) : i], toks[j + 1 : j + 3]
+    return " ".join(["^"] * (2 - len(before)) + [t[3] for t in before]), " ".join([t[3] for t in after] + ["$"] * (2 - len(after)))
 
 
-def _like_family_name(word: str, words: dict[str, frozenset]) -> bool:
-    """Built from a beginning and an end that known family names have."""
-    if "like" in words:  # found by joins
-        return word in words["like"]
-    starts, ends = words["starts"], words["ends"]
-    return any(word[:k] in starts and word[k:] in ends for k in range(2, len(word) - 2))
+def _roles(text: str, run: list[tuple[int, int, str, str]]) -> list[str]:
+    """role:word of the words of a run of capitals, if it is a name."""
+    if _is_honorific(run[0][2]):
+        return [f"sur:{run[-1][3]}"] if len(run) in (2, 3) else []
+    spaced = all(text[a[1]] == " " for a in run[:-1])
+    if len(run) == 3 and spaced and all(1 < len(r[3]) <= 6 for r in run):
+        return [f"vn{k}:{r[3]}" for k, r in enumerate(run, 1)]
+    if len(run) in (2, 3) and len(run[-1][3]) > 1 and len(run[0][3]) > 1:
+        return [*(f"given:{r[3]}" for r in run[:-1] if len(r[3]) > 1), f"sur:{run[-1][3]}"]
+    return [f"given:{run[0][3]}"] if len(run) == 2 and len(run[1][3]) == 1 else []
 
 
-def with_parts(words: dict[str, frozenset]) -> dict[str, frozenset]:
-    """Adds the beginnings and ends that at least three family names share."""
-    starts = Counter(w[:k] for w in words["sur"] for k in range(2, min(6, len(w) - 2)))
-    ends = Counter(w[k:] for w in words["sur"] for k in range(2, len(w) - 2))
-    return words | {"every": words["given"] | words["sur"] | words["vn1"], "starts": frozenset(w for w, n in starts.items() if n >= 3), "ends": frozenset(w for w, n in ends.items() if n >= 3)}
+def name_runs(text: str) -> tuple[list[str], list[tuple[tuple[str, ...], str, str, bool]]]:
+    """The folded words of a text; and its runs of capitals that may be names: roles, words before, words after, and
+    whether a general cue or a title announces them."""
+    toks = _tokens(text, numbers_and_addresses(text))
+    out, done = [], 0
+    for i, t in enumerate(toks):
+        if i < done or not (t[2][0].isupper() or t[2].lower() in HONORIFIC):
+            continue
+        j = i
+        while j + 1 < len(toks) and t[2][0].isupper() and toks[j + 1][2][0].isupper() and text[toks[j][1] : toks[j + 1][0]] in (" ", "-"):
+            j += 1
+        done, first = j + 1, i
+        if j == i and t[2].lower() in HONORIFIC and j + 1 < len(toks) and toks[j + 1][2][0].isupper():
+            continue
+        first = next((k for k in range(j - 1, i, -1) if _is_honorific(toks[k][2])), first)
+        while first < j and toks[first][3] in NO_NAME and not _is_honorific(toks[first][2]):
+            first += 1
+        # the first word of a sentence may or may not be part of the name
+        opens = j - first >= 2 and not _is_honorific(toks[first][2]) and text[max(0, toks[first][0] - 4) : toks[first][0]].rstrip()[-1:] in ("", ".", "!", "?", "。")
+        for k in (first, first + 1) if opens else (first,):
+            roles = _roles(text, toks[k : j + 1])
+            if roles:
+                sure = _is_honorific(toks[k][2]) or bool(BEFORE.search(text, max(0, toks[k][0] - 40), toks[k][0]))
+                out.append((tuple(roles), *_cues(toks, k, j), sure))
+    return [t[3] for t in toks], out
 
 
 def _like_family_names(seen: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """The words of seen(word) that _like_family_name would accept, by joins."""
+    """The words of seen(word) that are built from a beginning and an end which at least three known family names have."""
     last = F.length("word") - 3
     family = lexicon.where("role = 'sur'").select("word").distinct()
     at = lambda df, end: df.where(end >= 2).withColumn("k", F.explode(F.sequence(F.lit(2), end)))
@@ -257,12 +300,17 @@ def _like_family_names(seen: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, frozenset]) -> list[tuple[int, int, str]]:
-    given, sur = words["given"], words["sur"]
-    every = words["every"]
+    given, sur, like, every = words["given"], words["sur"], words["like"], words["every"]
     found = _words(text).findall(text)
-    if every.isdisjoint(map(fold_word, found)) and not INITIAL.search(text) and not any(_is_honorific(w) or w[0].isupper() and _like_family_name(fold_word(w), words) for w in found):
+    if every.isdisjoint(map(fold_word, found)) and not CAPITALS.search(text) and not any(_is_honorific(w) or w[0].isupper() and fold_word(w) in like for w in found):
         return []  # no word that a name could begin with
     toks = _tokens(text, taken)
+
+    def announced(i: int, j: int) -> bool:
+        """Whether a general or a learned cue stands before token i or after token j."""
+        before, after = _cues(toks, i, j)
+        return before in words["left"] or after in words["right"] or bool(BEFORE.search(text, max(0, toks[i][0] - 40), toks[i][0]))
+
     out, i = [], 0
     while i < len(toks):
         t = toks[i]
@@ -287,16 +335,21 @@ def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, fr
                 if j < len(toks) and len(toks[j][3]) == 1 and toks[j][2].isupper() and text[toks[j - 1][1] : toks[j][0]] == " " and text[toks[j][1] : toks[j][1] + 1] == ".":
                     j += 1
                 break
-        if kinds and kinds[-1] in "gi" and kinds[0] in "gb" and j < len(toks) and len(toks[j][3]) > 2 and (toks[j][2][0].isupper() or _like_family_name(toks[j][3], words)) and toks[j][3] not in NO_NAME and text[toks[j - 1][1] : toks[j][0]] in (" ", ". "):
+        if kinds and kinds[-1] in "gi" and kinds[0] in "gb" and j < len(toks) and len(toks[j][3]) > 2 and (toks[j][2][0].isupper() or toks[j][3] in like) and toks[j][3] not in NO_NAME and text[toks[j - 1][1] : toks[j][0]] in (" ", ". "):
             kinds.append("s")  # a family name not seen before
             j += 1
-        if not kinds and len(t[2]) == 1 and t[2].isupper() and nxt and nxt[2][0].isupper() and text[t[1]] == "." and (nxt[3] in sur or _like_family_name(nxt[3], words) or BEFORE.search(text[max(0, t[0] - 40) : t[0]]) or AFTER.match(text[nxt[1] : nxt[1] + 24])):
+        if not kinds and len(t[2]) == 1 and t[2].isupper() and nxt and nxt[2][0].isupper() and text[t[1]] == "." and (nxt[3] in sur or nxt[3] in like or announced(i, i + 1)):
             kinds, j = ["i", "s"], i + 2
-        if not kinds and not _is_honorific(t[2]) and t[2][0].isupper() and t[3] not in NO_NAME and len(t[3]) > 3 and regex.search(r"[.!?]?\s*$", text[: t[0]]) and _like_family_name(t[3], words):
-            if AFTER.match(text[t[1] : t[1] + 24]) or BEFORE.search(text[max(0, t[0] - 40) : t[0]]):
-                kinds, j = ["s"], i + 1
+        if not kinds and not _is_honorific(t[2]) and t[2][0].isupper() and t[3] not in NO_NAME and len(t[3]) > 3 and t[3] in like and announced(i, i):
+            kinds, j = ["s"], i + 1
         if _is_honorific(t[2]) and nxt and not kinds and j == i + 1:
             kinds, j = ["s"], i + 2
+        if not kinds and BEFORE.search(text, max(0, t[0] - 40), t[0]):  # a run of capitals right after a general cue
+            j = i
+            while j < min(i + 4, len(toks)) and toks[j][2][0].isupper() and toks[j][3] not in NO_NAME and (j == i or text[toks[j - 1][1] : toks[j][0]] in (" ", "-") or len(toks[j - 1][3]) == 1 and _joined(text, toks[j - 1], toks[j])):
+                j += 1
+            place = j > i and any(start - toks[j - 1][1] <= 2 and start >= toks[j - 1][1] and kind == "address" for start, _, kind in taken)
+            kinds = ["g", "s"] if j - i >= 2 and not place else []
         if kinds:
             # family name, given name
             if kinds == ["s"] and j < len(toks) and text[toks[j - 1][1] : toks[j][0]] == ", " and toks[j][3] in given and not (j + 1 < len(toks) and _joined(text, toks[j], toks[j + 1]) and toks[j + 1][3] in sur):
@@ -304,10 +357,9 @@ def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, fr
                 kinds.append("g")
             a, b = toks[start][0], toks[j - 1][1]
             solo = len([k for k in kinds if k != "i"]) == 1 and len(kinds) == 1 and j - start == 1
-            if solo and not toks[start][2][0].isupper() and j < len(toks) and _joined(text, toks[j - 1], toks[j]) and AFTER.match(text[toks[j][1] : toks[j][1] + 24]):
+            if solo and not toks[start][2][0].isupper() and j < len(toks) and _joined(text, toks[j - 1], toks[j]) and _cues(toks, j, j)[1] in words["right"]:
                 b, j, solo = toks[j][1], j + 1, False
-            sure = toks[start][2][0].isupper() or BEFORE.search(text[max(0, a - 40) : a]) or AFTER.match(text[b : b + 24])
-            if not solo or sure:
+            if not solo or toks[start][2][0].isupper() or announced(start, j - 1):
                 out.append((a, b, "name"))
             i = j
             continue
@@ -315,94 +367,111 @@ def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, fr
     return out
 
 
-def _lexicon_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
-    short: Counter = Counter()  # short texts, which come again and again, are read once
+EVIDENCE = "word string, roles array<string>, before string, after string, sure boolean, n long"
+
+
+def _evidence_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each word stands in the texts, and each run of capitals with its surroundings, summed within the task."""
+    words: Counter = Counter()
+    runs: Counter = Counter()
 
     def flush() -> pd.DataFrame:
-        out = pd.DataFrame([(r, w, n) for (r, w), n in counts.items()], columns=["role", "word", "n"])
-        counts.clear()
-        return out
+        rows = [(w, None, None, None, None, n) for w, n in words.items()]
+        rows += [(None, list(roles), before, after, sure, n) for (roles, before, after, sure), n in runs.items()]
+        words.clear(), runs.clear()
+        return pd.DataFrame(rows, columns=["word", "roles", "before", "after", "sure", "n"])
 
     for b in batches:
-        for text in b["text"].dropna():
-            if len(text) <= MEMO_CHARS and (text in short or len(short) < MEMO_TEXTS):
-                short[text] += 1
-            else:
-                counts.update(name_evidence(text))
-        if len(counts) > 300_000:
-            yield flush()
-    for text, times in short.items():
-        for pair in name_evidence(text):
-            counts[pair] += times
-        if len(counts) > 300_000:
+        for text, times in zip(b["text"], b["times"], strict=True):
+            found, names = name_runs(text)
+            for w in found:
+                words[w] += times
+            for run in names:
+                runs[run] += times
+        if len(words) + len(runs) > 200_000:
             yield flush()
     yield flush()
 
 
-def name_words(texts: DataFrame, least: int = 2, share: float = 0.05) -> DataFrame:
-    """role, word: words announced as names at least so often, and in at least this share of their occurrences."""
-    counts = texts.select("text").mapInPandas(_lexicon_batches, "role string, word string, n long").groupBy("word", "role").agg(F.sum("n").alias("n"))
-    by_word = counts.groupBy("word").agg(F.sum(F.when(F.col("role") == "?", F.col("n"))).alias("total"), F.collect_list(F.when(F.col("role") != "?", F.struct("role", "n"))).alias("roles"))
-    flat = by_word.where(F.size("roles") > 0).select("word", "total", F.explode("roles").alias("r"))
-    floor = F.when(F.col("r.role").startswith("vn"), F.lit(0.0)).otherwise(F.lit(share))
-    return flat.where((F.col("r.n") >= least) & (F.col("r.n") >= floor * F.col("total"))).select(F.col("r.role").alias("role"), "word")
-
-
 ROLES = ("given", "sur", "vn1", "vn2", "vn3")
 
 
-def _finder(shared: dict[str, frozenset] | None):
-    def find(text: str, words: dict[str, frozenset]) -> tuple[str, list[dict]]:
-        spans = numbers_and_addresses(text)
-        spans += find_names(text, spans, words)
-        spans.sort()
-        seen: Counter = Counter()
-        clean, last, kinds = [], 0, []
-        for a, z, kind in spans:
-            seen[kind] += 1
-            kinds.append({"pii_type": kind, "occ": seen[kind], "start_pos": a, "end_pos": z})
-            clean += [text[last:a], PLACEHOLDER[kind]]
-            last = z
-        return "".join([*clean, text[last:]]), kinds
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, tuple[str, list[dict]]] = {}
-        for b in batches:
-            rows = []
-            for src, key, text, own in zip(b["src"], b["row_key"], b["text"], b["names"], strict=True):
-                words, known = shared, memo.get(text)
-                if words is None:  # the same text has the same words
-                    pairs = [w.split(":", 1) for w in (own if own is not None else ())]
-                    words = {r: frozenset(w for role, w in pairs if role == r) for r in (*ROLES, "like")}
-                    words["every"] = words["given"] | words["sur"] | words["vn1"]
-                if known is None:
-                    known = find(text, words)
-                    if len(text) <= MEMO_CHARS and len(memo) < MEMO_TEXTS:
-                        memo[text] = known
-                rows.append((src, key, *known))
-            yield pd.DataFrame(rows, columns=["src", "row_key", "clean_text", "found"])
-
-    return run
+def name_words(texts: DataFrame, least: int = 2, share: float = 0.05, learned_share: float = 0.35, rounds: int = 3) -> DataFrame:
+    """role, word of texts(text, times): name words announced at least so often, by general cues in at least this share of
+    their occurrences or by any in at least learned_share (roles of ROLES), family-like words (like), and the learned cues: two words before (left) or after
+    (right) a name.
+
+    A pair of words is a cue if at least three different runs of capitals stand beside it, two or more of which and
+    seven in ten hold a known name word. Words and cues are learned from each other in so many rounds.
+    """
+    seen = cut(texts.mapInPandas(_evidence_batches, EVIDENCE).groupBy("word", "roles", "before", "after", "sure").agg(F.sum("n").alias("n")), "evidence")
+    totals = seen.where("word is not null").select("word", F.col("n").alias("total"))
+    runs = seen.where("word is null").drop("word")
+
+    def words_of(announced: DataFrame, share: float) -> DataFrame:
+        role, word = F.substring_index("r", ":", 1), F.expr("substring(r, instr(r, ':') + 1)")
+        counts = announced.select(F.explode("roles").alias("r"), "n").groupBy(role.alias("role"), word.alias("word")).agg(F.sum("n").alias("n"))
+        floor = F.when(F.col("role").startswith("vn"), F.lit(0.0)).otherwise(F.lit(share))
+        return counts.join(totals, "word").where((F.col("n") >= least) & (F.col("n") >= floor * F.col("total"))).select("role", "word")
+
+    words = cut(words_of(runs.where("sure"), share), "names")
+    cues = None
+    for _ in range(rounds):
+        known = words.select(F.concat("role", F.lit(":"), "word").alias("r"))
+        met = runs.select("roles", F.explode("roles").alias("r")).distinct().join(known, "r", "left_semi").select("roles").distinct().withColumn("known", F.lit(1))
+        sides = F.explode(F.array(F.struct(F.lit("left").alias("role"), F.col("before").alias("word")), F.struct(F.lit("right").alias("role"), F.col("after").alias("word")))).alias("c")
+        last = F.substring_index(F.element_at("roles", -1), ":", -1)  # a run and what is left of it without its first word are one
+        beside = runs.select("roles", sides).select("roles", "c.role", "c.word").where("word not in ('^ ^', '$ $')").distinct().join(met, "roles", "left")
+        beside = beside.groupBy("role", "word", last.alias("last")).agg(F.max("known").alias("known"))
+        cues = beside.groupBy("role", "word").agg(F.count("*").alias("runs"), F.count("known").alias("known")).where("runs >= 3 and known >= 2 and known >= 0.7 * runs").select("role", "word")
+        cues = cut(cues, "cues")
+        side = lambda name, to: cues.where(F.col("role") == name).select(F.col("word").alias(to), F.lit(True).alias(name))
+        announced = runs.join(side("left", "before"), "before", "left").join(side("right", "after"), "after", "left").where("sure or left or right")
+        words = cut(words_of(runs.where("sure"), share).unionByName(words_of(announced, learned_share)).distinct(), "names")
+    like = _like_family_names(totals.select("word"), words).select(F.lit("like").alias("role"), "word")
+    return words.unionByName(cues).unionByName(like)
+
+
+def _find_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for h, g, text, own in zip(b["h"], b["g"], b["text"], b["names"], strict=True):
+            words: dict[str, set] = {role: set() for role in (*ROLES, "like", "left", "right")}
+            for pair in own if own is not None else ():
+                role, _, word = pair.partition(":")
+                words[role].add(word)
+            words["every"] = words["given"] | words["sur"] | words["vn1"]
+            spans = numbers_and_addresses(text)
+            spans = sorted(spans + find_names(text, spans, words))
+            seen: Counter = Counter()
+            clean, last, kinds = [], 0, []
+            for a, z, kind in spans:
+                seen[kind] += 1
+                kinds.append({"pii_type": kind, "occ": seen[kind], "start_pos": a, "end_pos": z})
+                clean += [text[last:a], PLACEHOLDER[kind]]
+                last = z
+            rows.append((h, g, "".join([*clean, text[last:]]), kinds))
+        yield pd.DataFrame(rows, columns=["h", "g", "clean_text", "found"])
+
+
+def _words_of_texts(texts: DataFrame) -> DataFrame:
+    """h, g, word: the folded words of each text and its pairs of words, as name_runs makes them."""
+    token = F.lit(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
+    words = F.transform(F.regexp_extract_all("text", token, F.lit(0)), lambda w: F.translate(F.lower(w), *FOLDED))
+    framed = texts.select("h", "g", words.alias("t")).select("h", "g", "t", F.concat(F.array(F.lit("^"), F.lit("^")), "t", F.array(F.lit("$"), F.lit("$"))).alias("f"))
+    pairs = F.zip_with("f", F.slice("f", 2, F.size("f")), lambda a, b: F.concat(a, F.lit(" "), b))
+    return framed.select("h", "g", F.explode(F.array_distinct(F.concat("t", F.filter(pairs, lambda p: p.isNotNull())))).alias("word"))
 
 
 def redact(texts: DataFrame) -> DataFrame:
-    """texts(src, row_key, text) -> src, row_key, clean_text, found array of (pii_type, occ, start_pos, end_pos)."""
-    texts = texts.select("src", "row_key", "text").where("text is not null").withColumn("h", F.xxhash64("text")).dropDuplicates(["src", "row_key", "h"]).drop("h")
-    lexicon = cut(name_words(texts), "names")
-    rows = lexicon.limit(MAX_SHARED_NAMES + 1).collect()
-    if len(rows) <= MAX_SHARED_NAMES:
-        shared = with_parts({r: frozenset(x["word"] for x in rows if x["role"] == r) for r in ROLES})
-        source = texts.withColumn("names", F.lit(None).cast("array<string>"))
-    else:
-        shared = None
-        folded = F.pandas_udf(lambda w: w.map(fold), "string")
-        token = F.lit(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-        words = texts.select("src", "row_key", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all("text", token, F.lit(0)))).alias("w"))
-        words = words.withColumn("word", folded("w")).drop("w")
-        like = _like_family_names(words.select("word"), lexicon).select(F.lit("like").alias("role"), "word")
-        own = words.join(lexicon.unionByName(like), "word")
-        own = own.groupBy("src", "row_key", "h").agg(F.collect_set(F.concat("role", F.lit(":"), "word")).alias("names"))
-        source = texts.withColumn("h", F.xxhash64("text")).join(own, ["src", "row_key", "h"], "left").drop("h")
+    """texts(src, row_key, text) -> src, row_key, clean_text, found array of (pii_type, occ, start_pos, end_pos).
+
+    Every distinct text is read once. The lexicon reaches the texts by a join on their words.
+    """
+    keyed = texts.select("src", "row_key", "text", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g")).where("text is not null")
+    once = cut(keyed.groupBy("h", "g").agg(F.any_value("text").alias("text"), F.count("*").alias("times")), "texts")
+    lexicon = cut(name_words(once.select("text", "times")), "lexicon")
+    own = _words_of_texts(once).join(lexicon, "word").groupBy("h", "g").agg(F.collect_set(F.concat("role", F.lit(":"), "word")).alias("names"))
     found = "array<struct<pii_type:string,occ:int,start_pos:int,end_pos:int>>"
-    return source.select("src", "row_key", "text", "names").mapInPandas(_finder(shared), f"src string, row_key string, clean_text string, found {found}")
+    read = once.join(own, ["h", "g"], "left").select("h", "g", "text", "names").mapInPandas(_find_batches, f"h long, g long, clean_text string, found {found}")
+    return keyed.select("src", "row_key", "h", "g").distinct().join(read, ["h", "g"]).select("src", "row_key", "clean_text", "found")
