@@ -308,12 +308,43 @@ def test_conversations_by_stream(spark, tmp_path):
     assert rows(conversations.rebuilt(blocks, verdicts)) == [("late", 0, "user", "a"), ("late", 1, "assistant", "b"), ("ok", 0, "user", "hi"), ("ok", 1, "assistant", "hello")]
 
 
-def test_blocks_of_a_long_conversation_meet(spark):
-    parts = [conversations.close_block(("c", b), [(t, "user" if t % 2 == 0 else "assistant", "x") for t in range(b * 3, min(8, b * 3 + 3))]) for b in range(3)]
-    blocks = spark.createDataFrame(pd.concat(parts), conversations.OUT)
+def test_late_rows_over_several_batches(spark, tmp_path):
+    """Rows out of order in later files: within the delay the stream takes them, beyond it they are added afterwards."""
+    from datetime import timedelta
+
+    day = 86_400
+    files = [
+        [("a", 0, "user", "q", 0), ("b", 0, "user", "q", 10), ("c", 1, "bot", "r", 20)],
+        [("d", 0, "user", "q", 3 * day), ("b", 1, "bot", "r", 40)],
+        [("c", 0, "user", "q", 15), ("a", 1, "bot", "r", 30), ("e", None, "user", "x", 5)],
+        [("b", 1, "bot", "r", 45), ("d", 1, "bot", "r", 3 * day + 5), ("a", 2, "user", "more", 9 * day)],
+    ]
+    schema = "id long, conversation_id string, turn int, role string, text string, second long"
+    n = 0
+    for batch in files:
+        frame = spark.createDataFrame([(n := n + 1, *r) for r in batch], schema).withColumn("created_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("second"))).drop("second")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "messages.parquet"))
+        import time
+
+        time.sleep(1.1)  # files are taken in the order of their time
+    blocks = conversations.stream_blocks(spark, str(tmp_path / "messages.parquet"), frame.schema, timedelta(hours=1), timedelta(hours=1), files_per_trigger=1)
+    assert rows(blocks.groupBy("conversation_id", "block").count().where("count > 1")) == []
+    listed = spark.createDataFrame([(c,) for c in "abcde"], "id string")
+    verdicts = conversations.judge(blocks, listed)
+    assert rows(verdicts) == [("a", "missing_reply"), ("b", None), ("c", None), ("d", None), ("e", "broken")]
+    assert rows(conversations.rebuilt(blocks, verdicts)) == [("b", 0, "user", "q"), ("b", 1, "assistant", "r"), ("c", 0, "user", "q"), ("c", 1, "assistant", "r"), ("d", 0, "user", "q"), ("d", 1, "assistant", "r")]
+
+
+def test_blocks_of_a_long_conversation_meet(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "BLOCK_TURNS", 3)
+    data = [(i, "c", t, "user" if t % 2 == 0 else "assistant", "x") for i, t in enumerate([7, 3, 0, 1, 2, 5, 4, 6, 6])]
+    df = spark.createDataFrame(data, "id long, conversation_id string, turn int, role string, text string").withColumn("created_at", F.current_timestamp())
+    blocks = conversations.with_facts(conversations.in_blocks(conversations.message_rows(df)))
     listed = spark.createDataFrame([("c",)], "id string")
-    assert rows(conversations.judge(blocks, listed)) == [("c", None)]
+    assert blocks.count() == 3 and rows(conversations.judge(blocks, listed)) == [("c", None)]
     assert rows(conversations.judge(blocks.where("block <> 1"), listed)) == [("c", "broken")]
+    nothing = conversations.with_facts(conversations.in_blocks(conversations.message_rows(df.limit(0))))
+    assert rows(conversations.judge(nothing, listed)) == [("c", "empty")]
 
 
 # --- 6

@@ -7,6 +7,7 @@ that text typed without them keeps its language.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
@@ -21,6 +22,8 @@ LATIN = ("en", "vi", "de", "fr", "es")
 # A script that settles the language.
 SCRIPTS = (("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("ko", regex.compile(r"\p{Hangul}")), ("zh", regex.compile(r"\p{Han}")), ("th", regex.compile(r"\p{Thai}")), ("hi", regex.compile(r"\p{Devanagari}")), ("ar", regex.compile(r"\p{Arabic}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("latin", regex.compile(r"\p{Latin}")))
 BEYOND_LATIN = regex.compile(r"[^\u0000-\u024f\u0300-\u036f\u1e00-\u1eff\u2000-\u206f\u20a0-\u20cf\u2200-\u22ff\u2700-\u27bf]")
+# Latin text without combining marks or fraction and superscript digits: there [^\W\d_] is \p{L}, which the faster module knows.
+LATIN_TEXT = re.compile(r"[\x00-\x7f\xa0\xab\xbb\xbf-\u024f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e]*\Z")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
 

@@ -14,6 +14,7 @@ one id count once; an empty table gives no pair.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,7 @@ from tomeline.session import cut
 
 DEFECTS = ("empty", "copied", "refusal", "other_language", "truncated")
 ORDERS = (7, 5, 4, 3, 2)
+LATIN, LATIN_TOKEN = language.LATIN_TEXT, re.compile(r"[^\W\d_]+|\d+")
 TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+|\p{N}+")
 SEGMENT = regex.compile(r"(?<=[.!?…])[\"”’»)\]*]*\s+|(?<=[。！？।؟])[”’」』）*]*|\n+")
 MARKUP = regex.compile(r"<[^<>]{0,40}>|```[a-z]*|[`*_#>|~]|\[\d{0,3}\]|​|﻿")
@@ -59,6 +61,10 @@ DECLINING = regex.compile(
     r"|đành chịu|nằm ngoài|vượt quá khả năng)\b|^not_found\b|超出了|不足|できません|お答えでき|모르겠",
     regex.I,
 )
+# Words without marks one of which stands in every sentence in Latin letters that declines.
+DENYING_WORDS = frozenset(
+    "not no nothing none cannot unable t nicht nichts kein keine keinen keiner keinem keines ne n pas aucun aucune aucuns aucunes rien nada ninguna ninguno ningun khong chua chang cha unanswerable insufficient decline prefer rather beyond outside know idea say need needing ignore abstenir hors unbekannt ausserhalb auserhalb fuera ignoro desconozco danh nam vuot".split()
+)
 TURN = regex.compile(r"\b(?:but|however|yet|nhưng|aber|jedoch|mais|pero)\b|但|しかし", regex.I)
 SHORT_LEAD = regex.compile(r"^(?:in short|tóm lại|kurz gesagt|en bref|en resumen|answer)\s*[:：]\s*|^(?:简单来说，|要するに、)", regex.I)
 OPEN_END = regex.compile(r"(?:[,，、:：;；(\[（「『“«‘—–]|\s-|\b-)\s*$")
@@ -87,12 +93,16 @@ VALIDATION = (
 )
 
 
+def _tokens(text: str) -> list[str]:
+    return LATIN_TOKEN.findall(text) if LATIN.match(text) else TOKEN.findall(text)
+
+
 def _plain(text: str) -> str:
-    return " ".join(map(language.fold_word, TOKEN.findall(MARKUP.sub(" ", text))))
+    return " ".join(map(language.fold_word, _tokens(MARKUP.sub(" ", text))))
 
 
 def _words(text: str) -> list[str]:
-    return ["9" if t[0].isnumeric() else t for t in TOKEN.findall(text.lower())]
+    return ["9" if t[0].isnumeric() else t for t in _tokens(text.lower())]
 
 
 @lru_cache(maxsize=200_000)
@@ -119,11 +129,12 @@ def _without_leads(text: str) -> str:
     return text
 
 
-def _own_words(query: str, answer: str) -> tuple[int, int]:
-    """Tokens of the answer, and those left when whole repeats of the query or of its sentences are taken out."""
-    left = f" {_plain(_without_leads(answer))} "
+def _own_words(query: str, asked: str, said: str) -> tuple[int, int]:
+    """Tokens of the answer (plain), and those left when whole repeats of the query or of its sentences are taken out."""
+    left = f" {said} "
     n = len(left.split())
-    for part in sorted({_plain(query), *map(_plain, SEGMENT.split(query))}, key=len, reverse=True):
+    parts = SEGMENT.split(query)
+    for part in sorted({asked, *(map(_plain, parts) if len(parts) > 1 else ())}, key=len, reverse=True):
         if len(part) > 3:
             while f" {part} " in left:
                 left = left.replace(f" {part} ", " ")
@@ -195,10 +206,12 @@ def votes(query: str | None, answer: str | None, not_found: bool | None, weights
     filler = plain in PLACEHOLDERS
     brief = len(plain) <= 12 and not NUMBER.search(plain) and not STOP_END.search(text)
     out = {"empty": (1 if nothing else 0 if filler else -1, 1 if nothing or filler else -1, 1 if nothing or filler or brief else -1)}
-    if query and _plain(query) and not nothing:
-        n, own = _own_words(query, text)
-        asked = set(_plain(query).split())
-        said = _plain(_without_leads(text)).split()
+    if query and not nothing and (plain_query := _plain(query)):
+        bare = _without_leads(text)
+        plain_said = plain if bare == text else _plain(bare)
+        n, own = _own_words(query, plain_query, plain_said)
+        asked = set(plain_query.split())
+        said = plain_said.split()
         inside = sum(w in asked for w in said) / max(1, len(said))
         out["copied"] = (1 if own == 0 else -1, 1 if own <= 0.1 * n else -1, 1 if inside >= 0.95 and len(said) >= 0.6 * len(asked) and own < 0.5 * n else -1)
     else:
@@ -206,7 +219,8 @@ def votes(query: str | None, answer: str | None, not_found: bool | None, weights
     calm = EMPHASIS.sub(" ", text) if not text.strip().upper().startswith("NOT_FOUND") else text
     parts = [SHORT_LEAD.sub("", s) for s in _sentences(calm)]
     parts = [s for s in parts if VISIBLE.search(s)]
-    worded = [bool(DECLINING.search(s) or (m := DENIES.search(s)) and not TURN.search(s, m.end())) for s in parts]
+    open_to_doubt = not LATIN.match(text) or not DENYING_WORDS.isdisjoint(plain.split())
+    worded = [open_to_doubt and bool(DECLINING.search(s) or (m := DENIES.search(s)) and not TURN.search(s, m.end())) for s in parts]
     scores = [weights.score(s) for s in parts]
     flag = 0 if not_found is None else 1 if not_found else -1
     if parts:

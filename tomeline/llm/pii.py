@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeline.llm.language import FOLDED, fold_word
+from tomeline.llm.language import FOLDED, LATIN_TEXT, fold_word
 from tomeline.session import cut
 
 KINDS = ("email", "address", "id_number", "phone", "name")
@@ -99,8 +99,6 @@ BEFORE = regex.compile(
 # Words that open a sentence before a name and are none themselves.
 NO_NAME = frozenset("yesterday hier for ayer gestern i'm mr mrs ms mx dr mme frau herr signed noted is rufen don who this contact ask the a an and or our your his her der die das ein eine le la les un une el los las una im dear hello hi hey thank thanks regards sincerely best cheers bonjour hallo hola chao merci danke gracias hôm qua nha lien he ich je me my".split())
 TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-# Latin text without combining marks or fraction and superscript digits: there [^\W\d_] is \p{L}, which the faster module knows.
-LATIN = re.compile(r"[\x00-\x7f\xa0\xab\xbb\xbf-\u024f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e]*\Z")
 LATIN_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SIX_DIGITS = re.compile(r"\d(?:[ \-./()]{0,5}\d){5}")  # every identity and phone number in figures holds such a run
 CAPITALS = regex.compile(r"\p{Lu}(?:\.[ \u00a0]|[\p{L}\p{M}'’]*[ \-]\p{Lu})")
@@ -159,7 +157,7 @@ def has_check_digits(code: str) -> bool:
 
 
 def _words(text: str) -> re.Pattern:
-    return LATIN_TOKEN if LATIN.match(text) else TOKEN
+    return LATIN_TOKEN if LATIN_TEXT.match(text) else TOKEN
 
 
 def _is_honorific(word: str) -> bool:
@@ -260,10 +258,18 @@ def _roles(text: str, run: list[tuple[int, int, str, str]]) -> list[str]:
     return [f"given:{run[0][3]}"] if len(run) == 2 and len(run[1][3]) == 1 else []
 
 
+def _may_hold_name(text: str) -> bool:
+    """Whether two capitals stand side by side or a title stands in a text."""
+    return CAPITALS.search(text) is not None or not HONORIFIC.isdisjoint(text.lower().replace(".", " ").split())
+
+
 def name_runs(text: str) -> tuple[list[str], list[tuple[tuple[str, ...], str, str, bool]]]:
     """The folded words of a text; and its runs of capitals that may be names: roles, words before, words after, and
     whether a general cue or a title announces them."""
-    toks = _tokens(text, numbers_and_addresses(text))
+    taken = numbers_and_addresses(text)
+    if not taken and not _may_hold_name(text):
+        return [*map(fold_word, _words(text).findall(text))], []
+    toks = _tokens(text, taken)
     out, done = [], 0
     for i, t in enumerate(toks):
         if i < done or not (t[2][0].isupper() or t[2].lower() in HONORIFIC):
@@ -301,8 +307,7 @@ def _like_family_names(seen: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, frozenset]) -> list[tuple[int, int, str]]:
     given, sur, like, every = words["given"], words["sur"], words["like"], words["every"]
-    found = _words(text).findall(text)
-    if every.isdisjoint(map(fold_word, found)) and not CAPITALS.search(text) and not any(_is_honorific(w) or w[0].isupper() and fold_word(w) in like for w in found):
+    if not every and not like and not _may_hold_name(text):
         return []  # no word that a name could begin with
     toks = _tokens(text, taken)
 
@@ -396,7 +401,7 @@ def _evidence_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 ROLES = ("given", "sur", "vn1", "vn2", "vn3")
 
 
-def name_words(texts: DataFrame, least: int = 2, share: float = 0.05, learned_share: float = 0.35, rounds: int = 3) -> DataFrame:
+def name_words(texts: DataFrame, least: int = 2, share: float = 0.05, learned_share: float = 0.35, rounds: int = 2) -> DataFrame:
     """role, word of texts(text, times): name words announced at least so often, by general cues in at least this share of
     their occurrences or by any in at least learned_share (roles of ROLES), family-like words (like), and the learned cues: two words before (left) or after
     (right) a name.
@@ -443,6 +448,8 @@ def _find_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words["every"] = words["given"] | words["sur"] | words["vn1"]
             spans = numbers_and_addresses(text)
             spans = sorted(spans + find_names(text, spans, words))
+            if not spans:
+                continue
             seen: Counter = Counter()
             clean, last, kinds = [], 0, []
             for a, z, kind in spans:
@@ -456,11 +463,12 @@ def _find_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _words_of_texts(texts: DataFrame) -> DataFrame:
     """h, g, word: the folded words of each text and its pairs of words, as name_runs makes them."""
-    token = F.lit(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-    words = F.transform(F.regexp_extract_all("text", token, F.lit(0)), lambda w: F.translate(F.lower(w), *FOLDED))
-    framed = texts.select("h", "g", words.alias("t")).select("h", "g", "t", F.concat(F.array(F.lit("^"), F.lit("^")), "t", F.array(F.lit("$"), F.lit("$"))).alias("f"))
-    pairs = F.zip_with("f", F.slice("f", 2, F.size("f")), lambda a, b: F.concat(a, F.lit(" "), b))
-    return framed.select("h", "g", F.explode(F.array_distinct(F.concat("t", F.filter(pairs, lambda p: p.isNotNull())))).alias("word"))
+    apart = F.lit(r"(?:[^\p{L}\p{M}'’]|['’](?![\p{L}\p{M}])|(?<![\p{L}\p{M}])['’])+")
+    low = F.trim(F.regexp_replace(F.lower("text"), apart, F.lit(" ")))
+    folded = F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, *FOLDED)).otherwise(low)
+    framed = texts.select("h", "g", F.split(F.concat(F.lit("^ ^ "), folded, F.lit(" $ $")), " ").alias("t"))
+    beside = framed.select("h", "g", F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.size("t")).alias("b"))).alias("p"))
+    return beside.select("h", "g", F.explode(F.array("p.a", F.concat("p.a", F.lit(" "), F.coalesce("p.b", F.lit(""))))).alias("word"))
 
 
 def redact(texts: DataFrame) -> DataFrame:
@@ -474,4 +482,5 @@ def redact(texts: DataFrame) -> DataFrame:
     own = _words_of_texts(once).join(lexicon, "word").groupBy("h", "g").agg(F.collect_set(F.concat("role", F.lit(":"), "word")).alias("names"))
     found = "array<struct<pii_type:string,occ:int,start_pos:int,end_pos:int>>"
     read = once.join(own, ["h", "g"], "left").select("h", "g", "text", "names").mapInPandas(_find_batches, f"h long, g long, clean_text string, found {found}")
-    return keyed.select("src", "row_key", "h", "g").distinct().join(read, ["h", "g"]).select("src", "row_key", "clean_text", "found")
+    rows = keyed.dropDuplicates(["src", "row_key", "h", "g"]).join(read, ["h", "g"], "left")
+    return rows.select("src", "row_key", F.coalesce("clean_text", "text").alias("clean_text"), F.coalesce("found", F.expr(f"cast(array() as {found})")).alias("found"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,8 +114,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 # --- 5: conversations --------------------------------------------------------------------------------------------
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     messages = table(spark, d, "messages")
-    late = messages.agg(F.max(F.unix_timestamp("loaded_at") - F.unix_timestamp("created_at"))).first()[0] or 0
-    return conversations.stream_blocks(spark, f"{d}/messages.parquet", messages.schema, idle=timedelta(days=1), delay=timedelta(seconds=max(0, late) + 1))
+    return conversations.stream_blocks(spark, f"{d}/messages.parquet", messages.schema)
 
 
 def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
