@@ -1,10 +1,9 @@
-"""Text expressions shared by the operators; built-ins where Spark has them, pandas UDFs for Unicode folding."""
+"""Text expressions shared by the operators, all of built-in functions."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,19 +14,28 @@ STOP_WORDS = ("the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "is"
 BACK_MATTER = r"(?iu)^\s*(?:\d+(?:\.\d+)*\.?\s+)?(?:references|bibliography|works cited|acknowledge?ments|tài liệu tham khảo|lời cảm ơn)\s*$"
 
 
-def fold(col: Column) -> Column:
-    """Small letters without marks; đ becomes d, ß becomes ss."""
+def _folding() -> dict[int, str]:
+    """Letters that are one letter with marks, and what they fold to; marks alone fold to nothing."""
+    out = {ord("đ"): "d"}
+    for code in range(0xC0, 0xFFFF):
+        c = chr(code)
+        if unicodedata.combining(c):
+            out[code] = ""
+        elif (plain := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) != c and len(plain) == 1:
+            out[code] = plain
+    return out
+
 
-    def run(s: pd.Series) -> pd.Series:
-        def one(x: str | None) -> str | None:
-            if x is None:
-                return None
-            x = unicodedata.normalize("NFD", x.lower().replace("đ", "d").replace("ß", "ss"))
-            return "".join(c for c in x if not unicodedata.combining(c))
+FOLDING = _folding()
+_KEPT = sorted(c for c in FOLDING if FOLDING[c])
+# Arguments of translate; letters beyond the end of the second are dropped.
+FOLDED = ("".join(map(chr, _KEPT)) + "".join(chr(c) for c in FOLDING if not FOLDING[c]), "".join(FOLDING[c] for c in _KEPT))
 
-        return s.map(one)
 
-    return F.pandas_udf(run, "string")(col)
+def fold(col: Column) -> Column:
+    """Small letters without marks; đ becomes d, ß becomes ss."""
+    low = F.lower(col)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), *FOLDED)).otherwise(low)
 
 
 def tokens(col: Column) -> Column:
@@ -52,9 +60,9 @@ def slug(col: Column) -> Column:
 
 
 def one_line(col: Column, cap: int = 120) -> Column:
-    """The text without its first heading, blanks joined, cut to the cap."""
-    bare = F.regexp_replace(col, r"^\s*#{1,6} [^\n]*\n?", "")
-    return F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, cap)
+    """The first sentence of a text without its first heading, blanks joined, cut to the cap."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(col, r"^\s*#{1,6} [^\n]*\n?", ""), r"\s+", " "))
+    return F.substring(F.regexp_extract(bare, r"^(.*?[.!?。](?= |$)|.*)", 1), 1, cap)
 
 
 def figures(col: Column) -> Column:

@@ -10,31 +10,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tomeline.functions.text import tokens
+from tomeline.session import cut
 
 K1, B = 1.2, 0.75
+SLICES = 16
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, term, tf, dl."""
-    words = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    return words.select("doc", "dl", F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    """doc, term, tf, dl; a document without words has one row without term."""
+    words = docs.select(F.col(key).alias("doc"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t")).withColumn("dl", F.size("t"))
+    return words.select("doc", "dl", F.explode_outer("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.greatest(F.size(tokens(F.col(text))), F.lit(0)).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def corpus_stats(post: DataFrame) -> DataFrame:
+    """n_docs, avgdl of postings."""
+    return post.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int, rare_share: float | None = None) -> DataFrame:
-    """qid, doc, score, rank. With rare_share only terms in at most that share of the documents (at least one) count."""
-    post = postings(docs, key, text)
-    stats = F.broadcast(corpus_stats(docs, key, text))  # one row
+    """qid, doc, score, rank. With rare_share only terms in at most that share of the documents (at least one) count.
+
+    The postings are written once. Terms meet them spread over SLICES by document, so that a word which stands everywhere
+    is no single task; each slice adds up its own documents.
+    """
+    post = cut(postings(docs, key, text).withColumn("slice", F.pmod(F.xxhash64("doc"), F.lit(SLICES))), "postings")
+    stats = corpus_stats(post)
     terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).join(stats)
+    df = post.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # one row
     if rare_share is not None:
         df = df.where(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n_docs") * rare_share)))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = terms.join(df.select("term", idf.alias("idf"), "avgdl"), "term")
+    asked = terms.join(df.select("term", idf.alias("idf"), "avgdl"), "term").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = asked.join(post, "term").groupBy("qid", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    score = asked.hint("merge").join(post, ["term", "slice"]).groupBy("qid", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
     return score.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k)

@@ -36,5 +36,8 @@ def stratified(df: DataFrame, kind: str, key: str, limit: int, seed: int) -> Dat
     sized = df.groupBy(kind).agg(F.count("*").alias("n_kind")).join(F.broadcast(total))
     share = sized.select(kind, F.greatest(F.lit(1), F.round(F.lit(limit) * F.col("n_kind") / F.col("n"))).cast("long").alias("share"))
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")).cast("binary"))
-    ranked = df.join(F.broadcast(share), kind).withColumn("r", F.row_number().over(Window.partitionBy(kind).orderBy(order, key)))
-    return ranked.where(F.col("r") <= F.col("share")).drop("r", "share")
+    # no kind takes more than the limit: the first so many of each of its slices hold them all, whatever its size
+    sliced = df.withColumns({"o": order, "slice": F.pmod(F.xxhash64(key), F.lit(64))})
+    few = sliced.withColumn("r", F.row_number().over(Window.partitionBy(kind, "slice").orderBy("o", key))).where(F.col("r") <= max(1, limit)).drop("r", "slice")
+    ranked = few.join(F.broadcast(share), kind).withColumn("r", F.row_number().over(Window.partitionBy(kind).orderBy("o", key)))
+    return ranked.where(F.col("r") <= F.col("share")).drop("r", "share", "o")

@@ -57,11 +57,13 @@ def masked_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                 best = np.maximum.reduceat(sims, starts, axis=1)
                 near = np.argsort(-best, axis=1, kind="stable")[:, :k]
                 own = pd.Index(groups).get_indexer(np.asarray(r.qgroups, dtype=object))
-                rows = []
-                for i, qid in enumerate(r.qids):
-                    picked = set(near[i].tolist()) | ({int(own[i])} if own[i] >= 0 else set())
-                    rows += [(qid, groups[g], float(best[i, g]), g == own[i]) for g in picked if best[i, g] > -np.inf]
-                yield pd.DataFrame(rows, columns=["qid", "grp", "score", "own"])
+                apart = (own >= 0) & ~(near == own[:, None]).any(1)  # own groups that are not among the nearest
+                at = np.concatenate([np.repeat(np.arange(r.qn), near.shape[1]), np.flatnonzero(apart)])
+                g = np.concatenate([near.ravel(), own[apart]])
+                score = best[at, g]
+                keep = score > -np.inf
+                at, g = at[keep], g[keep]
+                yield pd.DataFrame({"qid": np.asarray(r.qids)[at], "grp": np.asarray(groups)[g], "score": score[keep], "own": g == own[at]})
 
     # written once: every partition of the corpus meets the stated queries, which would else be computed for each anew
     q = cut(_blocks(queries, "qid", "grp", 1_024), "asked")

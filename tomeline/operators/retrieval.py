@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomeline.session import cut, shuffle_width
+
 BLOCK_ROWS = 4_096
 
 
@@ -58,16 +60,17 @@ def pooled_topk(queries: DataFrame, corpus: DataFrame, k: int, group: str = "pag
                 best = np.maximum.reduceat(sims, starts, axis=1)
                 top = min(k, len(names))
                 near = np.argsort(-best, axis=1, kind="stable")[:, :top]
-                ends = np.r_[starts[1:], len(order)]
-                rows = []
-                for i, qid in enumerate(r.qids):
-                    for g in near[i]:
-                        at = starts[g] + int(np.argmax(sims[i, starts[g] : ends[g]]))
-                        rows.append((qid, names[g], float(best[i, g]), int(ids[order[at]])))
-                yield pd.DataFrame(rows, columns=["qid", "grp", "score", "row_id"])
-
-    q = _blocks(queries, "qid", None, vec, 1_024).select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    pairs = _blocks(corpus, "id", group, vec, BLOCK_ROWS).join(q)
+                group_of = codes[order]
+                # the first best row of each group stands where the group's best is reached for the first time
+                reached = np.where(sims == best[:, group_of], np.arange(len(order)), len(order))
+                first = np.take_along_axis(np.minimum.reduceat(reached, starts, axis=1), near, 1)
+                q_at = np.repeat(np.arange(r.qn), near.shape[1])
+                yield pd.DataFrame({"qid": np.asarray(r.qids)[q_at], "grp": np.asarray(names)[near.ravel()], "score": np.take_along_axis(best, near, 1).ravel(), "row_id": ids[order[first.ravel()]]})
+
+    # written once: every block of the corpus meets the stated queries, which would else be computed for each anew
+    q = cut(_blocks(queries, "qid", None, vec, 1_024), "asked").select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("m").alias("qm"))
+    spread = corpus.repartition(shuffle_width(corpus.sparkSession), "id")  # rows that come grouped by page would leave a hot one in one task
+    pairs = _blocks(spread, "id", group, vec, BLOCK_ROWS).join(q)
     best = pairs.mapInPandas(run, "qid long, grp string, score double, row_id long").groupBy("qid", "grp").agg(F.max("score").alias("score"), F.min_by("row_id", F.struct(-F.col("score"), "row_id")).alias("row_id"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "grp"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("grp", group)
@@ -107,10 +110,14 @@ def adaptive_k(pool: DataFrame, share: float = 0.9, buffer: int = 5) -> DataFram
 def conformal_threshold(required: DataFrame, alpha: float) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest finite margin, else infinity."""
     finite = required.where(F.col("required").isNotNull() & ~F.isnan("required") & (F.abs("required") < float("inf")))
-    n = finite.agg(F.count("*").alias("n"))
-    # a total order over one short column: margins, one a query, are ranked through value counts
-    counts = finite.groupBy("required").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("required").rowsBetween(Window.unboundedPreceding, 0)))
-    pick = counts.join(F.broadcast(n)).where(F.col("upto") >= F.ceil((F.col("n") + 1) * (1 - alpha))).agg(F.min("required").alias("t"))
+    # values are counted in ranges of a thousandth, so no task orders more than one range
+    counts = finite.groupBy(F.floor(F.col("required") * 1_000).alias("range"), F.round("required", 9).alias("required")).agg(F.count("*").alias("c"))
+    ranges = counts.groupBy("range").agg(F.sum("c").alias("in_range"))
+    whole = Window.orderBy("range")
+    placed = ranges.withColumns({"before": F.sum("in_range").over(whole) - F.col("in_range"), "n": F.sum("in_range").over(Window.partitionBy())})  # a row a range
+    inside = Window.partitionBy("range").orderBy("required").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(placed, "range").withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    pick = ranked.where(F.col("upto") >= F.ceil((F.col("n") + 1) * (1 - alpha))).agg(F.min("required").alias("t"))
     return pick.select(F.coalesce("t", F.lit(float("inf"))).alias("threshold"))
 
 

@@ -167,12 +167,15 @@ def selection_report(spark, d):
     ).withColumn("confidence", F.coalesce("confidence", F.lit("all")))
 
 
-@query()
+@query(POOL + f""", {GOLD}, {base.bm25_sql("b", "SELECT id AS qid, query FROM answer_cache WHERE id % 20 = 0", base.BODIES, 20)},
+found AS (SELECT g.qid, (p.page_id IS NOT NULL)::INT AS dense, (b.doc IS NOT NULL)::INT AS lexical FROM gold g LEFT JOIN pool p ON p.qid = g.qid AND p.page_id = g.page_id LEFT JOIN b ON b.qid = g.qid AND b.doc = g.page_id),
+one AS (SELECT qid, count(*) AS gold, sum(dense) AS dense, sum(lexical) AS lexical, count(*) FILTER (dense = 0 AND lexical = 1) AS only_ FROM found GROUP BY 1)
+SELECT CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(dense) AS BIGINT) AS dense, CAST(sum(lexical) AS BIGINT) AS lexical, CAST(sum(only_) AS BIGINT) AS lexical_only, count(*) FILTER (dense = 0) AS blind, count(*) FILTER (dense = 0 AND lexical > 0) AS rescued FROM one""")
 def complementarity(spark, d):
     """Sources of cached answers that the dense list finds, that BM25 finds, and that only BM25 finds; and the questions
     the dense list misses altogether that BM25 rescues."""
     dense, gold = _pool(spark, d).select("qid", "page_id", F.lit(1).alias("dense")), _gold(spark, d)
-    docs = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.any_value("markdown").alias("markdown"))
+    docs = base._bodies(spark, d)
     asked = table(spark, d, "answer_cache").where("id % 20 = 0").select(F.col("id").alias("qid"), "query")
     words = base.lexical.bm25(asked, docs, "page_id", "markdown", 20).select("qid", F.col("doc").alias("page_id"), F.lit(1).alias("lexical"))
     found = gold.join(dense, ["qid", "page_id"], "left").join(words, ["qid", "page_id"], "left").fillna(0, ["dense", "lexical"])
@@ -207,7 +210,7 @@ def bounded_pages(spark, d):
 def question_passages(spark, d):
     ranks = _lexical(spark, d, k=3).select("qid", "page_id")
     asked = table(spark, d, "trajectories").where("id % 20 = 0 and query is not null").select(F.col("id").alias("qid"), "query").distinct()
-    pages = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.any_value("markdown").alias("markdown"))
+    pages = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.min("markdown").alias("markdown"))
     return splitting.passages(asked, ranks.join(pages, "page_id"), 3)
 
 

@@ -135,32 +135,61 @@ def gate_table(spark, d):
 
 
 # --- lexical retrieval: every twentieth logged query against all pages ----------------------------------------------
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.min("markdown").alias("markdown"))
+
+
 def _lexical(spark: SparkSession, d: str, rare: float | None = None, k: int = 10) -> DataFrame:
-    docs = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.any_value("markdown").alias("markdown"))
     asked = table(spark, d, "trajectories").where("id % 20 = 0").select(F.col("id").alias("qid"), "query").distinct()
-    return lexical.bm25(asked, docs, "page_id", "markdown", k, rare).withColumnRenamed("doc", "page_id")
+    return lexical.bm25(asked, _bodies(spark, d), "page_id", "markdown", k, rare).withColumnRenamed("doc", "page_id")
 
 
-@query()
+def fold_sql(x: str) -> str:
+    return f"translate(replace(lower({x}), 'ß', 'ss'), '{T.FOLDED[0]}', '{T.FOLDED[1]}')"
+
+
+def bm25_sql(name: str, asked: str, docs: str, k: int, rare: float | None = None) -> str:
+    """Common table expressions ending in {name}(qid, doc, score, rank); asked(qid, query), docs(doc, body)."""
+    words = lambda x: f"list_filter(regexp_split_to_array({fold_sql(x)}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1)"
+    few = f" WHERE df <= greatest(1, floor(n_docs * {rare}))" if rare else ""
+    return f"""{name}_w AS (SELECT doc, coalesce({words("body")}, []) AS t FROM ({docs})), {name}_n AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM {name}_w),
+{name}_p AS (SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, len(t) AS dl, unnest(t) AS term FROM {name}_w) GROUP BY ALL),
+{name}_d AS (SELECT term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf, avgdl FROM (SELECT term, count(*) AS df FROM {name}_p GROUP BY 1), {name}_n{few}),
+{name}_q AS (SELECT DISTINCT qid, unnest({words("query")}) AS term FROM ({asked})),
+{name}_s AS (SELECT qid, doc, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM {name}_q JOIN {name}_d USING (term) JOIN {name}_p USING (term) GROUP BY ALL),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM {name}_s WHERE score > 0 QUALIFY rank <= {k})"""
+
+
+LOGGED = "SELECT DISTINCT id AS qid, query FROM trajectories WHERE id % 20 = 0"
+BODIES = "SELECT page_id AS doc, min(markdown) AS body FROM pages WHERE page_id IS NOT NULL GROUP BY 1"
+TITLES = "SELECT page_id AS doc, min(title) AS body FROM pages WHERE page_id IS NOT NULL GROUP BY 1"
+
+
+@query("WITH " + bm25_sql("b", LOGGED, BODIES, 10) + " SELECT qid, doc AS page_id, round(score, 4) AS score FROM b")
 def bm25_topk(spark, d):
     return _lexical(spark, d).select("qid", "page_id", F.round("score", 4).alias("score"))
 
 
-@query()
+@query("WITH " + bm25_sql("b", LOGGED, BODIES, 10, 0.01) + " SELECT qid, doc AS page_id, round(score, 4) AS score FROM b")
 def bm25_rare_gate(spark, d):
     return _lexical(spark, d, 0.01).select("qid", "page_id", F.round("score", 4).alias("score"))
 
 
-@query()
+@query("WITH " + bm25_sql("b", LOGGED, BODIES, 10) + " SELECT n_docs, round(avgdl, 4) AS avgdl FROM b_n")
 def corpus_stats(spark, d):
-    return lexical.corpus_stats(table(spark, d, "pages"), "page_id", "markdown").select("n_docs", F.round("avgdl", 4).alias("avgdl"))
+    return lexical.corpus_stats(lexical.postings(_bodies(spark, d), "page_id", "markdown")).select("n_docs", F.round("avgdl", 4).alias("avgdl"))
 
 
-@query()
+def fused_sql(name: str, lists: tuple[str, ...], k: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT qid, page_id, 1.0 / (60 + rank) AS part FROM ({x})" for x in lists)
+    return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id) AS rank FROM (SELECT qid, page_id, round(sum(part), 9) AS score FROM ({parts}) GROUP BY ALL) QUALIFY rank <= {k})"
+
+
+@query("WITH " + bm25_sql("b", LOGGED, BODIES, 20) + ", " + bm25_sql("t", LOGGED, TITLES, 20) + ", " + fused_sql("f", ("SELECT qid, doc AS page_id, rank FROM b", "SELECT qid, doc AS page_id, rank FROM t"), 10) + " SELECT qid, page_id, round(score, 6) AS score, rank FROM f")
 def rrf_fused(spark, d):
     """Two lists for each twentieth logged query: BM25 over pages and BM25 over page titles."""
     asked = table(spark, d, "trajectories").where("id % 20 = 0").select(F.col("id").alias("qid"), "query").distinct()
-    titles = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.any_value("title").alias("title"))
+    titles = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.min("title").alias("title"))
     by_title = lexical.bm25(asked, titles, "page_id", "title", 20).withColumnRenamed("doc", "page_id")
     return _long(retrieval.fuse([_lexical(spark, d, k=20), by_title], "page_id", 10).select("qid", "page_id", F.round("score", 6).alias("score"), "rank"), "rank")
 
@@ -216,7 +245,7 @@ def invented_figures(spark, d):
 
 
 @query("""WITH p AS (SELECT DISTINCT c.id, regexp_replace(lower(c.query), '\\s', '', 'g') AS q, regexp_replace(lower(c.answer), '\\s', '', 'g') AS a FROM answer_cache c WHERE c.query IS NOT NULL AND c.answer IS NOT NULL),
-g AS (SELECT id, q, a, i FROM p, range(1, 4000) t(i) WHERE length(q) >= 12 AND i <= length(q) - 11)
+g AS (SELECT id, q, a, unnest(range(1, length(q) - 10)) AS i FROM p WHERE length(q) >= 12)
 SELECT id, round(count(*) FILTER (contains(a, substring(q, CAST(i AS BIGINT), 12))) / count(*), 6) AS grounded FROM g GROUP BY id""")
 def grounding_ngrams(spark, d):
     """Share of a query's runs of twelve characters that its answer holds."""
@@ -235,14 +264,14 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("p", F.split("path", " ▸ "))
 
 
-@query(f"WITH {PATHS} SELECT array_to_string(p[1:i], ' ▸ ') AS node, i AS level, count(DISTINCT page_id) AS n_pages, count(DISTINCT book_id) AS n_books FROM paths, range(1, 12) t(i) WHERE i <= len(p) GROUP BY ALL")
+@query(f"WITH {PATHS} SELECT array_to_string(p[1:i], ' ▸ ') AS node, i AS level, count(DISTINCT page_id) AS n_pages, count(DISTINCT book_id) AS n_books FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM paths) GROUP BY ALL")
 def tree_rollup(spark, d):
     up = _paths(spark, d).select("page_id", "book_id", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("level"))
     node = F.array_join(F.slice("p", F.lit(1), F.col("level")), " ▸ ")
     return _long(up.groupBy(node.alias("node"), "level").agg(F.countDistinct("page_id").alias("n_pages"), F.countDistinct("book_id").alias("n_books")), "level")
 
 
-@query(f"WITH {PATHS} SELECT array_to_string(p[1:i - 1], ' ▸ ') AS parent, p[i] AS child, count(DISTINCT page_id) AS n_pages FROM paths, range(2, 12) t(i) WHERE i <= len(p) GROUP BY ALL")
+@query(f"WITH {PATHS} SELECT array_to_string(p[1:i - 1], ' ▸ ') AS parent, p[i] AS child, count(DISTINCT page_id) AS n_pages FROM (SELECT *, unnest(range(2, len(p) + 1)) AS i FROM paths) GROUP BY ALL")
 def menu_children(spark, d):
     up = _paths(spark, d).where(F.size("p") >= 2).select("page_id", "p", F.explode(F.sequence(F.lit(2), F.size("p"))).alias("i"))
     return up.groupBy(F.array_join(F.slice("p", F.lit(1), F.col("i") - 1), " ▸ ").alias("parent"), F.element_at("p", F.col("i")).alias("child")).agg(F.countDistinct("page_id").alias("n_pages"))
@@ -312,10 +341,10 @@ def page_visits(spark, d):
     return _log(spark, d).select("id", F.explode("page_ids").alias("page_id")).groupBy("page_id").agg(F.count("*").alias("visits"), F.countDistinct("id").alias("queries"))
 
 
-@query("SELECT DISTINCT ON (t.id, i) t.id, i AS step, r.action, r.title FROM trajectories t, range(1, 60) x(i), LATERAL (SELECT route[CAST(i AS BIGINT)] AS r) WHERE i <= len(route) AND r.kind = 'book'")
+@query("SELECT id, i AS step, r.action AS action, r.kind AS kind, r.title AS title FROM (SELECT id, unnest(route) AS r, unnest(range(1, len(route) + 1)) AS i FROM (SELECT DISTINCT id, route FROM trajectories))")
 def route_steps(spark, d):
     steps = table(spark, d, "trajectories").select("id", "route").distinct().select("id", F.posexplode("route").alias("pos", "r"))
-    return steps.where("r.kind = 'book'").select("id", (F.col("pos") + 1).cast("long").alias("step"), F.col("r.action").alias("action"), F.col("r.title").alias("title"))
+    return steps.select("id", (F.col("pos") + 1).cast("long").alias("step"), F.col("r.action").alias("action"), F.col("r.kind").alias("kind"), F.col("r.title").alias("title"))
 
 
 MSG = "m AS (SELECT DISTINCT id, conversation_id, turn, role, text FROM messages)"
@@ -422,10 +451,15 @@ def document_copies(spark, d):
 
 
 # --- selection -----------------------------------------------------------------------------------------------------
-@query()
+@query(r"""WITH p AS (SELECT page_id, string_split(regexp_replace(min(markdown), '\r\n?', chr(10), 'g'), chr(10)) AS x FROM pages WHERE page_id IS NOT NULL GROUP BY 1),
+l AS (SELECT page_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM p),
+f AS (SELECT *, sum(regexp_matches(line, '^\s*(```|~~~)')::INT) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) % 2 = 1 AS inside FROM l),
+h AS (SELECT *, NOT inside AND regexp_matches(line, '^#{1,6} \S') AS heading FROM f),
+o AS (SELECT *, sum(heading::INT) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS ord FROM h)
+SELECT page_id, CAST(ord AS BIGINT) AS ord, coalesce(max(trim(regexp_replace(line, '^#+ |\s+#+\s*$', '', 'g'))) FILTER (heading), '(opening)') AS title, string_agg(line, chr(10) ORDER BY i) AS body
+FROM o GROUP BY page_id, ord HAVING ord > 0 OR trim(string_agg(line, chr(10) ORDER BY i)) <> ''""")
 def heading_sections(spark, d):
-    pages = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.any_value("markdown").alias("markdown"))
-    return _long(selection.heading_sections(pages, "page_id", "markdown"), "ord")
+    return _long(selection.heading_sections(_bodies(spark, d), "page_id", "markdown"), "ord")
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
@@ -435,11 +469,24 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 def _covered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ranks = _lexical(spark, d).select("qid", "page_id", "rank")
-    words = table(spark, d, "pages").where("page_id is not null").groupBy("page_id").agg(F.any_value("markdown").alias("markdown")).select("page_id", T.content_words(F.col("markdown")).alias("words"))
+    words = _bodies(spark, d).select("page_id", T.content_words(F.col("markdown")).alias("words"))
     return selection.coverage(_parts(spark, d), ranks.join(words, "page_id").select("qid", "page_id", "words")), ranks
 
 
-@query()
+def words_sql(x: str) -> str:
+    return f"list_filter(list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1)), lambda w: w NOT IN ({STOPS}))"
+
+
+PARTS = f"""asked AS (SELECT DISTINCT id AS qid, query FROM trajectories WHERE id % 20 = 0 AND query IS NOT NULL),
+split AS (SELECT qid, query, list_filter(list_transform(regexp_split_to_array(regexp_replace(query, '(?i)\\s(còn|và|hoặc)\\s', ' ; ', 'g'), '(?i)\\s*(?:[;?—]|\\b(?:and|or|but|versus|vs|as well as)\\b)\\s*'), lambda x: trim(x)), lambda x: length(x) > 0) AS x FROM asked),
+piece AS (SELECT qid, unnest(x) AS t, unnest(range(0, len(x))) AS part FROM split),
+good AS (SELECT qid, part, {words_sql("t")} AS words FROM piece WHERE len({words_sql("t")}) >= 2),
+parts AS (SELECT * FROM good UNION ALL SELECT qid, 0, {words_sql("query")} FROM asked WHERE qid NOT IN (SELECT qid FROM good) AND len({words_sql("query")}) > 0),
+has AS (SELECT doc AS page_id, {words_sql("body")} AS words FROM ({BODIES})),"""
+
+
+@query("WITH " + PARTS + bm25_sql("b", LOGGED, BODIES, 10) + """
+SELECT qid, CAST(part AS INT) AS part, page_id FROM parts JOIN b USING (qid) JOIN has ON has.page_id = b.doc WHERE 2 * len(list_intersect(parts.words, has.words)) >= len(parts.words)""")
 def coverage_map(spark, d):
     return _covered(spark, d)[0]
 
