@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomeline.functions.text import FOLDING
+
 FIT_ROWS = 300
 LATIN = ("en", "vi", "de", "fr", "es")
 # A script that settles the language.
@@ -27,31 +28,13 @@ LATIN_TEXT = re.compile(r"[\x00-\x7f\xa0\xab\xbb\xbf-\u024f\u1e00-\u1eff\u2010-\
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
 
-def _folding() -> dict[int, str]:
-    """Letters that are one letter with marks, and what they fold to; marks alone fold to nothing."""
-    out = {ord("đ"): "d", ord("ß"): "s"}
-    for code in range(0xC0, 0xFFFF):
-        c = chr(code)
-        if unicodedata.combining(c):
-            out[code] = ""
-        elif (plain := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) != c and len(plain) == 1:
-            out[code] = plain
-    return out
-
-
-FOLDING = _folding()
-_KEPT = sorted((c for c in FOLDING if FOLDING[c]), key=lambda c: c)
-# The same folding as arguments of Spark's translate, in which letters beyond the second argument's end are dropped.
-FOLDED = ("".join(map(chr, _KEPT)) + "".join(chr(c) for c in FOLDING if not FOLDING[c]), "".join(FOLDING[c] for c in _KEPT))
-
-
 @lru_cache(maxsize=200_000)
 def fold_word(word: str) -> str:
     return fold(word)
 
 
 def fold(text: str) -> str:
-    return text.lower() if text.isascii() else text.lower().translate(FOLDING)
+    return text.lower() if text.isascii() else text.lower().replace("ß", "ss").translate(FOLDING)
 
 
 def features(text: str) -> Counter:

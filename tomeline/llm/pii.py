@@ -24,7 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeline.llm.language import FOLDED, LATIN_TEXT, fold_word
+from tomeline.functions.text import fold
+from tomeline.llm.language import LATIN_TEXT, fold_word
 from tomeline.session import cut
 
 KINDS = ("email", "address", "id_number", "phone", "name")
@@ -307,7 +308,7 @@ def _like_family_names(seen: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, frozenset]) -> list[tuple[int, int, str]]:
     given, sur, like, every = words["given"], words["sur"], words["like"], words["every"]
-    if not every and not like and not _may_hold_name(text):
+    if not every and not any(w.capitalize() in text or w.upper() in text for w in like) and not _may_hold_name(text):
         return []  # no word that a name could begin with
     toks = _tokens(text, taken)
 
@@ -398,6 +399,7 @@ def _evidence_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     yield flush()
 
 
+RARE = 20_000  # a rare word is at most one in so many
 ROLES = ("given", "sur", "vn1", "vn2", "vn3")
 
 
@@ -433,7 +435,9 @@ def name_words(texts: DataFrame, least: int = 2, share: float = 0.05, learned_sh
         side = lambda name, to: cues.where(F.col("role") == name).select(F.col("word").alias(to), F.lit(True).alias(name))
         announced = runs.join(side("left", "before"), "before", "left").join(side("right", "after"), "after", "left").where("sure or left or right")
         words = cut(words_of(runs.where("sure"), share).unionByName(words_of(announced, learned_share)).distinct(), "names")
-    like = _like_family_names(totals.select("word"), words).select(F.lit("like").alias("role"), "word")
+    # a word that is common and yet no known name is none because of its parts
+    rare = totals.join(F.broadcast(totals.agg(F.sum("total").alias("all"))), F.col("total") * RARE <= F.greatest("all", F.lit(20 * RARE)))
+    like = _like_family_names(rare.select("word"), words).select(F.lit("like").alias("role"), "word")
     return words.unionByName(cues).unionByName(like)
 
 
@@ -465,7 +469,7 @@ def _words_of_texts(texts: DataFrame) -> DataFrame:
     """h, g, word: the folded words of each text and its pairs of words, as name_runs makes them."""
     apart = F.lit(r"(?:[^\p{L}\p{M}'’]|['’](?![\p{L}\p{M}])|(?<![\p{L}\p{M}])['’])+")
     low = F.trim(F.regexp_replace(F.lower("text"), apart, F.lit(" ")))
-    folded = F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, *FOLDED)).otherwise(low)
+    folded = fold(low)
     framed = texts.select("h", "g", F.split(F.concat(F.lit("^ ^ "), folded, F.lit(" $ $")), " ").alias("t"))
     beside = framed.select("h", "g", F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.size("t")).alias("b"))).alias("p"))
     return beside.select("h", "g", F.explode(F.array("p.a", F.concat("p.a", F.lit(" "), F.coalesce("p.b", F.lit(""))))).alias("word"))
