@@ -36,6 +36,13 @@ STOPS = regex.compile(r"[.!?…؟۔。！？｡]+|[।॥]+[!?]*")
 NOTE = regex.compile(r"(?:\[\p{N}{1,3}\]|[¹²³⁰⁴-⁹]+|\*{1,2}(?=\s|$)|[†‡])+")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 THAI = regex.compile(r"\p{Thai}")
+UNSPACED = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
+BLOCK, LINE, SPACES = regex.compile(r"(?:[^\r\n]+(?:\r\n|\r|\n)?)+"), regex.compile(r"[^\r\n]+"), regex.compile(r"\s+")
+CHUNK, LAST_CHUNK, NUMBER_CHUNK, NUMBER_THAI = regex.compile(r"\S+"), regex.compile(r"\S+$"), regex.compile(r"\p{N}\s+\S+$"), regex.compile(r"\p{N}+\s+\p{Thai}{8,}")
+STUCK, ADDRESS, DOTTED = regex.compile(r"[\p{L}\p{M}\p{N}%”»)]+$"), regex.compile(r"www|http|@"), regex.compile(r"(?:\p{L}\.)+\p{L}")
+SMALL, CAPITAL = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
+FULL_STOPS, ASKS = frozenset("。！？｡"), frozenset("!?؟")
+LOW_WORD, MID_CAPITAL, SHORT_TOKEN = regex.compile(r"(?<![\p{L}\p{M}'’\-])\p{Ll}[\p{L}\p{M}'’\-]*"), regex.compile(r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}\p{M}'’\-]*"), regex.compile(r"(?<![\p{L}.])([\p{L}.]{1,6})\.(?= \p{Ll})")
 CASELESS = regex.compile(r"[\p{Arabic}\p{Hangul}\p{Devanagari}\p{Hebrew}]")
 WORD = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}'’\-]*")
 # Openings that go on with the sentence before, in Thai and after CJK quotations.
@@ -47,8 +54,8 @@ CJK_GO_ON = "，、：；,;:とのはがをにでもやかっ的是这那地得
 def lines_of(text: str) -> list[tuple[int, int]]:
     """Stretches between hard line breaks; lines that were wrapped stay together."""
     out = []
-    for block in regex.finditer(r"(?:[^\r\n]+(?:\r\n|\r|\n)?)+", text):
-        spans = [m.span() for m in regex.finditer(r"[^\r\n]+", block[0])]
+    for block in BLOCK.finditer(text):
+        spans = [m.span() for m in LINE.finditer(block[0])]
         width = max(b - a for a, b in spans)
         start = None
         for i, (a, b) in enumerate(spans):
@@ -88,22 +95,25 @@ def _before(text: str, start: int, at: int) -> str:
 
 def is_small(text: str) -> bool:
     """A text of a cased script in small letters only, or in capitals only: its case tells nothing."""
-    return bool(regex.search(r"\p{Ll}", text)) != bool(regex.search(r"\p{Lu}", text))
+    return bool(SMALL.search(text)) != bool(CAPITAL.search(text))
 
 
 class Context:
     """What the document, and where it is silent the corpus, says about tokens and words."""
 
-    def __init__(self, text: str, abbreviations: frozenset, plain: frozenset) -> None:
+    def __init__(self, text: str, abbreviations: frozenset, plain: frozenset, lead: frozenset, close: frozenset, full: frozenset) -> None:
         self.small = is_small(text)
-        self.low: set[str] = {w for w in regex.findall(r"(?<![\p{L}\p{M}'’\-])\p{Ll}[\p{L}\p{M}'’\-]*", text)} if not self.small else set()
+        self.low: set[str] = set(LOW_WORD.findall(text)) if not self.small else set()
         self.abbreviations, self.plain = abbreviations, plain
-        mid = regex.findall(r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}\p{M}'’\-]*", text)
+        self.lead, self.close, self.full = lead, close, full
+        mid = MID_CAPITAL.findall(text)
         self.proper = {w.lower() for w in mid}
-        self.short = {m.lower() for m in regex.findall(r"(?<![\p{L}.])([\p{L}.]{1,6})\.(?= \p{Ll})", text)} if not self.small else set()
+        self.short = {m.lower() for m in SHORT_TOKEN.findall(text)} if not self.small else set()
 
     def leading(self, token: str) -> bool:
-        t = regex.split(r"['’]", token.lower().strip("."))[-1]
+        t = token.lower().strip(".").replace("’", "'").rsplit("'", 1)[-1]
+        if t in self.lead or t in self.close or t in self.full:  # the corpus has seen it often enough
+            return t in self.lead
         if t in LEADING:
             return True
         if len(t) == 1 and token[-1].isupper() and not self.small:
@@ -112,7 +122,9 @@ class Context:
 
     def closing(self, token: str) -> bool:
         t = token.lower().strip(".")
-        return t in CLOSING or bool(regex.fullmatch(r"(?:\p{L}\.)+\p{L}", t))
+        if t in self.lead or t in self.close or t in self.full:
+            return t in self.close
+        return t in CLOSING or bool(DOTTED.fullmatch(t))
 
     def starts(self, word: str) -> bool:
         """A capitalised word that is no proper name."""
@@ -161,9 +173,10 @@ def split_line(text: str, start: int, stop: int, ctx: Context) -> list[int]:
         held = [(a, b) for a, b in marks if a <= i < b and a >= first - 1]
         return min(held, default=None)
 
-    spaced = regex.compile(r"\s+")
-    sites = [(m.start(), m.end(), "stop") for m in STOPS.finditer(text, body, stop)] + [(m.start(), m.end(), "space") for m in spaced.finditer(text, body, stop)]
-    for a, b, kind in sorted(sites):
+    sites = [(m.start(), m.end(), "stop") for m in STOPS.finditer(text, body, stop)]
+    if UNSPACED.search(text, body, stop):  # only there a blank alone may end a sentence
+        sites = sorted(sites + [(m.start(), m.end(), "space") for m in SPACES.finditer(text, body, stop)])
+    for a, b, kind in sites:
         if a < first:
             continue
         if kind == "space":
@@ -174,13 +187,13 @@ def split_line(text: str, start: int, stop: int, ctx: Context) -> list[int]:
                 ends.append(a)
                 first = b
             elif (THAI.match(left) or left in "”\"»" or left.isdigit()) and THAI.search(text, first, a):
-                chunk = regex.match(r"\S+", text[b:stop])[0]
-                token = regex.search(r"\S+$", text[first:a])[0]
+                chunk = CHUNK.match(text, b, stop)[0]
+                token = LAST_CHUNK.search(text, first, a)[0]
                 if token.endswith("."):
                     continue
                 long_enough = len(chunk) >= 8 and THAI.search(chunk) and not chunk[0].isdigit() and chunk[0] not in "“\"«("
-                number_start = chunk[0].isdigit() and not token[-1].isdigit() and regex.search(r"\p{N}\s+\S+$", text[first:a]) and regex.match(r"\p{N}+\s+\p{Thai}{8,}", text[b:stop])
-                paren = chunk[0] in "(“" and len(regex.match(r".{0,40}", text[b:stop])[0]) > 12 and chunk[0] == "("
+                number_start = chunk[0].isdigit() and not token[-1].isdigit() and NUMBER_CHUNK.search(text, first, a) and NUMBER_THAI.match(text, b, stop)
+                paren = chunk[0] in "(“" and stop - b > 12 and chunk[0] == "("
                 if left.isdigit() and chunk.startswith(THAI_UNITS):
                     continue
                 if (long_enough or number_start or paren) and not chunk.startswith(THAI_GO_ON):
@@ -225,7 +238,7 @@ def split_line(text: str, start: int, stop: int, ctx: Context) -> list[int]:
         at_start = closed is not None and text[first : closed[0]].strip() == ""
         colon = closed is not None and text[first : closed[0]].rstrip()[-1:] in (":", "：")
         bracket = closed is not None and text[closed[0]] in "([（"
-        if regex.search(r"[。！？｡]", mark):
+        if not FULL_STOPS.isdisjoint(mark):
             if closed and not bracket and (at_start or c in CJK_GO_ON or (not colon and not gap)):
                 continue
             if c in "，、：；":
@@ -242,15 +255,15 @@ def split_line(text: str, start: int, stop: int, ctx: Context) -> list[int]:
                 continue
             elif ctx.small and len(said) <= 12 and " " not in said:
                 continue
-        elif "." in mark and not regex.search(r"[!?؟]", mark):
+        elif "." in mark and ASKS.isdisjoint(mark):
             token = _before(text, first, a)
             if lead and THAI.match(lead) and not closed:
                 continue  # Thai writes no full stop
             if closed and not bracket and not gap and caseless:
                 continue
             if not gap:
-                left = regex.search(r"[\p{L}\p{M}\p{N}%”»)]+$", text[first:a] if not closed else text[first:end])
-                stuck = bool(left) and (len(left[0]) >= 2 or ord(left[0]) > 0xC0) and "." not in token and not regex.search(r"www|http|@", token)
+                left = STUCK.search(text, first, a if not closed else end)
+                stuck = bool(left) and (len(left[0]) >= 2 or ord(left[0]) > 0xC0) and "." not in token and not ADDRESS.search(token)
                 after = word
                 if not (stuck and ((lead.isupper() and len(after) > 1 and (after[1:2].islower() or after[1:2] in "'’") or (len(after) == 1 and text[peek + 1 : peek + 2] == " ")) or (c in "¿¡“„«" and lead.isupper()) or (caseless and not THAI.match(lead))) and not ctx.leading(token) and not (token.isdigit() and lead.isdigit())):
                     continue
@@ -299,35 +312,55 @@ def split_line(text: str, start: int, stop: int, ctx: Context) -> list[int]:
     return ends
 
 
-def sentence_ends(text: str | None, abbreviations: frozenset = frozenset(), plain: frozenset = frozenset()) -> list[int]:
-    """Exclusive end of every sentence, in code points."""
+NONE: frozenset = frozenset()
+
+
+def sentence_ends(text: str | None, abbreviations: frozenset = NONE, plain: frozenset = NONE, lead: frozenset = NONE, close: frozenset = NONE, full: frozenset = NONE) -> list[int]:
+    """Exclusive end of every sentence, in code points. What the corpus says: tokens before a stop that small letters or
+    numbers follow (abbreviations), words that are no proper names (plain), abbreviations that never (lead) or at times
+    (close) end a line, and words whose stop is a full stop (full)."""
     if not text or not text.strip():
         return []
-    ctx = Context(text, abbreviations, plain)
+    ctx = Context(text, abbreviations, plain, lead, close, full)
     return [e for a, b in lines_of(text) for e in split_line(text, a, b, ctx)]
 
 
-EVIDENCE = regex.compile(r"(?<![\p{L}.])((?:\p{L}\.){0,3}\p{L}{1,6})\.(?= (\p{Ll}|\p{N})?)")
+EVIDENCE = regex.compile(r"(?<![\p{L}.])((?:\p{L}\.){0,3}[\p{L}\p{M}]{1,6})\.(?:(?= (\p{Ll}|\p{N}))|(?=[”’»)\]\"']*(\s*$))|)", regex.M)
+BARE = regex.compile(r"(?<![\p{L}\p{M}.])\p{L}{1,6}(?![\p{L}\p{M}.])")
 AFTER_STOP = regex.compile(r"\. [“„«\"'(]*(\p{Lu}[\p{L}\p{M}'’\-]*)")
+PLAIN_WORD = regex.compile(r"(?<=[\p{L},] )\p{Ll}[\p{L}\p{M}'’\-]*|(?<=\p{Ll}{4}[.!?] |^)\p{Lu}[\p{L}\p{M}'’\-]*", regex.M)
+NAME_WORD = regex.compile(r"(?<=\p{Ll},? )\p{Lu}[\p{L}\p{M}'’\-]*")
 
 
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each text: tokens before a stop with how often small letters or numbers follow; words with how often they stand in small
-    letters or open a sentence after a plain word, and how often they are capitalised inside one."""
+    """Of each text: short tokens with how often they stand before a stop, how often small letters or numbers follow it,
+    how often it ends a line, and how often they stand without one; words with how often they stand in small letters or
+    open a sentence after a plain word, and how often they are capitalised inside one."""
+    counts: dict[tuple[str, str], list[int]] = {}
+
+    def flush() -> pd.DataFrame:
+        out = pd.DataFrame([(k, t, *n) for (k, t), n in counts.items()], columns=["kind", "token", "n", "small", "last", "bare"])
+        counts.clear()
+        return out
+
     for b in batches:
-        counts: dict[tuple[str, str], list[int]] = {}
         for text in b["text"].dropna():
             if is_small(text):
                 continue
             for m in EVIDENCE.finditer(text):
-                n = counts.setdefault(("token", m[1].lower()), [0, 0])
+                n = counts.setdefault(("token", m[1].lower()), [0, 0, 0, 0])
                 n[0] += 1
                 n[1] += m[2] is not None
-            for w in regex.findall(r"(?<=[\p{L},] )\p{Ll}[\p{L}\p{M}'’\-]*|(?<=\p{Ll}{4}[.!?] |^)\p{Lu}[\p{L}\p{M}'’\-]*", text, flags=regex.M):
-                counts.setdefault(("word", w.lower()), [0, 0])[0] += 1  # in small letters, or at a plain start
-            for w in regex.findall(r"(?<=\p{Ll},? )\p{Lu}[\p{L}\p{M}'’\-]*", text):
-                counts.setdefault(("word", w.lower()), [0, 0])[1] += 1
-        yield pd.DataFrame([(k, t, n, s) for (k, t), (n, s) in counts.items()], columns=["kind", "token", "n", "small"])
+                n[2] += m[3] is not None
+            for w in BARE.findall(text):
+                counts.setdefault(("token", w.lower()), [0, 0, 0, 0])[3] += 1
+            for w in PLAIN_WORD.findall(text):
+                counts.setdefault(("word", w.lower()), [0, 0, 0, 0])[0] += 1  # in small letters, or at a plain start
+            for w in NAME_WORD.findall(text):
+                counts.setdefault(("word", w.lower()), [0, 0, 0, 0])[1] += 1
+        if len(counts) > 100_000:
+            yield flush()
+    yield flush()
 
 
 def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,26 +377,39 @@ def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, text, known in zip(b["doc_id"], b["text"], b["known"], strict=True):
             known = list(known) if known is not None else []
-            marks = frozenset(k[6:] for k in known if k.startswith("token:"))
-            plain = frozenset(k[5:] for k in known if k.startswith("word:"))
+            said: dict[str, set] = {"token": set(), "word": set(), "lead": set(), "close": set(), "full": set()}
+            for k in known:
+                kind, _, t = k.partition(":")
+                said[kind].add(t)
             last = 0
-            for e in sentence_ends(text, marks, plain):
+            for e in sentence_ends(text, said["token"], said["word"], said["lead"], said["close"], said["full"]):
                 sentence = text[last:e].strip()
                 rows.append((i, e, sentence))
                 last = e
         yield pd.DataFrame(rows, columns=["doc_id", "end_pos", "sentence"])
 
 
-def split_sentences(documents: DataFrame, least: int = 4, share: float = 0.6) -> DataFrame:
+def split_sentences(documents: DataFrame, least: int = 4, share: float = 0.6, often: int = 8) -> DataFrame:
     """documents(doc_id, text) -> doc_id, end_pos, sentence.
 
-    The corpus' word about a token goes to the documents that hold it by a join, so nothing that grows with the
-    corpus sits in one place.
+    A token seen before a stop at least often times is settled by the corpus: an abbreviation if small letters or numbers
+    follow it in that share of cases, or if it never stands without the stop and hardly ever ends a line; a plain word if it
+    mostly stands without. The fixed lists speak only where the corpus is silent. What the corpus says about a token goes to the documents that hold it by a join, so nothing
+    that grows with the corpus sits in one place.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and trim(text) <> ''").dropDuplicates(["doc_id", "text"])
-    counted = docs.select("text").mapInPandas(_evidence, "kind string, token string, n long, small long").groupBy("kind", "token").agg(F.sum("n").alias("n"), F.sum("small").alias("small"))
-    telling = (F.col("kind") == "word") & (F.col("n") >= 3) & (F.col("small") <= 0.2 * F.col("n")) | (F.col("kind") == "token") & (F.col("n") >= least) & (F.col("small") >= share * F.col("n"))
-    stats = cut(counted.where(telling).select("kind", "token"), "tokens")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and trim(text) <> ''")
+    docs = cut(docs.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h"), "documents")
+    counted = docs.select("text").mapInPandas(_evidence, "kind string, token string, n long, small long, last long, bare long")
+    counted = counted.groupBy("kind", "token").agg(*[F.sum(c).alias(c) for c in ("n", "small", "last", "bare")])
+    n, small, last, dotted = F.col("n"), F.col("small"), F.col("last"), F.col("n") / (F.col("n") + F.col("bare"))
+    word, settled = F.col("kind") == "word", (F.col("kind") == "token") & ((F.length("token") > 1) | (F.upper("token") == F.col("token"))) & (F.col("n") >= often)
+    small_after, always = small >= share * n, dotted >= 0.9
+    leads = small_after & (last <= 0.02 * n) | always & (n >= 4 * often) & (last <= 0.05 * n)
+    closes = small_after | always & (small >= 0.1 * n)
+    says = F.when(word & (n >= 3) & (small <= 0.2 * n), "word").when(settled & leads, "lead").when(settled & closes, "close")
+    says = says.when(settled & (dotted < 0.3) & (small < 0.2 * n), "full").when(~word & (n >= least) & (small >= share * n), "token")
+    stats = cut(counted.select(says.alias("kind"), "token").where("kind is not null"), "tokens")
     asked = docs.mapInPandas(_asked, "doc_id long, kind string, token string").distinct()
-    known = asked.join(stats, ["kind", "token"]).groupBy("doc_id").agg(F.collect_set(F.concat("kind", F.lit(":"), "token")).alias("known"))
+    known = asked.join(stats.withColumnRenamed("kind", "says"), "token").where((F.col("kind") == "word") == (F.col("says") == "word"))
+    known = known.groupBy("doc_id").agg(F.collect_set(F.concat("says", F.lit(":"), "token")).alias("known"))
     return docs.join(known, "doc_id", "left").select("doc_id", "text", "known").mapInPandas(_split_batches, "doc_id long, end_pos int, sentence string").dropDuplicates(["doc_id", "end_pos"])
