@@ -161,20 +161,24 @@ NO_WORDS = {r: set() for r in (*pii.ROLES, "like", "left", "right", "every")}
 @pytest.mark.parametrize("text, name", [("My colleague Priya Raman will join.", "Priya Raman"), ("All is well.\nRegards, Ben Carter", "Ben Carter"), ("Please forward to Tom Becker today", "Tom Becker"), ("Dear Ms Okoro, hello", "Ms Okoro"), ('{"name": "Lea Brandt"}', "Lea Brandt"), ("Contact: Zoë L. Kern", "Zoë L. Kern")])
 def test_general_cues_give_names_and_evidence(text, name):
     assert [text[a:b] for a, b, _ in pii.find_names(text, [], NO_WORDS)] == [name]
-    assert [sure for *_, sure in pii.name_runs(text)[1]] in ([True], [True, True]) or "L. " in text
+    assert [sure for *_, sure in pii.name_runs(text, [])[1]] in ([True], [True, True]) or "L. " in text
+
+
+def learned(df):
+    return pii.name_words(pii.evidence(df.withColumns({"h": F.lit(1).cast("long"), "g": F.lit(1).cast("long")})))
 
 
 def test_name_share_counts_every_text(spark):
     texts = ["Signed, Ada Marsh."] * 2 + [f"The marsh lay wet, ada {i}." for i in range(60)]
     df = spark.createDataFrame([(t, 1) for t in texts], "text string, times long")
-    assert pii.name_words(df).where("role in ('given', 'sur')").count() == 0  # 2 of 62 occurrences
-    assert rows(pii.name_words(df.limit(30)).where("role in ('given', 'sur')")) == [("given", "ada"), ("sur", "marsh")]
+    assert learned(df).where("role in ('given', 'sur')").count() == 0  # 2 of 62 occurrences
+    assert rows(learned(df.limit(30)).where("role in ('given', 'sur')")) == [("given", "ada"), ("sur", "marsh")]
 
 
 def test_cues_are_learned_from_names(spark):
     known = [f"Signed, {g} {s}." for g, s in (("Ada", "Marsh"), ("Ben", "Thorn"), ("Cem", "Yıldız")) for _ in range(3)]
     beside = [f"Today {n} fed the geese, and Blue Heron guide {i} is torn." for i, n in enumerate(("Ada Marsh", "Ben Thorn", "Cem Yıldız", "Dov Halper"))]
-    words = rows(pii.name_words(spark.createDataFrame([(t, 1) for t in known + beside * 2], "text string, times long")))
+    words = rows(learned(spark.createDataFrame([(t, 1) for t in known + beside * 2], "text string, times long")))
     assert ("right", "fed the") in words and ("given", "dov") in words and ("given", "blue") not in words
 
 

@@ -2,7 +2,8 @@
 
 Every document gets a hash-random key; within each source the documents are ordered by it in key ranges, prefix sums
 of tokens run over the ranges and inside each, and the source is cut where its budget is reached, after as many
-repeats as its cap allows.
+repeats as its cap allows. The document that straddles the cut is left out; what room it leaves goes to the next
+documents in key order that fit, in PASSES more rounds of the same sums.
 
 Undefined cases: a source is compared trimmed and in lower case, and one without target gives nothing; a target
 without documents reaches share 0 and the others share the total in proportion; documents without tokens are not
@@ -15,7 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomeline.session import cut
+
 RANGE_ROWS = 20_000
+PASSES = 3
+
+
+def _running(docs: DataFrame) -> DataFrame:
+    """docs(source, range, key, doc_id, n_tokens) with upto: the tokens of its source up to each in key order."""
+    by_range = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = by_range.withColumn("before", F.sum("tokens").over(earlier)).select("source", "range", F.coalesce("before", F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return docs.join(before, ["source", "range"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).drop("before")
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -41,13 +54,18 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
         plan.append((g["source"], int(total * g["target_share"] / weight), s["tokens"], max(1, s["docs"] // RANGE_ROWS)))
     budget = F.broadcast(spark.createDataFrame(plan, "source string, budget long, stock long, ranges long"))
     placed = docs.join(budget, "source").withColumn("range", F.floor((F.col("key") / F.lit(2.0**64) + F.lit(0.5)) * F.col("ranges")))
-    by_range = placed.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"))
-    before = by_range.withColumn("before", F.sum("tokens").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).select("source", "range", F.coalesce("before", F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.join(before, ["source", "range"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
+    summed = _running(placed)
     # epoch e takes the document while (e - 1) * stock + upto stays within the budget
     times = F.when(F.col("budget") >= F.col("upto"), F.expr("(budget - upto) div stock") + 1).otherwise(0)
-    used = summed.withColumn("times", times).where("times > 0")
+    caps = F.broadcast(spark.createDataFrame([(g["source"], int(g["max_repeats"])) for g in present], "source string, cap long"))
+    taken = cut(summed.withColumn("times", times).drop("upto").join(caps, "source").withColumn("row", F.monotonically_increasing_id()), "taken")
+    for _ in range(PASSES):
+        spent = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("spent"), F.max("times").alias("most"))  # a row a source
+        left = taken.join(F.broadcast(spent), "source").withColumn("left", F.col("budget") - F.col("spent")).drop("spent")
+        fits = (F.col("n_tokens") <= F.col("left")) & (F.col("times") < F.least("cap", F.greatest("most", F.lit(1))))
+        more = _running(left.where(fits)).where("upto <= left").select("source", "row", F.lit(1).cast("long").alias("more"))
+        taken = cut(taken.join(more, ["source", "row"], "left").withColumn("times", F.col("times") + F.coalesce("more", F.lit(0))).drop("more"), "taken")
+    used = taken.where("times > 0")
     mixture = used.select("doc_id", "source", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("epoch"), "n_tokens")
     reached = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("used_tokens"), F.max("times").alias("epochs"))
     all_used = reached.agg(F.sum("used_tokens").alias("all"))

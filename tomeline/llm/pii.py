@@ -264,10 +264,9 @@ def _may_hold_name(text: str) -> bool:
     return CAPITALS.search(text) is not None or not HONORIFIC.isdisjoint(text.lower().replace(".", " ").split())
 
 
-def name_runs(text: str) -> tuple[list[str], list[tuple[tuple[str, ...], str, str, bool]]]:
+def name_runs(text: str, taken: list[tuple[int, int, str]]) -> tuple[list[str], list[tuple[tuple[str, ...], str, str, bool]]]:
     """The folded words of a text; and its runs of capitals that may be names: roles, words before, words after, and
     whether a general cue or a title announces them."""
-    taken = numbers_and_addresses(text)
     if not taken and not _may_hold_name(text):
         return [*map(fold_word, _words(text).findall(text))], []
     toks = _tokens(text, taken)
@@ -373,28 +372,40 @@ def find_names(text: str, taken: list[tuple[int, int, str]], words: dict[str, fr
     return out
 
 
-EVIDENCE = "word string, roles array<string>, before string, after string, sure boolean, n long"
+SPANS = "array<struct<a:int,z:int,kind:string>>"
+EVIDENCE = f"word string, roles array<string>, before string, after string, sure boolean, n long, h long, g long, spans {SPANS}"
 
 
 def _evidence_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How often each word stands in the texts, and each run of capitals with its surroundings, summed within the task."""
+    """How often each word stands in the texts, and each run of capitals with its surroundings, summed within the task;
+    and what else but names was found in each text."""
     words: Counter = Counter()
     runs: Counter = Counter()
+    held: list[tuple] = []
+    columns = [c.split()[0] for c in EVIDENCE.split(", ")[:8]] + ["spans"]
 
     def flush() -> pd.DataFrame:
-        rows = [(w, None, None, None, None, n) for w, n in words.items()]
-        rows += [(None, list(roles), before, after, sure, n) for (roles, before, after, sure), n in runs.items()]
-        words.clear(), runs.clear()
-        return pd.DataFrame(rows, columns=["word", "roles", "before", "after", "sure", "n"])
+        rows = [(w, None, None, None, None, n, None, None, None) for w, n in words.items()]
+        rows += [(None, list(roles), before, after, sure, n, None, None, None) for (roles, before, after, sure), n in runs.items()]
+        rows += [(None, None, None, None, None, None, h, g, [{"a": a, "z": z, "kind": kind} for a, z, kind in spans]) for h, g, spans in held]
+        words.clear(), runs.clear(), held.clear()
+        out = pd.DataFrame(rows, columns=columns)
+        return out.astype({c: "Int64" for c in ("n", "h", "g")})
 
     for b in batches:
-        for text, times in zip(b["text"], b["times"], strict=True):
-            found, names = name_runs(text)
-            for w in found:
-                words[w] += times
+        for h, g, text, times in zip(b["h"], b["g"], b["text"], b["times"], strict=True):
+            taken = numbers_and_addresses(text)
+            if taken:
+                held.append((h, g, taken))
+            found, names = name_runs(text, taken)
+            if times == 1:
+                words.update(found)
+            else:
+                for w in found:
+                    words[w] += times
             for run in names:
                 runs[run] += times
-        if len(words) + len(runs) > 200_000:
+        if len(words) + len(runs) + len(held) > 200_000:
             yield flush()
     yield flush()
 
@@ -403,15 +414,20 @@ RARE = 20_000  # a rare word is at most one in so many
 ROLES = ("given", "sur", "vn1", "vn2", "vn3")
 
 
-def name_words(texts: DataFrame, least: int = 2, share: float = 0.05, learned_share: float = 0.35, rounds: int = 2) -> DataFrame:
-    """role, word of texts(text, times): name words announced at least so often, by general cues in at least this share of
+def evidence(texts: DataFrame) -> DataFrame:
+    """What texts(h, g, text, times) tell of words and names, and the spans of everything else found in each."""
+    return texts.select("h", "g", "text", "times").mapInPandas(_evidence_batches, EVIDENCE)
+
+
+def name_words(told: DataFrame, least: int = 2, share: float = 0.05, learned_share: float = 0.35, rounds: int = 2) -> DataFrame:
+    """role, word of what evidence() told: name words announced at least so often, by general cues in at least this share of
     their occurrences or by any in at least learned_share (roles of ROLES), family-like words (like), and the learned cues: two words before (left) or after
     (right) a name.
 
     A pair of words is a cue if at least three different runs of capitals stand beside it, two or more of which and
     seven in ten hold a known name word. Words and cues are learned from each other in so many rounds.
     """
-    seen = cut(texts.mapInPandas(_evidence_batches, EVIDENCE).groupBy("word", "roles", "before", "after", "sure").agg(F.sum("n").alias("n")), "evidence")
+    seen = cut(told.where("h is null").groupBy("word", "roles", "before", "after", "sure").agg(F.sum("n").alias("n")), "evidence")
     totals = seen.where("word is not null").select("word", F.col("n").alias("total"))
     runs = seen.where("word is null").drop("word")
 
@@ -444,13 +460,13 @@ def name_words(texts: DataFrame, least: int = 2, share: float = 0.05, learned_sh
 def _find_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for h, g, text, own in zip(b["h"], b["g"], b["text"], b["names"], strict=True):
+        for h, g, text, own, taken in zip(b["h"], b["g"], b["text"], b["names"], b["spans"], strict=True):
             words: dict[str, set] = {role: set() for role in (*ROLES, "like", "left", "right")}
             for pair in own if own is not None else ():
                 role, _, word = pair.partition(":")
                 words[role].add(word)
             words["every"] = words["given"] | words["sur"] | words["vn1"]
-            spans = numbers_and_addresses(text)
+            spans = [(x["a"], x["z"], x["kind"]) for x in taken] if taken is not None else []
             spans = sorted(spans + find_names(text, spans, words))
             if not spans:
                 continue
@@ -465,14 +481,19 @@ def _find_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["h", "g", "clean_text", "found"])
 
 
-def _words_of_texts(texts: DataFrame) -> DataFrame:
-    """h, g, word: the folded words of each text and its pairs of words, as name_runs makes them."""
+def _names_of_texts(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """h, g, names: role:word of the words and pairs of words of each text (as name_runs makes them) that the lexicon holds."""
     apart = F.lit(r"(?:[^\p{L}\p{M}'’]|['’](?![\p{L}\p{M}])|(?<![\p{L}\p{M}])['’])+")
-    low = F.trim(F.regexp_replace(F.lower("text"), apart, F.lit(" ")))
-    folded = fold(low)
+    folded = fold(F.trim(F.regexp_replace(F.col("text"), apart, F.lit(" "))))
     framed = texts.select("h", "g", F.split(F.concat(F.lit("^ ^ "), folded, F.lit(" $ $")), " ").alias("t"))
-    beside = framed.select("h", "g", F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.size("t")).alias("b"))).alias("p"))
-    return beside.select("h", "g", F.explode(F.array("p.a", F.concat("p.a", F.lit(" "), F.coalesce("p.b", F.lit(""))))).alias("word"))
+    beside = framed.select("h", "g", F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.size("t")).alias("b"))).alias("p")).select("h", "g", "p.a", "p.b")
+    cue = F.col("role").isin("left", "right")
+    # a pair of words is looked up only behind a word that opens a cue
+    opens = lexicon.where(cue).select(F.substring_index("word", " ", 1).alias("a")).distinct().select("a", F.lit("opens").alias("role"))
+    met = beside.join(lexicon.where(~cue).select(F.col("word").alias("a"), "role").unionByName(opens), "a")
+    words = met.where("role <> 'opens'").select("h", "g", F.concat("role", F.lit(":"), "a").alias("name"))
+    pairs = met.where("role = 'opens'").select("h", "g", F.concat("a", F.lit(" "), "b").alias("word")).join(lexicon.where(cue), "word").select("h", "g", F.concat("role", F.lit(":"), "word").alias("name"))
+    return words.unionByName(pairs).groupBy("h", "g").agg(F.collect_set("name").alias("names"))
 
 
 def redact(texts: DataFrame) -> DataFrame:
@@ -482,9 +503,11 @@ def redact(texts: DataFrame) -> DataFrame:
     """
     keyed = texts.select("src", "row_key", "text", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g")).where("text is not null")
     once = cut(keyed.groupBy("h", "g").agg(F.any_value("text").alias("text"), F.count("*").alias("times")), "texts")
-    lexicon = cut(name_words(once.select("text", "times")), "lexicon")
-    own = _words_of_texts(once).join(lexicon, "word").groupBy("h", "g").agg(F.collect_set(F.concat("role", F.lit(":"), "word")).alias("names"))
+    told = cut(evidence(once), "told")
+    lexicon = cut(name_words(told), "lexicon")
+    spans = told.where("h is not null").select("h", "g", "spans")
     found = "array<struct<pii_type:string,occ:int,start_pos:int,end_pos:int>>"
-    read = once.join(own, ["h", "g"], "left").select("h", "g", "text", "names").mapInPandas(_find_batches, f"h long, g long, clean_text string, found {found}")
+    read = once.join(_names_of_texts(once, lexicon), ["h", "g"], "left").join(spans, ["h", "g"], "left").select("h", "g", "text", "names", "spans")
+    read = read.mapInPandas(_find_batches, f"h long, g long, clean_text string, found {found}")
     rows = keyed.dropDuplicates(["src", "row_key", "h", "g"]).join(read, ["h", "g"], "left")
     return rows.select("src", "row_key", F.coalesce("clean_text", "text").alias("clean_text"), F.coalesce("found", F.expr(f"cast(array() as {found})")).alias("found"))

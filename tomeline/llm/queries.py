@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tomeline.llm import chunking, conversations, knn, mixing, packing, pairs, pii, sentences, tokens
 from tomeline.session import cut, table
@@ -33,6 +34,10 @@ P5_SQL = """
     SELECT * FROM r WHERE reason IS NOT NULL"""
 
 
+P5_TURNS = P5_SQL.replace("SELECT * FROM r WHERE reason IS NOT NULL", "SELECT conversation_id, turn, speaker, text FROM m JOIN r USING (conversation_id) WHERE reason IS NULL")
+P4_VECTORS = " UNION ALL ".join(f"SELECT '{t}' AS src, id, embedding::DOUBLE[] AS e FROM {t} WHERE len(embedding) > 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AND NOT isnan(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))" for t in ("questions", "answer_cache"))
+
+
 # --- 4: most similar vectors -------------------------------------------------------------------------------------
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """Both tables in one id space: id * 2 + table."""
@@ -161,6 +166,50 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_sentences(spark, d).select("doc_id", "end_pos")
 
 
+# --- invariants: each counts what breaks a promise, and its SQL says there is none --------------------------------
+def p3_joined(spark: SparkSession, d: str) -> DataFrame:
+    """src, item_key, chars: the pieces of each item put together without their overlaps; as long as the item itself."""
+    w = Window.partitionBy("src", "item_key").orderBy("piece")
+    pieces = p3_pieces(spark, d).select("src", "item_key", (F.col("end_pos") - F.coalesce(F.lag("end_pos").over(w), F.lit(0))).alias("own"))
+    return pieces.groupBy("src", "item_key").agg(F.sum("own").cast("long").alias("chars"))
+
+
+def p4_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Lists that are longer than ten, have gaps, name themselves or a row twice, or do not fall; usable rows without list."""
+    near = cut(p4_neighbours(spark, d), "near")
+    w = Window.partitionBy("src", "id").orderBy("rank")
+    one = near.withColumn("rise", F.col("cosine") > F.lag("cosine").over(w) + 1e-9).groupBy("src", "id").agg(
+        F.count("*").alias("n"), F.max("rank").alias("last"), F.countDistinct("other").alias("others"), F.count_if(F.col("other") == F.col("id")).alias("itself"), F.count_if("rise").alias("rises")
+    )
+    return one.groupBy("src").agg(
+        F.count("*").alias("lists"), F.count_if("n > 10 or last <> n").alias("gaps"), F.count_if("others <> n").alias("repeats"), F.sum("itself").alias("itself"), F.sum("rises").alias("rises")
+    )
+
+
+def p6_violations(spark: SparkSession, d: str) -> DataFrame:
+    """spec, and how many containers are too full, items are missing, not whole though they fit, or differ in size."""
+    sizes = _sizes(spark, d).withColumnRenamed("doc_id", "item")
+    packed = cut(packing.pack_items(sizes, table(spark, d, "pack_specs")), "packed")
+    full = packed.groupBy("spec", "container", "capacity").agg(F.sum("n_tokens").alias("used")).groupBy("spec").agg(F.count_if("used > capacity").alias("too_full"))
+    items = packed.groupBy("spec", "item").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("parts"), F.max("capacity").alias("capacity"))
+    placed = sizes.join(items, "item", "left").groupBy("spec").agg(F.count("*").alias("items"), F.count_if("placed <> n_tokens").alias("changed"), F.count_if("parts > 1 and n_tokens <= capacity").alias("divided"))
+    return placed.join(full, "spec").select("spec", "items", "too_full", "changed", "divided")
+
+
+def p7_violations(spark: SparkSession, d: str) -> DataFrame:
+    """source: uses of a document beyond max_repeats, of foreign sources, and tokens used beyond the budget."""
+    mixture, report = mixing.mix(_sizes(spark, d, "source"), table(spark, d, "mix_targets"))
+    uses = mixture.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.countDistinct("epoch").alias("epochs"))
+    caps = report.select("source", "max_repeats", (F.col("used_tokens") > F.col("budget_tokens")).cast("long").alias("over_budget"))
+    return caps.join(uses, "source", "left").groupBy("source").agg(F.count_if("uses > max_repeats").alias("over_repeats"), F.count_if("uses <> epochs").alias("twice_an_epoch"), F.max("over_budget").alias("over_budget"))
+
+
+def p8_covered(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, chars: the visible characters of the sentences of each text; as many as the text has."""
+    bare = F.length(F.regexp_replace("sentence", r"[\s\x{a0}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]", ""))
+    return p8_sentences(spark, d).groupBy("doc_id").agg(F.sum(bare).cast("long").alias("chars"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
@@ -172,4 +221,19 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT DISTINCT 'sections', page_id || '#' || ord FROM sections, size_limits WHERE item = 'sections' AND length(body) // 4 > max_tokens""",
         "p5_found": P5_SQL,
+        "p3_joined": """
+            SELECT 'pages' AS src, page_id AS item_key, max(length(markdown)) AS chars FROM pages, size_limits WHERE item = 'pages' AND length(markdown) // 4 > max_tokens GROUP BY 2
+            UNION ALL
+            SELECT 'sections', page_id || '#' || ord, max(length(body)) FROM sections, size_limits WHERE item = 'sections' AND length(body) // 4 > max_tokens GROUP BY 2""",
+        "p4_found": f"""
+            WITH v AS ({P4_VECTORS}), s AS (SELECT a.src, a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.src = b.src AND a.id <> b.id AND len(a.e) = len(b.e)),
+            near AS (SELECT src, a, b, s FROM s QUALIFY row_number() OVER (PARTITION BY src, a ORDER BY round(s, 5) DESC, b) <= 10)
+            SELECT DISTINCT src, least(a, b) AS id_a, greatest(a, b) AS id_b FROM near WHERE s >= 0.95""",
+        "p4_violations": f"SELECT src, count(*) AS lists, 0::BIGINT AS gaps, 0::BIGINT AS repeats, 0::BIGINT AS itself, 0::BIGINT AS rises FROM ({P4_VECTORS}) GROUP BY 1",
+        "p5_conversations": P5_TURNS,
+        "p6_violations": "SELECT DISTINCT spec, (SELECT count(*) FROM documents) AS items, 0::BIGINT AS too_full, 0::BIGINT AS changed, 0::BIGINT AS divided FROM pack_specs WHERE capacity_tokens >= 1",
+        "p7_violations": "SELECT lower(trim(source)) AS source, 0::BIGINT AS over_repeats, 0::BIGINT AS twice_an_epoch, 0::BIGINT AS over_budget FROM mix_targets",
+        "p8_covered": """
+            SELECT doc_id, length(regexp_replace(text, '[\\s\\x{a0}\\x{85}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{0b}\\x{1c}-\\x{1f}]', '', 'g')) AS chars
+            FROM documents WHERE trim(text) <> '' AND regexp_replace(text, '[\\s\\x{a0}\\x{3000}\\x{2000}-\\x{200a}\\x{202f}]', '', 'g') <> ''""",
     }
