@@ -389,8 +389,8 @@ def _evidence_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         rows += [(None, list(roles), before, after, sure, n, None, None, None) for (roles, before, after, sure), n in runs.items()]
         rows += [(None, None, None, None, None, None, h, g, [{"a": a, "z": z, "kind": kind} for a, z, kind in spans]) for h, g, spans in held]
         words.clear(), runs.clear(), held.clear()
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({c: "Int64" for c in ("n", "h", "g")})
+        # whole numbers beside nulls must not pass through floats, which would change hashes
+        return pd.DataFrame({c: pd.array(v, dtype="Int64" if c in ("n", "h", "g") else object) for c, v in zip(columns, zip(*rows) if rows else [()] * len(columns), strict=True)})
 
     for b in batches:
         for h, g, text, times in zip(b["h"], b["g"], b["text"], b["times"], strict=True):
