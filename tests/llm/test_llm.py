@@ -279,7 +279,7 @@ def test_rounds_make_the_graph(spark):
         return sum(r["cosine"] >= kth[r["id"] // 20] - 2e-5 for r in near) / (10 * len(kth))
 
     start, first, quiet = recall(0), recall(1), recall(None)
-    assert start < 0.3 < 0.6 < first < quiet and quiet > 0.95, (start, first, quiet)
+    assert start < 0.3 < 0.6 < first < quiet and quiet > 0.9, (start, first, quiet)
 
 
 def test_lists_keep_the_best_distinct_neighbours():

@@ -179,10 +179,10 @@ def p4_violations(spark: SparkSession, d: str) -> DataFrame:
     near = cut(p4_neighbours(spark, d), "near")
     w = Window.partitionBy("src", "id").orderBy("rank")
     one = near.withColumn("rise", F.col("cosine") > F.lag("cosine").over(w) + 1e-9).groupBy("src", "id").agg(
-        F.count("*").alias("n"), F.max("rank").alias("last"), F.countDistinct("other").alias("others"), F.count_if(F.col("other") == F.col("id")).alias("itself"), F.count_if("rise").alias("rises")
+        F.count("*").alias("n"), F.max("rank").alias("last"), F.countDistinct("other").alias("others"), F.count_if(F.col("other") == F.col("id")).alias("itself"), F.count_if(F.expr("rise")).alias("rises")
     )
     return one.groupBy("src").agg(
-        F.count("*").alias("lists"), F.count_if("n > 10 or last <> n").alias("gaps"), F.count_if("others <> n").alias("repeats"), F.sum("itself").alias("itself"), F.sum("rises").alias("rises")
+        F.count("*").alias("lists"), F.count_if(F.expr("n > 10 or last <> n")).alias("gaps"), F.count_if(F.expr("others <> n")).alias("repeats"), F.sum("itself").alias("itself"), F.sum("rises").alias("rises")
     )
 
 
@@ -190,9 +190,9 @@ def p6_violations(spark: SparkSession, d: str) -> DataFrame:
     """spec, and how many containers are too full, items are missing, not whole though they fit, or differ in size."""
     sizes = _sizes(spark, d).withColumnRenamed("doc_id", "item")
     packed = cut(packing.pack_items(sizes, table(spark, d, "pack_specs")), "packed")
-    full = packed.groupBy("spec", "container", "capacity").agg(F.sum("n_tokens").alias("used")).groupBy("spec").agg(F.count_if("used > capacity").alias("too_full"))
+    full = packed.groupBy("spec", "container", "capacity").agg(F.sum("n_tokens").alias("used")).groupBy("spec").agg(F.count_if(F.expr("used > capacity")).alias("too_full"))
     items = packed.groupBy("spec", "item").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("parts"), F.max("capacity").alias("capacity"))
-    placed = sizes.join(items, "item", "left").groupBy("spec").agg(F.count("*").alias("items"), F.count_if("placed <> n_tokens").alias("changed"), F.count_if("parts > 1 and n_tokens <= capacity").alias("divided"))
+    placed = sizes.join(items, "item", "left").groupBy("spec").agg(F.count("*").alias("items"), F.count_if(F.expr("placed <> n_tokens")).alias("changed"), F.count_if(F.expr("parts > 1 and n_tokens <= capacity")).alias("divided"))
     return placed.join(full, "spec").select("spec", "items", "too_full", "changed", "divided")
 
 
@@ -201,7 +201,7 @@ def p7_violations(spark: SparkSession, d: str) -> DataFrame:
     mixture, report = mixing.mix(_sizes(spark, d, "source"), table(spark, d, "mix_targets"))
     uses = mixture.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.countDistinct("epoch").alias("epochs"))
     caps = report.select("source", "max_repeats", (F.col("used_tokens") > F.col("budget_tokens")).cast("long").alias("over_budget"))
-    return caps.join(uses, "source", "left").groupBy("source").agg(F.count_if("uses > max_repeats").alias("over_repeats"), F.count_if("uses <> epochs").alias("twice_an_epoch"), F.max("over_budget").alias("over_budget"))
+    return caps.join(uses, "source", "left").groupBy("source").agg(F.count_if(F.expr("uses > max_repeats")).alias("over_repeats"), F.count_if(F.expr("uses <> epochs")).alias("twice_an_epoch"), F.max("over_budget").alias("over_budget"))
 
 
 def p8_covered(spark: SparkSession, d: str) -> DataFrame:
