@@ -491,9 +491,11 @@ def _names_of_texts(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     # a pair of words is looked up only behind a word that opens a cue
     opens = lexicon.where(cue).select(F.substring_index("word", " ", 1).alias("a")).distinct().select("a", F.lit("opens").alias("role"))
     met = beside.join(lexicon.where(~cue).select(F.col("word").alias("a"), "role").unionByName(opens), "a")
-    words = met.where("role <> 'opens'").select("h", "g", F.concat("role", F.lit(":"), "a").alias("name"))
-    pairs = met.where("role = 'opens'").select("h", "g", F.concat("a", F.lit(" "), "b").alias("word")).join(lexicon.where(cue), "word").select("h", "g", F.concat("role", F.lit(":"), "word").alias("name"))
-    return words.unionByName(pairs).groupBy("h", "g").agg(F.collect_set("name").alias("names"))
+    pair = F.when(F.col("role") == "opens", F.concat("a", F.lit(" "), "b"))
+    cues = lexicon.where(cue).select(F.col("word").alias("pair"), F.col("role").alias("side"))
+    known = met.withColumn("pair", pair).join(cues, "pair", "left").where("role <> 'opens' or side is not null")
+    name = F.when(F.col("role") == "opens", F.concat("side", F.lit(":"), "pair")).otherwise(F.concat("role", F.lit(":"), "a"))
+    return known.groupBy("h", "g").agg(F.collect_set(name).alias("names"))
 
 
 def redact(texts: DataFrame) -> DataFrame:
