@@ -44,6 +44,13 @@ def coverage(parts: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.where(2 * F.size(F.array_intersect("words", "has")) >= F.size("words")).select("qid", "part", "page_id")
 
 
+def covered_pages(parts: DataFrame, ranks: DataFrame, pages: DataFrame) -> DataFrame:
+    """coverage() of ranks(qid, page_id) and pages(page_id, words): the parts go to the pages, so the words of a page are
+    not carried along with each question that ranks it."""
+    met = parts.join(ranks.select("qid", "page_id"), "qid").join(pages.select("page_id", F.col("words").alias("has")), "page_id")
+    return met.where(2 * F.size(F.array_intersect("words", "has")) >= F.size("words")).select("qid", "part", "page_id")
+
+
 def greedy_cover(covered: DataFrame, ranks: DataFrame, steps: int = 3) -> DataFrame:
     """qid, page_id, step: each step takes the page that covers most parts still open; ties go to the better rank."""
     taken, open_parts = None, covered
