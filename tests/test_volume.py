@@ -44,7 +44,7 @@ def test_bm25_breaks_ties_across_blocks_by_name(spark):
     assert [r["doc"] for r in got.orderBy("rank").collect()] == names[:4]
 
 
-MOST = {"bm25_topk": 15_000, "open_basket": 20_000, "question_passages": 15_000, "rrf_fused": 20_000, "coverage_map": 15_000, "grep_in_candidates": 15_000, "ranking_report": 65_000, "hybrid_topk": 30_000, "complementarity": 30_000, "relevant_section_titles": 15_000}
+MOST = {"bm25_topk": 15_000, "open_basket": 20_000, "question_passages": 15_000, "rrf_fused": 20_000, "coverage_map": 15_000, "grep_in_candidates": 15_000, "ranking_report": 65_000, "hybrid_topk": 30_000, "complementarity": 30_000, "relevant_section_titles": 15_000, "set_cover": 40_000}
 
 
 @pytest.mark.parametrize("name", MOST)
