@@ -2,7 +2,7 @@
 
 import pytest
 
-from tomeline.operators import lexical
+from tomeline.operators import lexical, resolve
 from tomeline.plans.queries import QUERIES
 from tomeline.plans import probe_queries, search_queries  # noqa: F401  register theirs
 
@@ -50,3 +50,11 @@ MOST = {"bm25_topk": 15_000, "open_basket": 20_000, "question_passages": 15_000,
 @pytest.mark.parametrize("name", MOST)
 def test_rows_shuffled_by_queries(spark, name):
     assert shuffled(spark, lambda: QUERIES[name](spark, DATA)) <= MOST[name]
+
+
+def test_titles_asked_as_they_stand_do_not_meet_all_titles(spark):
+    titles = spark.createDataFrame([("The Mill",), ("The Millpond",), ("Boats",)], "title string")
+    asked = spark.createDataFrame([("the mill",), ("Boat",)], "asked string")
+    got = resolve.closest_titles(asked, titles)
+    assert sorted(map(tuple, got.collect())) == [("boat", "boats", 0.95), ("the mill", "the mill", 1.0)]
+    assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
