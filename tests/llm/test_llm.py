@@ -437,3 +437,18 @@ def test_sentences_cover_every_visible_letter(spark):
 def test_token_counts(spark):
     got = dict(rows(tokens.with_tokens(spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id long, text string"), ["doc_id"], "text")))
     assert got == {1: 2, 2: 0, 3: 0} and not math.isnan(got[1])
+
+
+def test_search_gives_every_copy(spark, tmp_path):
+    from tomeline.llm.queries import p4_search
+
+    rows = [(i, [float(np.sin(i * j + j * j)) for j in range(1, 9)]) for i in range(60)]
+    rows += [(100, rows[20][1]), (120, rows[20][1]), (121, rows[7][1])]
+    for name in ("questions", "answer_cache"):
+        spark.createDataFrame(rows, "id long, embedding array<float>").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {}
+    for r in p4_search(spark, str(tmp_path)).where("src = 'questions'").orderBy("rank").collect():
+        got.setdefault(r.id, []).append((r.other, r.cosine))
+    assert got[20][:2] == [(100, 1.0), (120, 1.0)] and got[100][:2] == [(20, 1.0), (120, 1.0)]
+    assert {len(x) for x in got.values()} == {10}
+    assert all({7, 121} <= {o for o, _ in x} or not {7, 121} & {o for o, _ in x[:-1]} for x in got.values())

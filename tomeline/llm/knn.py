@@ -539,6 +539,11 @@ def _edge_batches(floor: float):
     return run
 
 
+def _heads(copies: DataFrame, k: int) -> DataFrame:
+    """rep, head: the k + 1 copies of smallest id, of which k are left for one that is itself among them."""
+    return copies.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("nid"))).where(F.col("r") <= k + 1).select("rep", F.col("nid").alias("head"))
+
+
 def nearest(graph: DataFrame, copies: DataFrame, k: int = 10, floor: float = -1.0) -> DataFrame:
     """id, other, cosine, rank: the k nearest of every vector whose cosine is at least floor, copies included.
 
@@ -546,7 +551,7 @@ def nearest(graph: DataFrame, copies: DataFrame, k: int = 10, floor: float = -1.
     copies, not with their pairs.
     """
     edges = graph.select("nid", "near").mapInArrow(_edge_batches(floor), "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    heads = copies.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("nid"))).where(F.col("r") <= k + 1).select("rep", F.col("nid").alias("head"))
+    heads = _heads(copies, k)
     spread = edges.join(heads, edges["b"] == heads["rep"], "left").select("a", F.coalesce("head", "b").alias("b"), "sim")
     spread = spread.unionByName(heads.select(F.col("rep").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("sim")))
     best = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
@@ -664,3 +669,12 @@ def search(queries: DataFrame, graph: DataFrame, homes: DataFrame, k: int = 10,
         visited = ahead if visited is None else visited.unionByName(ahead)
         doors = ahead.join(graph.select("nid", "home"), "nid").groupBy("qid", "home").agg(F.collect_list("nid").alias("doors"))
         sent = doors.join(asked.select(F.col("nid").alias("qid"), "sp", "vec"), "qid").select("home", F.col("qid").alias("nid"), "sp", "vec", "doors")
+
+
+def with_copies(found: DataFrame, queries: DataFrame, copies: DataFrame, k: int = 10) -> DataFrame:
+    """qid, nid, sim, rank: the lists of search() with every copy of what they name, and the copies of the query itself."""
+    heads = _heads(copies, k)
+    spread = found.join(heads, found["nid"] == heads["rep"], "left").select("qid", F.coalesce("head", "nid").alias("nid"), F.least("sim", F.lit(1.0)).alias("sim"))
+    own = queries.select("nid").join(copies, "nid").join(heads, "rep").select(F.col("nid").alias("qid"), F.col("head").alias("nid"), F.lit(1.0).alias("sim"))
+    best = spread.unionByName(own).where("qid <> nid").groupBy("qid", "nid").agg(F.max("sim").alias("sim"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "nid"))).where(F.col("rank") <= k)

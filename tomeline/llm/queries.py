@@ -60,14 +60,13 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_search(spark: SparkSession, d: str) -> DataFrame:
-    """src, id, rank, other, cosine: greedy graph search for every row whose id is divisible by 20; of exact copies the
-    smallest id stands for all."""
+    """src, id, rank, other, cosine: greedy graph search for every row whose id is divisible by 20; copies included."""
     packed = cut(_vectors(spark, d), "packed")
     graph, copies = knn.neighbour_graph(packed, keep_vectors=True)
     asked = packed.where("((nid - pmod(nid, 2)) div 2) % 20 = 0")
     start = asked.select("nid").join(copies, "nid", "left").select("nid", F.coalesce("rep", "nid").alias("rep"))
     homes = start.join(graph.select(F.col("nid").alias("rep"), "home"), "rep").select("nid", "home")
-    found = knn.search(asked, graph, homes)
+    found = knn.with_copies(knn.search(asked, graph, homes), asked, copies)
     return found.select(_src("qid").alias("src"), _row_id("qid").alias("id"), F.col("rank").cast("long").alias("rank"), _row_id("nid").alias("other"), F.round("sim", 5).alias("cosine"))
 
 
