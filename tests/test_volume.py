@@ -2,7 +2,7 @@
 
 import pytest
 
-from tomeline.operators import lexical, resolve
+from tomeline.operators import lexical, probes, resolve
 from tomeline.plans.queries import QUERIES
 from tomeline.plans import probe_queries, search_queries  # noqa: F401  register theirs
 
@@ -58,3 +58,9 @@ def test_titles_asked_as_they_stand_do_not_meet_all_titles(spark):
     got = resolve.closest_titles(asked, titles)
     assert sorted(map(tuple, got.collect())) == [("boat", "boats", 0.95), ("the mill", "the mill", 1.0)]
     assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vector_search_shuffles_k_groups_of_a_task(spark):
+    rows = spark.range(9_000).selectExpr("id", "concat('p', id) as grp", "cast(null as string) as mask", "transform(sequence(1, 8), i -> cast(sin(id * i + i * i) as float)) as embedding").repartition(1)
+    asked = rows.where("id % 90 = 0").withColumnRenamed("id", "qid")
+    assert shuffled(spark, lambda: probes.masked_topk(asked, rows.coalesce(1), 5)) < 9_000 + 1_000  # the rows as given, and a list a query
