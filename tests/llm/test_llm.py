@@ -289,6 +289,25 @@ def test_lists_keep_the_best_distinct_neighbours():
     assert np.allclose(sims, [[0.9, 0.5], [0.1, -2], [-2, -2]], atol=1e-6)
 
 
+def test_a_vector_both_ends_ask_for_is_shipped_once():
+    x = np.eye(4, dtype=np.float32)
+    kept = knn._rows(knn.NODE, np.full(4, 3), np.arange(4) * 5, np.full(4, 4), kth=np.full(4, 0.5), vec=knn._binary(knn._pack(x)), at=3)
+    wants = [b for by in (3, 8) for b in knn._bundles(knn.WANT, by, 4, np.array([8, 8]), np.array([3, 3]), np.array([5, 15]))]
+    sent = knn._shipper(knn.pa.Table.from_batches([kept]), knn.pa.Table.from_batches(wants))
+    assert sent["home"].to_pylist() == [8]
+    nid, lives, kth, vec = knn._unsqueeze(sent["near"].to_pylist(), "i8", "i4", "f4", "V12")
+    assert nid.tolist() == [5, 15] and lives.tolist() == [3, 3] and kth.tolist() == [0.5, 0.5]
+    assert np.allclose(knn._unpack(vec), x[[1, 3]], atol=1e-4)
+
+
+def test_finds_that_their_homes_have_weighed_are_not_sent_again():
+    finds = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 2]), np.array([0.9, 0.8, 0.7, 0.6], np.float32)
+    near = np.array([[3, 1], [-1, -1], [-1, -1]])  # node 0 lists place 3, the first of those that live elsewhere
+    back = np.array([4]), np.array([2]), np.array([True])  # and the second of those lists node 2
+    node, other, cosine = knn._unknown(finds, near, back, 3)
+    assert (node.tolist(), other.tolist()) == ([0, 1], [1, 0]) and np.allclose(cosine, [0.8, 0.7])
+
+
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], "id long, v array<float>")
     assert knn.nearest(*knn.neighbour_graph(knn.pack_vectors(df, "id", "v"))).count() == 0

@@ -37,6 +37,7 @@ SAMPLE = 5  # new and old, forward and reverse neighbours of a node compared at
 DELTA = 0.002  # share of list places whose change is not worth another step or round
 LEAST_PARTS = 32
 PROJECTIONS = 12
+BUNDLED = 65_536  # rows that a task sorts by part before it sends them
 DIMS = 1_000_000  # space * DIMS + length names a set of comparable vectors
 
 
@@ -58,6 +59,27 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return data.reshape(len(column), width)
 
 
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of one length as a string: bytes of equal weight lie side by side, as the high ones hardly differ."""
+    n = len(columns[0])
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in columns)
+    return np.int64(n).tobytes() + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unsqueeze(packed: list[bytes], *kinds: str) -> tuple[np.ndarray, ...]:
+    """The columns of several such strings, one after another; a kind of many bytes gives a matrix."""
+    widths = [np.dtype(k).itemsize for k in kinds]
+    out: list[list[np.ndarray]] = [[np.zeros((0, w), np.uint8)] for w in widths]
+    for b in packed:
+        n = int(np.frombuffer(b, np.int64, 1)[0])
+        planes, at = np.frombuffer(pa.decompress(b[8:], n * sum(widths), "zstd"), np.uint8).reshape(-1, n), 0
+        for column, w in zip(out, widths, strict=True):
+            column.append(planes[at : at + w].T)
+            at += w
+    whole = [np.ascontiguousarray(np.concatenate(c)) for c in out]
+    return tuple(c if k.startswith("V") else c.view(k)[:, 0] for c, k in zip(whole, kinds, strict=True))
+
+
 def _pack(x: np.ndarray) -> np.ndarray:
     """Unit vectors as a float32 scale and 16-bit numbers."""
     scale = np.abs(x).max(1, keepdims=True).astype(np.float32) / 32767
@@ -170,27 +192,36 @@ def _parts_of(x: np.ndarray, fitted: tuple) -> tuple[np.ndarray, np.ndarray, np.
 def _assigner(cells: dict[int, tuple], labels: list[int]):
     """The part each vector lives in (of its nearest pivot), and the next one, which those near the border visit."""
 
+    def place(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        spaces, ids, vec = t["sp"].to_numpy(), t["nid"].to_numpy(), t["vec"]
+        for sp in np.unique(spaces):
+            at = np.flatnonzero(spaces == sp)
+            raw = _bytes(vec.take(pa.array(at)), 4 + 2 * int(sp % DIMS))
+            if int(sp) in cells:
+                home, visit, lead = _parts_of(_unpack(raw), cells[int(sp)])
+                away = np.flatnonzero(lead <= cells[int(sp)][5])
+            else:  # a space the sample missed is small
+                home = visit = np.full(len(at), labels[int(sp) % len(labels)])
+                away = np.zeros(0, np.int64)
+            yield from _bundles(FAR, 0, sp, visit[away], np.zeros(len(away)), ids[at[away]], home[away].astype(np.int32), np.full(len(away), -2, np.float32), raw[away])
+            yield from _bundles(NODE, 0, sp, home, np.zeros(len(at)), ids[at], raw)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            spaces, ids, vec = batch.column(1).to_numpy(), batch.column(0).to_numpy(), batch.column(2)
-            for sp in np.unique(spaces):
-                at = np.flatnonzero(spaces == sp)
-                raw = _bytes(vec.take(pa.array(at)), 4 + 2 * int(sp % DIMS))
-                if int(sp) in cells:
-                    home, visit, lead = _parts_of(_unpack(raw), cells[int(sp)])
-                    away = np.flatnonzero(lead <= cells[int(sp)][5])
-                else:  # a space the sample missed is small
-                    home = visit = np.full(len(at), labels[int(sp) % len(labels)])
-                    away = np.zeros(0, np.int64)
-                yield _rows(FAR, visit[away], ids[at[away]], np.full(len(away), sp), lives=home[away], vec=_binary(raw[away]))
-                yield _rows(NODE, home, ids[at], np.full(len(at), sp), lives=home, vec=_binary(raw))
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BUNDLED:
+                yield from place(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield from place(pa.Table.from_batches(held))
 
     return run
 
 
-# Rows that meet in a part: its nodes; vectors of nodes that live elsewhere; bundles of edges that reach its nodes from
-# there; finds of other parts for its nodes; and bundles of nodes whose vectors another part (lives) shall ship. at is the
-# part that wrote the row, home the one that reads it.
+# Rows that meet in a part: its nodes; and bundles (the nodes too, before round 1) of vectors of nodes that live elsewhere; of edges
+# that reach its nodes from there; of finds of other parts for its nodes; and of nodes whose vectors another part (lives)
+# shall ship. at is the part that wrote the row, home the one that reads it.
 STATE = "at int, kind byte, home int, nid long, sp long, lives int, kth float, source long, near binary, vec binary"
 ARROW_STATE = pa.schema([("at", pa.int32()), ("kind", pa.int8()), ("home", pa.int32()), ("nid", pa.int64()), ("sp", pa.int64()), ("lives", pa.int32()), ("kth", pa.float32()), ("source", pa.int64()), ("near", pa.binary()), ("vec", pa.binary())])
 NODE, FAR, BACK, FIND, WANT = 0, 1, 2, 3, 4
@@ -218,14 +249,14 @@ def _unlist(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return ids, homes, np.where(new, sims - 4, sims), new
 
 
-def _bundles(kind: int, at: int, sp: int, to: np.ndarray, by: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _bundles(kind: int, at: int, sp: int, to: np.ndarray, by: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of numbers, packed into one row for each pair of a reading part and a shipping part."""
     if not len(to):
         return
     order = np.lexsort((by, to))
-    to, by, numbers = to[order], by[order], np.ascontiguousarray(numbers[order], np.int64)
+    to, by, columns = to[order], by[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (by[1:] != by[:-1])])
-    packed = pa.array([numbers[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(to)], strict=True)], pa.binary())
+    packed = pa.array([_squeeze(*(c[a:b] for c in columns)) for a, b in zip(cuts, np.r_[cuts[1:], len(to)], strict=True)], pa.binary())
     yield _rows(kind, to[cuts], np.zeros(len(cuts)), np.full(len(cuts), sp), lives=by[cuts], near=packed, at=at)
 
 
@@ -341,7 +372,8 @@ def _first_lists(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, n
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     node = np.repeat(np.arange(n), 2)
-    pairs = [(node, (node + 1 + rng.integers(0, n - 1, len(node))) % n)]
+    other = (node + 1 + rng.integers(0, n - 1, len(node))) % n
+    pairs = [(node, other), (other, node)]  # both ends of a pair consider it, as in all later comparisons
     for _ in range(PROJECTIONS):
         signs = x @ rng.normal(size=(x.shape[1], 18)).astype(np.float32) > 0
         order = np.argsort(signs @ (1 << np.arange(18)), kind="stable")
@@ -349,24 +381,45 @@ def _first_lists(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, n
     return tuple(np.concatenate(c) for c in zip(*pairs, strict=True))
 
 
+def _unknown(finds: tuple, near: np.ndarray, back: tuple, n: int) -> tuple:
+    """(node, neighbour, cosine) of the finds for nodes that live elsewhere (places from n on, counted from 0) without those
+    their homes have weighed before: a pair that is an edge at either end was weighed at both when it became one."""
+    node, other, cosine = finds
+    i, j = np.nonzero(near >= n)
+    source, target = back[0], back[1]
+    known = np.concatenate([(near[i, j] - n) * np.int64(PLACES) + i, (source[source >= n] - n) * np.int64(PLACES) + target[source >= n]])
+    left = ~np.isin(node * np.int64(PLACES) + other, known)
+    return node[left], other[left], cosine[left]
+
+
 def _part_round(number: int, join: bool, seed: int = 11):
     """One round in one part. Round 1 starts from random lists; later ones fold in what other parts found. The part then
     compares (if join) and says which vectors and edges go where."""
 
     def one_space(t: pa.Table, home: int, sp: int) -> Iterator[pa.RecordBatch]:
-        kind, nid, lives = t["kind"].to_numpy(), t["nid"].to_numpy(), t["lives"].to_numpy()
+        kind, nid = t["kind"].to_numpy(), t["nid"].to_numpy()
         rng = np.random.default_rng([seed, number, home])
-        nodes, far = np.flatnonzero(kind == NODE), np.flatnonzero(kind == FAR)
-        nodes, far = nodes[_distinct(nid[nodes])], far[_distinct(nid[far])]
-        own, n = nid[nodes], len(nodes)
-        far = far[~np.isin(nid[far], own)]
+
+        def bundled(kind_of: int, *kinds: str) -> tuple[np.ndarray, ...]:
+            return _unsqueeze(t["near"].take(pa.array(np.flatnonzero(kind == kind_of))).to_pylist(), *kinds)
+
+        width = 4 + 2 * int(sp % DIMS)
+        if number == 1:
+            own, raw = bundled(NODE, "i8", f"V{width}")
+        else:
+            held = np.flatnonzero(kind == NODE)
+            own, raw = nid[held], _bytes(t["vec"].take(pa.array(held)), width)
+        nodes = _distinct(own)
+        own, raw, n = own[nodes], raw[nodes], len(nodes)
         if not n:
             return
-        width = 4 + 2 * int(sp % DIMS)
-        raw = _bytes(t["vec"].take(pa.array(nodes)), width)
-        x = np.concatenate([_unpack(raw), _unpack(_bytes(t["vec"].take(pa.array(far)), width))])
+        far_id, far_home, far_kth, far_raw = bundled(FAR, "i8", "i4", "f4", f"V{width}")
+        o = _distinct(far_id)
+        o = o[~np.isin(far_id[o], own)]
+        far_id, far_home, far_kth = far_id[o], far_home[o], far_kth[o]
+        x = np.concatenate([_unpack(raw), _unpack(far_raw[o])])
         # places: own nodes, vectors shipped here, and last the names of nodes whose vectors are not here
-        names, homes = np.concatenate([own, nid[far]]), np.concatenate([np.full(n, home), lives[far]]).astype(np.int32)
+        names, homes = np.concatenate([own, far_id]), np.concatenate([np.full(n, home), far_home]).astype(np.int32)
         order = np.argsort(names)
 
         def place_of(ids: np.ndarray) -> np.ndarray:
@@ -381,31 +434,32 @@ def _part_round(number: int, join: bool, seed: int = 11):
             edges = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
             before = np.full((listed, 1), -1)
         else:
-            listed, held = n, np.concatenate([nodes, np.flatnonzero(kind == FIND)])
-            ids, where, cosines, fresh = (c.ravel() for c in _unlist(t["near"].take(pa.array(held))))
-            node = np.repeat(np.searchsorted(own, nid[held]), LIST)
+            listed = n
+            ids, where, cosines, fresh = (c.ravel() for c in _unlist(t["near"].take(pa.array(held[nodes]))))
             real = cosines > -2
-            mine = int(real[: len(nodes) * LIST].sum())
-            ids, where, cosines, fresh, node = ids[real], where[real], cosines[real], fresh[real], node[real]
+            mine = int(real.sum())
+            who, found_ids, found_where, found_cosines = bundled(FIND, "i8", "i8", "i4", "f4")
+            node = np.concatenate([np.repeat(np.arange(n), LIST)[real], np.searchsorted(own, who)])
+            ids, where, cosines = np.concatenate([ids[real], found_ids]), np.concatenate([where[real], found_where]), np.concatenate([cosines[real], found_cosines])
+            fresh = np.concatenate([fresh[real], np.ones(len(who), bool)])
             place = place_of(ids)
             more, at = np.unique(ids[place < 0], return_inverse=True)
             place[place < 0] = len(names) + at
             names, homes = np.concatenate([names, more]), np.concatenate([homes, np.zeros(len(more), np.int32)])
             homes[place] = where
             before = np.full(n * LIST, -1)
-            before[real[: n * LIST]] = place[:mine]
+            before[real] = place[:mine]
             before = before.reshape(n, LIST)
             near, sims, new = best_lists(node, place, cosines, fresh, n, LIST)
-            bundles = [np.frombuffer(b, np.int64).reshape(-1, 2) for b in t["near"].take(pa.array(np.flatnonzero(kind == BACK))).to_pylist()]
-            back = np.concatenate([np.zeros((0, 2), np.int64), *bundles])
-            source = place_of(back[:, 1] >> 1)
-            back, source = back[source >= 0], source[source >= 0]
-            edges = (source, np.searchsorted(own, back[:, 0]), (back[:, 1] & 1) > 0)
+            target, source = bundled(BACK, "i8", "i8")
+            target, source = np.searchsorted(own, target), place_of(source)
+            edges = (source[source >= 0], target[source >= 0], np.ones((source >= 0).sum(), bool))
         if len(names) >= PLACES:
             raise ValueError(f"part {home} names {len(names)} vectors; more parts are needed")
         finds = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        begun = near[:n] if number > 1 else np.zeros((0, LIST), np.int32)
         if join:
-            near, sims, new, found = descend(x, near, sims, new, t["kth"].to_numpy()[far][listed - n :], edges, rng)
+            near, sims, new, found = descend(x, near, sims, new, far_kth[listed - n :], edges, rng)
             finds += found
         if listed > n:  # the lists that visitors made here go home
             i, j = np.nonzero(near[n:] >= 0)
@@ -416,15 +470,12 @@ def _part_round(number: int, join: bool, seed: int = 11):
         yield _rows(NODE, np.full(n, home), own, np.full(n, sp), kth=sims[:, -1], source=changed.sum(1), near=_lists(got, got_home, sims, new), vec=_binary(raw), at=home)
         # only edges that are new go over the borders; pairs of a new and an old neighbour meet where both are at hand
         i, j = np.nonzero((near >= 0) & (got_home != home) & (new | changed))
-        yield from _bundles(BACK, home, sp, got_home[i, j], np.full(len(i), home), np.stack([got[i, j], own[i] * 2 + 1], 1))
+        yield from _bundles(BACK, home, sp, got_home[i, j], np.full(len(i), home), got[i, j], own[i])
         wants = [(np.full(len(i), home), got_home[i, j], got[i, j]), (got_home[i, j], np.full(len(i), home), own[i])]
-        node, other, cosine = (np.concatenate(c) for c in zip(*finds, strict=True))
-        best, cosine, _ = best_lists(node, other, cosine, np.ones(len(node), bool), len(far), LIST)
-        some = np.flatnonzero(best[:, 0] >= 0)
-        best, cosine, to, who = best[some], cosine[some], lives[far[some]], nid[far[some]]
-        real = best >= 0
-        found = _lists(np.where(real, names[best], -1), np.where(real, homes[best], -1), cosine, real)
-        yield _rows(FIND, to, who, np.full(len(who), sp), near=found, at=home)
+        node, other, cosine = _unknown(tuple(np.concatenate(c) for c in zip(*finds, strict=True)), begun, edges, n)
+        best, cosine, _ = best_lists(node, other, cosine, np.ones(len(node), bool), len(far_id), LIST)
+        i, j = np.nonzero(best >= 0)
+        yield from _bundles(FIND, home, sp, far_home[i], np.full(len(i), home), far_id[i], names[best[i, j]], homes[best[i, j]], cosine[i, j])
         asks, ships, ids = (np.concatenate(c) for c in zip(*wants, strict=True))
         o = _distinct(asks, ids)
         yield from _bundles(WANT, home, sp, asks[o], ships[o], ids[o])
@@ -443,16 +494,18 @@ def _part_round(number: int, join: bool, seed: int = 11):
 
 
 def _shipper(nodes: pa.Table, wants: pa.Table) -> pa.Table:
-    """The vectors of one part that other parts asked for."""
-    nid, out = nodes["nid"].to_numpy(), []
-    order = np.argsort(nid)
+    """The vectors of one part that go to other parts, once to each: both ends of an edge may ask for the same."""
+    nid, kth, spaces, vec = nodes["nid"].to_numpy(), nodes["kth"].to_numpy(), nodes["sp"].to_numpy(), nodes["vec"]
+    asked: dict[tuple[int, int], list[bytes]] = {}
     for asks, sp, packed in zip(wants["home"].to_pylist(), wants["sp"].to_pylist(), wants["near"].to_pylist(), strict=True):
-        ids = np.frombuffer(packed, np.int64)
-        at = np.minimum(np.searchsorted(nid[order], ids), max(0, len(nid) - 1))
-        row = order[at][nid[order][at] == ids] if len(nid) else np.zeros(0, np.int64)
-        got = nodes.take(pa.array(row)).combine_chunks()
-        vec = got["vec"].combine_chunks() if isinstance(got["vec"], pa.ChunkedArray) else got["vec"]
-        out.append(_rows(FAR, np.full(len(row), asks), nid[row], np.full(len(row), sp), lives=got["at"].to_numpy(), kth=got["kth"].to_numpy(), vec=vec))
+        asked.setdefault((asks, sp), []).append(packed)
+    out = []
+    for (asks, sp), packed in sorted(asked.items()):
+        own = np.flatnonzero(spaces == sp)
+        row = own[np.isin(nid[own], _unsqueeze(packed, "i8")[0])]
+        row = row[np.argsort(nid[row])]
+        raw = _bytes(vec.take(pa.array(row)), 4 + 2 * int(sp % DIMS))
+        out += _bundles(FAR, 0, sp, np.full(len(row), asks), np.zeros(len(row)), nid[row], nodes["at"].to_numpy()[row], kth[row], raw)
     return pa.Table.from_batches(out, ARROW_STATE)
 
 
@@ -497,8 +550,10 @@ def neighbour_graph(packed: DataFrame, rounds: int | None = None, keep_vectors:
     spark = packed.sparkSession
     packed = cut(packed, "vectors")
     keys = packed.select("nid", "sp", F.xxhash64("sp", "vec").alias("h1"), F.xxhash64("vec", "sp", F.lit(1)).alias("h2"))
-    groups = keys.groupBy("h1", "h2").agg(F.min("nid").alias("rep"), F.count("*").alias("c")).where("c > 1")
-    copies = cut(keys.join(groups, ["h1", "h2"]).select("nid", "rep").distinct(), "copies")
+    again = cut(keys.groupBy("h1").count().where("count > 1").select("h1"), "again")  # few, as a rule: the keys need not be shuffled again
+    likely = cut(keys.join(again, "h1"), "likely")
+    groups = likely.groupBy("h1", "h2").agg(F.min("nid").alias("rep"), F.count("*").alias("c")).where("c > 1")
+    copies = cut(likely.join(groups, ["h1", "h2"]).select("nid", "rep").distinct(), "copies")
     single = packed.join(copies.where("nid <> rep").select("nid"), "nid", "left_anti")
     n = max(1, packed.count())
     parts = max(1, min(LEAST_PARTS, n // 2_000), -(-n // PART_ROWS))
@@ -520,7 +575,7 @@ def neighbour_graph(packed: DataFrame, rounds: int | None = None, keep_vectors:
             break
         number += 1
         wants = state.where(F.col("kind") == WANT)
-        shipped = nodes.select("at", "nid", "kth", "vec").groupBy("at").cogroup(wants.select("home", "sp", "lives", "near").groupBy("lives")).applyInArrow(_shipper, STATE)
+        shipped = nodes.select("at", "nid", "sp", "kth", "vec").groupBy("at").cogroup(wants.select("home", "sp", "lives", "near").groupBy("lives")).applyInArrow(_shipper, STATE)
         sent = state.where(F.col("kind").isin(FIND, BACK)).unionByName(shipped)
         state = rounds_of.write(nodes.groupBy("at").cogroup(sent.groupBy("home")).applyInArrow(_part_round(number, True), STATE))
     graph = spark.read.schema(STATE).parquet(rounds_of.path).where(F.col("kind") == NODE)
