@@ -300,6 +300,45 @@ def test_a_vector_both_ends_ask_for_is_shipped_once():
     assert np.allclose(knn._unpack(vec), x[[1, 3]], atol=1e-4)
 
 
+def test_a_part_that_has_a_vector_gets_only_its_cosine():
+    x = np.eye(4, dtype=np.float32)
+    kept = knn._rows(knn.NODE, np.full(4, 3), np.arange(4) * 5, np.full(4, 4), kth=np.arange(4) / 4, vec=knn._binary(knn._pack(x)), at=3)
+    asks = [b for kind, ids in ((knn.WANT, [5, 15]), (knn.HAVE, [0, 15])) for b in knn._bundles(kind, 8, 4, np.array([8, 8]), np.array([3, 3]), np.array(ids))]
+    sent = {r["kind"]: r["near"] for r in knn._shipper(knn.pa.Table.from_batches([kept]), knn.pa.Table.from_batches(asks)).to_pylist()}
+    assert knn._unsqueeze([sent[knn.FAR]], "i8", "i4", "f4", "V12")[0].tolist() == [5]
+    assert [c.tolist() for c in knn._unsqueeze([sent[knn.KNOWN]], "i8", "f4")] == [[15], [0.75]]
+
+
+def test_no_vector_comes_to_a_part_twice_and_the_lists_are_the_same():
+    """Rounds in four parts without Spark; with what parts have told, and, if told is False, with every vector sent again."""
+    x = np.random.default_rng(13).normal(size=(1200, 8))
+    raw = knn._pack(x / np.linalg.norm(x, axis=1, keepdims=True))
+    part = np.arange(1200) % 4
+
+    def rounds(told):
+        placed = [b for p in range(4) for b in knn._bundles(knn.NODE, 0, 8, part[part == p], np.zeros(300), np.flatnonzero(part == p), raw[part == p])]
+        away = np.arange(0, 1200, 5)  # these visit the next part
+        placed += knn._bundles(knn.FAR, 0, 8, (part[away] + 1) % 4, np.zeros(240), away, part[away].astype(np.int32), np.full(240, -2, np.float32), raw[away])
+        arrived = knn.pa.Table.from_batches(placed).cast(knn.ARROW_STATE)
+        ids = lambda t: [(r["home"], int(i)) for r in t.to_pylist() if r["kind"] == knn.FAR for i in knn._unsqueeze([r["near"]], "i8", "i4", "f4", "V20")[0]]
+        came, held = ids(arrived), []
+        state = knn._part_round(1, True)(arrived)
+        for number in (2, 3, 4):
+            rows = state.to_pylist()
+            held += [r for r in rows if r["kind"] == knn.HELD]
+            some = lambda kinds, key, p, rows=rows: knn.pa.Table.from_pylist([r for r in rows if r["kind"] in kinds and r[key] == p], knn.ARROW_STATE)
+            shipped = knn.pa.concat_tables([knn._shipper(some([knn.NODE], "at", p), some([knn.WANT, knn.HAVE] if told else [knn.WANT], "lives", p)) for p in range(4)])
+            came += ids(shipped)
+            stay = lambda p, some=some: knn.pa.concat_tables([some([knn.NODE], "at", p), knn.pa.Table.from_pylist([r for r in held if r["at"] == p], knn.ARROW_STATE)])
+            for_part = lambda p, shipped=shipped: shipped.filter(knn.pc.equal(shipped["home"], p))
+            state = knn.pa.concat_tables([knn._part_round(number, True)(stay(p), knn.pa.concat_tables([some([knn.FIND, knn.BACK], "home", p), for_part(p)])) for p in range(4)])
+        return came, {r["nid"]: r["near"] for r in state.to_pylist() if r["kind"] == knn.NODE}
+
+    (once, lists), (again, same) = rounds(True), rounds(False)
+    assert len(once) == len(set(once)) and set(once) == set(again) and len(again) > len(once)
+    assert lists == same and len(lists) == 1200
+
+
 def test_finds_that_their_homes_have_weighed_are_not_sent_again():
     finds = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 2]), np.array([0.9, 0.8, 0.7, 0.6], np.float32)
     near = np.array([[3, 1], [-1, -1], [-1, -1]])  # node 0 lists place 3, the first of those that live elsewhere

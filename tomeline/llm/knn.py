@@ -5,9 +5,9 @@ to one representative first. Nodes live in parts, made of adjacent cells around
 meet; the parts only say where the work is done. Every node starts with a list out of its part (and, near the border,
 of one more part that it visits): two at random, the others beside it along random projections. A round of NN-descent then compares the neighbours of each node, forward and reverse ones,
 new ones with all (a sample of them at a time, until the part is quiet), and a join on the node id ships to each part the
-vectors that its edges name beyond it: to the source of an edge its target, to the target its source. What a part
-finds for nodes of other parts goes to their lists in the next round. Rounds go on until one changes at most DELTA of
-all list places.
+vectors that its edges name beyond it and that it has not had before: to the source of an edge its target, to the target
+its source. What a part finds for nodes of other parts goes to their lists in the next round. Rounds go on until one
+changes at most DELTA of all list places.
 
 Undefined cases: null vectors, vectors holding null, NaN or infinity and all-zero vectors have no neighbours and
 give no row; vectors are compared only within one space and one length; an empty table gives an empty graph; ties
@@ -221,11 +221,12 @@ def _assigner(cells: dict[int, tuple], labels: list[int]):
 
 # Rows that meet in a part: its nodes; and bundles (the nodes too, before round 1) of vectors of nodes that live elsewhere; of edges
 # that reach its nodes from there; of finds of other parts for its nodes; and of nodes whose vectors another part (lives)
-# shall ship. at is the part that wrote the row, home the one that reads it.
+# shall ship. A part keeps what vectors came (held), says to their homes which it has, and gets of those only the cosine
+# of their last neighbour when it asks again (known). at is the part that wrote the row, home the one that reads it.
 STATE = "at int, kind byte, home int, nid long, sp long, lives int, kth float, source long, near binary, vec binary"
 ARROW_STATE = pa.schema([("at", pa.int32()), ("kind", pa.int8()), ("home", pa.int32()), ("nid", pa.int64()), ("sp", pa.int64()), ("lives", pa.int32()), ("kth", pa.float32()), ("source", pa.int64()), ("near", pa.binary()), ("vec", pa.binary())])
 NODE, FAR, BACK, FIND, WANT = 0, 1, 2, 3, 4
-QUERY = 5
+QUERY, HELD, HAVE, KNOWN = 5, 6, 7, 8
 
 
 def _rows(kind: int, home, nid, sp, lives=None, kth=None, source=None, near: pa.Array | None = None, vec: pa.Array | None = None, at: int = 0) -> pa.RecordBatch:
@@ -414,6 +415,13 @@ def _part_round(number: int, join: bool, seed: int = 11):
         if not n:
             return
         far_id, far_home, far_kth, far_raw = bundled(FAR, "i8", "i4", "f4", f"V{width}")
+        held_id, held_home, _, held_raw = bundled(HELD, "i8", "i4", "f4", f"V{width}")
+        known, known_kth = bundled(KNOWN, "i8", "f4")
+        o = np.argsort(held_id, kind="stable")
+        o = o[np.searchsorted(held_id[o], known)]
+        has_id, has_home = np.concatenate([held_id, far_id]), np.concatenate([held_home, far_home])
+        far_id, far_home, far_kth = np.concatenate([far_id, known]), np.concatenate([far_home, held_home[o]]), np.concatenate([far_kth, known_kth])
+        far_raw = np.concatenate([far_raw, held_raw[o]])
         o = _distinct(far_id)
         o = o[~np.isin(far_id[o], own)]
         far_id, far_home, far_kth = far_id[o], far_home[o], far_kth[o]
@@ -479,6 +487,10 @@ def _part_round(number: int, join: bool, seed: int = 11):
         asks, ships, ids = (np.concatenate(c) for c in zip(*wants, strict=True))
         o = _distinct(asks, ids)
         yield from _bundles(WANT, home, sp, asks[o], ships[o], ids[o])
+        came = np.flatnonzero(kind == FAR)
+        yield _rows(HELD, np.full(len(came), home), np.zeros(len(came)), np.full(len(came), sp), near=t["near"].take(pa.array(came)).combine_chunks(), at=home)
+        o = _distinct(has_id)
+        yield from _bundles(HAVE, home, sp, np.full(len(o), home), has_home[o], has_id[o])
 
     def first(t: pa.Table) -> pa.Table:
         t = t.cast(ARROW_STATE).combine_chunks()
@@ -494,16 +506,21 @@ def _part_round(number: int, join: bool, seed: int = 11):
 
 
 def _shipper(nodes: pa.Table, wants: pa.Table) -> pa.Table:
-    """The vectors of one part that go to other parts, once to each: both ends of an edge may ask for the same."""
+    """The vectors of one part that go to other parts, once to each: both ends of an edge may ask for the same, and a part
+    that has a vector from an earlier round gets only the cosine of its last neighbour."""
     nid, kth, spaces, vec = nodes["nid"].to_numpy(), nodes["kth"].to_numpy(), nodes["sp"].to_numpy(), nodes["vec"]
     asked: dict[tuple[int, int], list[bytes]] = {}
-    for asks, sp, packed in zip(wants["home"].to_pylist(), wants["sp"].to_pylist(), wants["near"].to_pylist(), strict=True):
-        asked.setdefault((asks, sp), []).append(packed)
+    had: dict[tuple[int, int], list[bytes]] = {}
+    for kind, asks, sp, packed in zip(*(wants[c].to_pylist() for c in ("kind", "home", "sp", "near")), strict=True):
+        (asked if kind == WANT else had).setdefault((asks, sp), []).append(packed)
     out = []
     for (asks, sp), packed in sorted(asked.items()):
         own = np.flatnonzero(spaces == sp)
         row = own[np.isin(nid[own], _unsqueeze(packed, "i8")[0])]
         row = row[np.argsort(nid[row])]
+        has = np.isin(nid[row], _unsqueeze(had.get((asks, sp), []), "i8")[0])
+        known, row = row[has], row[~has]
+        out += _bundles(KNOWN, 0, sp, np.full(len(known), asks), np.zeros(len(known)), nid[known], kth[known])
         raw = _bytes(vec.take(pa.array(row)), 4 + 2 * int(sp % DIMS))
         out += _bundles(FAR, 0, sp, np.full(len(row), asks), np.zeros(len(row)), nid[row], nodes["at"].to_numpy()[row], kth[row], raw)
     return pa.Table.from_batches(out, ARROW_STATE)
@@ -520,24 +537,32 @@ def _part_names(spark: SparkSession, parts: int) -> list[int]:
 
 
 class _Rounds:
-    """The state between rounds, as tables bucketed by part: a round reads its nodes where they lie, and only what parts
-    send each other is shuffled."""
+    """The state between rounds, as a table bucketed by part: a round reads its nodes where they lie, and only what parts
+    send each other is shuffled. Vectors that came to a part are written once and stay; the rest of a round goes when the
+    next is written."""
 
     def __init__(self, spark: SparkSession, parts: int) -> None:
-        self.spark, self.parts, self.name, self.path = spark, parts, None, None
+        self.spark, self.parts, self.number = spark, parts, 0
+        self.path = scratch_path(spark, "graph")
+        self.name = "tomeline_" + self.path.rsplit("-", 1)[-1]
 
     def write(self, df: DataFrame) -> DataFrame:
-        last = (self.name, self.path)
-        self.path = scratch_path(self.spark, "graph")
-        self.name = "tomeline_" + self.path.rsplit("-", 1)[-1]
-        df.write.bucketBy(self.parts, "at").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
-        self.forget(*last)
-        return self.spark.table(self.name)
+        last, self.number = self.number, self.number + 1
+        rows = df.withColumn("round", F.lit(self.number))
+        rows.write.mode("append").partitionBy("round", "kind").bucketBy(self.parts, "at").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        self.forget(last, NODE, FIND, BACK, WANT, HAVE)
+        self.spark.sql(f"REFRESH TABLE {self.name}")
+        return self.spark.table(self.name).where((F.col("round") == self.number) | (F.col("kind") == HELD))
+
+    def forget(self, number: int, *kinds: int) -> None:
+        for kind in kinds:
+            drop_path(self.spark, f"{self.path}/round={number}/kind={kind}")
 
-    def forget(self, name: str | None, path: str | None) -> None:
-        if name:
-            self.spark.sql(f"DROP TABLE {name}")
-            drop_path(self.spark, path)
+    def end(self) -> None:
+        """Leaves the nodes of the last round."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        for number in range(1, self.number + 1):
+            self.forget(number, FIND, BACK, WANT, HAVE, HELD)
 
 
 def neighbour_graph(packed: DataFrame, rounds: int | None = None, keep_vectors: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -561,6 +586,7 @@ def neighbour_graph(packed: DataFrame, rounds: int | None = None, keep_vectors:
     work = spark.newSession()
     work.conf.set("spark.sql.shuffle.partitions", parts)
     work.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    work.conf.set("spark.sql.hive.manageFilesourcePartitions", "false")  # folders are listed anew after each round
     names = _part_names(work, parts)
     placed = cut(single.mapInArrow(_assigner(fit_cells(packed, n, names), names), STATE), "placed")
     drop(packed)
@@ -574,12 +600,14 @@ def neighbour_graph(packed: DataFrame, rounds: int | None = None, keep_vectors:
         if number == rounds or rounds == 0 or changed <= DELTA * LIST * n:
             break
         number += 1
-        wants = state.where(F.col("kind") == WANT)
-        shipped = nodes.select("at", "nid", "sp", "kth", "vec").groupBy("at").cogroup(wants.select("home", "sp", "lives", "near").groupBy("lives")).applyInArrow(_shipper, STATE)
-        sent = state.where(F.col("kind").isin(FIND, BACK)).unionByName(shipped)
-        state = rounds_of.write(nodes.groupBy("at").cogroup(sent.groupBy("home")).applyInArrow(_part_round(number, True), STATE))
+        told = state.select(*(F.col(c).alias(c) for c in ARROW_STATE.names))  # else Spark may drop columns that both sides of a cogroup share
+        wants = told.where(F.col("kind").isin(WANT, HAVE))
+        shipped = nodes.select("at", "nid", "sp", "kth", "vec").groupBy("at").cogroup(wants.select("kind", "home", "sp", "lives", "near").groupBy("lives")).applyInArrow(_shipper, STATE)
+        sent = told.where(F.col("kind").isin(FIND, BACK)).unionByName(shipped)
+        kept = state.where(F.col("kind").isin(NODE, HELD)).select(ARROW_STATE.names)
+        state = rounds_of.write(kept.groupBy("at").cogroup(sent.groupBy("home")).applyInArrow(_part_round(number, True), STATE))
+    rounds_of.end()
     graph = spark.read.schema(STATE).parquet(rounds_of.path).where(F.col("kind") == NODE)
-    work.sql(f"DROP TABLE {rounds_of.name}")
     return graph.select("home", "nid", "sp", "near", *(["vec"] if keep_vectors else [])), copies
 
 
