@@ -2,7 +2,7 @@
 
 import pytest
 
-from tomeline.operators import lexical
+from tomeline.operators import lexical, selection
 from tomeline.plans import probe_queries, search_queries  # noqa: F401  register theirs
 from tomeline.plans.queries import QUERIES
 
@@ -32,3 +32,13 @@ def test_bm25_gives_questions_of_the_same_words_the_same_list(spark):
         lists.setdefault(r["qid"], []).append((r["doc"], r["score"], r["rank"]))
     assert set(lists) == {1, 2, 3} and lists[1] == lists[2] == lists[3]
     assert [x[2] for x in lists[1]] == [1, 2, 3] and lists[1][0][0] == "a"
+
+
+def test_coverage_map_goes_over_the_parts_of_every_logged_query(spark, logged):
+    got = {tuple(r) for r in QUERIES["coverage_map"](spark, logged).collect()}
+    assert got == {(1, 0, "a"), (1, 1, "b"), (2, 0, "b"), (2, 1, "b"), (2, 2, "a"), (20, 0, "c")}
+
+
+def test_parts_keep_their_figures(spark):
+    asked = spark.createDataFrame([(1, "boat 10 and 17 mills 1")], "qid long, query string")
+    assert [(r["part"], r["words"]) for r in selection.question_parts(asked).orderBy("part").collect()] == [(0, ["boat", "10"]), (1, ["17", "mills"])]

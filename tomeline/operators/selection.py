@@ -31,7 +31,7 @@ def heading_sections(pages: DataFrame, key: str, text: str) -> DataFrame:
 
 def question_parts(queries: DataFrame, query: str = "query") -> DataFrame:
     """qid, part, words: parts with at least two content words; the whole question if none has."""
-    parts = F.filter(F.transform(F.split(query, PART_BREAK), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(query, PART_BREAK), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     exploded = queries.select("qid", F.col(query).alias("q"), F.posexplode_outer(parts).alias("part", "t")).withColumn("words", content_words(F.col("t")))
     good = exploded.where(F.size("words") >= 2).select("qid", "part", "words")
     whole = queries.join(good.select("qid"), "qid", "left_anti").select("qid", F.lit(0).alias("part"), content_words(F.col(query)).alias("words"))
