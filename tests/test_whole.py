@@ -42,3 +42,10 @@ def test_coverage_map_goes_over_the_parts_of_every_logged_query(spark, logged):
 def test_parts_keep_their_figures(spark):
     asked = spark.createDataFrame([(1, "boat 10 and 17 mills 1")], "qid long, query string")
     assert [(r["part"], r["words"]) for r in selection.question_parts(asked).orderBy("part").collect()] == [(0, ["boat", "10"]), (1, ["17", "mills"])]
+
+
+def test_relevant_section_titles_go_over_every_logged_query(spark, logged):
+    sections = [("a", 1, "Mill", "The mill of the old village."), ("b", 1, "Boat", "A boat that the miller owns."), ("c", 1, "Pond", "The reed by the pond.")]
+    spark.createDataFrame(sections, "page_id string, ord int, title string, body string").write.parquet(logged + "/sections.parquet")
+    got = {(r["qid"], r["page_id"], r["title"]) for r in QUERIES["relevant_section_titles"](spark, logged).collect()}
+    assert got == {(1, "a", "Mill"), (1, "b", "Boat"), (2, "a", "Mill"), (2, "b", "Boat"), (20, "c", "Pond")}
