@@ -49,3 +49,8 @@ def test_relevant_section_titles_go_over_every_logged_query(spark, logged):
     spark.createDataFrame(sections, "page_id string, ord int, title string, body string").write.parquet(logged + "/sections.parquet")
     got = {(r["qid"], r["page_id"], r["title"]) for r in QUERIES["relevant_section_titles"](spark, logged).collect()}
     assert got == {(1, "a", "Mill"), (1, "b", "Boat"), (2, "a", "Mill"), (2, "b", "Boat"), (20, "c", "Pond")}
+
+
+def test_set_cover_goes_over_every_logged_query(spark, logged):
+    got = {tuple(r) for r in QUERIES["set_cover"](spark, logged).collect()}
+    assert got == {(1, "a", 1), (1, "b", 2), (2, "b", 1), (2, "a", 2), (20, "c", 1)}
