@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeline.functions.text import BACK_MATTER, content_words
+from tomeline.session import cut, shuffle_width
 
 LIMIT, SLICE, LEAST = 8_000, 2_400, 40  # characters: of a page, of a slice without headings, below which a page joins the one before
 LINE = re.compile(r"[^\n]*\n?")
@@ -92,17 +93,21 @@ def passages(questions: DataFrame, candidates: DataFrame, k: int = 3, alike: flo
     of hits and then of the text; a line too much like one already taken (shared share of words) is passed over.
 
     questions(qid, query), candidates(qid, page_id) with pages(page_id, markdown), or candidates(qid, page_id, markdown).
-    Headings and lines under least characters are no passages. The words of the question go to the page and its lines are
-    weighed within the row, so neither texts nor lines follow the question through a shuffle."""
+    Headings and lines under least characters are no passages. The lines of pages are cut into words once a page and written;
+    questions go to the page in even parts and its lines are weighed within the row, so neither texts nor lines follow the
+    question through a shuffle."""
     asked = questions.select("qid", content_words(F.col("query")).alias("need")).where(F.size("need") > 0).groupBy("qid").agg(F.collect_list("need").alias("needs"))
     met = candidates.join(asked, "qid")
-    if pages is not None:
-        met = met.join(pages, "page_id")
     lines = F.transform(F.split("markdown", r"\s*\n\s*|(?<=[.!?。])\s+"), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
     lines = F.filter(lines, lambda x: (F.length(x["line"]) >= least) & ~x["line"].rlike(r"^#{1,6} "))
     worded = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), content_words(x["line"]).alias("words")))
+    if pages is not None:
+        text = cut(pages.where("markdown is not null").select("page_id", worded.alias("lines")), "lines")
+        met = met.repartition(shuffle_width(met.sparkSession), "page_id").join(text, "page_id")
+    else:
+        met = met.where("markdown is not null").select("qid", "page_id", "needs", worded.alias("lines"))
     hits = F.flatten(F.transform("needs", lambda need: F.transform("lines", lambda x: F.struct((-F.size(F.array_intersect(x["words"], need))).alias("h"), x["i"].alias("i"), x["line"].alias("line"), x["words"].alias("words")))))
-    ordered = met.where("markdown is not null").select("qid", "page_id", "needs", worded.alias("lines")).select("qid", "page_id", F.array_sort(F.filter(hits, lambda x: x["h"] < 0)).alias("l"))
+    ordered = met.select("qid", "page_id", F.array_sort(F.filter(hits, lambda x: x["h"] < 0)).alias("l"))
     near = lambda a, b: F.size(F.array_intersect(a["words"], b["words"])) >= alike * F.size(F.array_union(a["words"], b["words"]))
     empty = F.expr("cast(array() as array<struct<h:int,i:int,line:string,words:array<string>>>)")
     kept = F.aggregate("l", empty, lambda acc, x: F.when((F.size(acc) < k) & ~F.exists(acc, lambda y: near(x, y)), F.concat(acc, F.array(x))).otherwise(acc))
