@@ -60,3 +60,11 @@ def test_question_passages_go_over_every_logged_query(spark, logged):
     got = {(r["qid"], r["page_id"], r["passage"]) for r in QUERIES["question_passages"](spark, logged).collect()}
     mill, boat, pond = ("a", "The mill of the old village."), ("b", "A boat that the miller owns."), ("c", "The reed by the pond.")
     assert got == {(q, *x) for q in (1, 2) for x in (mill, boat)} | {(20, *pond)}
+
+
+def test_leave_intent_out_page_recall_asks_every_question(spark, tmp_path):
+    axis = lambda i: [1.0 if j == i else 0.1 for j in range(64)]
+    rows = [(1, "a", 0), (2, "a", 0), (3, "a", 0), (4, "a", 5), (5, "b", 9), (6, "b", 9), (7, "b", 5), (8, "b", 9)]
+    spark.createDataFrame([(i, "question", p, "x", axis(x)) for i, p, x in rows], "id long, kind string, page_id string, book_id string, embedding array<float>").write.parquet(str(tmp_path / "questions.parquet"))
+    got = QUERIES["leave_intent_out_page_recall"](spark, str(tmp_path)).first()
+    assert (got["n"], got["r1"], got["r3"]) == (8, 0.75, 1.0)  # only 4 and 7 lie nearest to the other page
